@@ -68,11 +68,29 @@ class _Classes(dict):
         return kind
 
 
-#: Roles that are lists of independent statements or members. Such a content is tried in pieces first, so that a piece
-#: met before costs one look-up; only if a piece fails is the whole content matched.
+#: Roles that are lists of independent statements or members. Such a content is tried in pieces, so that a piece met
+#: before costs one look-up.
 _LISTS = {"javascript": {"{B", "{C"}, "go": {"{B"}, "java": {"{B", "{C"}, "rust": {"{B", "{I"}, "c": {"{B"}}
+#: Pieces that are joined before a list is given up.
+_JOIN = 6
 #: Words that carry a statement on behind a block.
-_CARRY_ON = {"else", "catch", "finally", "while", "instanceof", "in", "as", "of"}
+_CARRY_ON = {"else", "catch", "finally", "while", "instanceof", "in", "as", "of", "from"}
+#: What a content must hold, and must not hold, to play a role; spares most matches that can't succeed.
+_NEEDS = {
+    "javascript": {"(F": "; of in", "{S": "case default"},
+    "go": {"(D": "s i"},
+    "java": {"(F": "; :", "{W": "case default"},
+    "rust": {"{W": "=>"},
+    "c": {"(F": ";"},
+}
+_FLOW = "return if for while switch try throw break continue"
+_BANS = {
+    "javascript": {r: f"; L {_FLOW}" for r in ("(E", "(A", "(P", "(T", "[L", "{O", "{I", "{N")} | {"[K": f"; {_FLOW}", "{Y": _FLOW, "{C": _FLOW},
+    "go": {r: "return if for switch :=" for r in ("(A", "(P", "(D", "[K", "{V", "{S", "{I")},
+    "java": {r: "; return if for while try throw break continue" for r in ("(E", "(A", "(P", "(T", "(X", "[K", "{V")} | {"{C": "return if for while try throw break continue switch", "{N": "return if for while"},
+    "rust": {r: ";" for r in ("(A", "(P", "(T", "{V", "{S", "{N", "{U", "{W")} | {"{I": "let match return if for while"},
+    "c": {r: "; return if for while do switch goto" for r in ("(E", "(A", "(P", "(T", "(R", "[K", "{V", "{N")} | {"{S": "return if for while do switch goto"},
+}
 
 
 class Parser:
@@ -92,7 +110,11 @@ class Parser:
         self.cache: dict[tuple[str, str], str] = {}
         self.pieces: dict[tuple[str, str], bool] = {}
         self.lists = _LISTS[words]
-        self.roles = {b: [(1 << k, b + r) for k, r in enumerate(rs)] for b, rs in ROLES[words].items()}
+
+        def holding(named: dict[str, str], role: str) -> re.Pattern | None:
+            return re.compile("[" + "".join(re.escape(g.char.get(w, w)) for w in named[role].split()) + "]") if role in named else None
+
+        self.roles = {b: [(1 << k, b + r, holding(_NEEDS[words], b + r), holding(_BANS[words], b + r)) for k, r in enumerate(rs)] for b, rs in ROLES[words].items()}
         starts = "i" + "".join(v for w, v in g.words.items() if w not in _CARRY_ON)
         self.cuts = re.compile(f"(?<=[{g.char[';']}L])" + ("" if words == "go" else f"|(?<=[{chr(BASES['{'])}-{chr(0xE8FF)}])(?=[{starts}])"))
         group = f"{chr(BASES['('])}-{chr(0xE8FF)}"
@@ -129,9 +151,16 @@ class Parser:
             flat = self.breaks(content)
             bits = 0
             if BAD not in flat:
-                for bit, name in self.roles[opener]:
-                    if (self.matches_list(name, flat) if name in self.lists else self.grammar.roles[name].fullmatch(flat)):
-                        bits |= bit
+                for whole in (False, True):
+                    for bit, name, needs, bans in self.roles[opener]:
+                        if flat and needs and not needs.search(flat) or bans and bans.search(flat):
+                            continue
+                        if name in self.lists and not whole:
+                            bits |= bit * self.matches_list(name, flat)
+                        elif name in self.lists or not whole:
+                            bits |= bit * (self.grammar.roles[name].fullmatch(flat) is not None)
+                    if bits:
+                        break
             found = chr(BASES[opener] + bits) if bits else BAD
             if len(self.cache) > CACHE_ENTRIES:
                 self.cache.clear()
@@ -139,21 +168,24 @@ class Parser:
         return found
 
     def matches_list(self, name: str, flat: str) -> bool:
-        """Whether ``flat`` is a list of the role ``name``; lists of pieces that match are lists themselves."""
+        """Whether ``flat`` is a concatenation of pieces that are lists of the role ``name``, hence such a list itself."""
         pattern = self.grammar.roles.get(name, self.grammar.file)
         parts = self.cuts.split(flat)
-        if len(parts) == 1:
-            return pattern.fullmatch(flat) is not None
         known = self.pieces
+        held, count = "", 0
         for part in parts:
-            ok = known.get((name, part))
+            held += part
+            count += 1
+            ok = known.get((name, held))
             if ok is None:
                 if len(known) > CACHE_ENTRIES:
                     known.clear()
-                ok = known[name, part] = pattern.fullmatch(part) is not None
-            if not ok:
-                return pattern.fullmatch(flat) is not None
-        return True
+                ok = known[name, held] = pattern.fullmatch(held) is not None
+            if ok:
+                held, count = "", 0
+            elif count == _JOIN:
+                return False
+        return not held
 
     def fold(self, tokens: str) -> str:
         """Replaces every closed group by its role character; unmatched brackets stay where they are."""
@@ -190,7 +222,7 @@ class Parser:
         flat = self.breaks(folded + "\n" if self.lang == "go" else folded)
         if self.lang in ("go", "java"):
             return self.grammar.file.fullmatch(flat) is not None
-        return self.matches_list("file", flat)
+        return self.matches_list("file", flat) or self.grammar.file.fullmatch(flat) is not None
 
 
 _PARSERS: dict[str, Parser] = {}
