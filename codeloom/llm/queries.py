@@ -12,6 +12,17 @@ from codeloom.session import ship, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_kinds(spark, folder).select("file_id")
+
+
+def p2_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    from codeloom.llm.handwritten import not_handwritten
+
+    ship(spark)
+    return not_handwritten(spark, table(spark, folder, "source_files"), table(spark, folder, "third_party_files"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     from codeloom.llm.source_code import documented_functions
 
@@ -40,6 +51,6 @@ def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
     return broken_rates(table(spark, folder, "source_files"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_pairs, p5_found, p5_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_kinds, p4_found, p4_pairs, p5_found, p5_rates)}
 
 ORACLES: dict[str, str] = {}
