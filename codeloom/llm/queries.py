@@ -12,6 +12,12 @@ from codeloom.session import ship, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    from codeloom.llm.components import match_groups
+
+    return match_groups(spark, table(spark, folder, "duplicate_pairs"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_kinds(spark, folder).select("file_id")
 
@@ -51,6 +57,21 @@ def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
     return broken_rates(table(spark, folder, "source_files"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_kinds, p4_found, p4_pairs, p5_found, p5_rates)}
-
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_kinds, p4_found, p4_pairs, p5_found, p5_rates)}
+
+ORACLES: dict[str, str] = {
+    "p1_found": """
+        WITH RECURSIVE links AS (
+            SELECT node_id_a AS a, node_id_b AS b FROM duplicate_pairs
+            WHERE node_id_a IS NOT NULL AND node_id_b IS NOT NULL AND similarity IS NOT NULL AND NOT isnan(similarity) AND similarity >= CAST(0.7 AS FLOAT)
+        ),
+        edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        ids AS (SELECT node_id_a AS id FROM duplicate_pairs WHERE node_id_a IS NOT NULL UNION SELECT node_id_b FROM duplicate_pairs WHERE node_id_b IS NOT NULL),
+        reach(id, other) AS (
+            SELECT id, id FROM ids
+            UNION
+            SELECT r.id, e.b FROM reach r JOIN edges e ON r.other = e.a
+        )
+        SELECT id AS node_id, min(other) AS group_id FROM reach GROUP BY id
+    """,
+}
