@@ -29,11 +29,18 @@ def p2_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return not_handwritten(spark, table(spark, folder, "source_files"), table(spark, folder, "third_party_files"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    from codeloom.llm.neighbours import nearest_pairs
+
+    ship(spark)
+    return nearest_pairs(spark, table(spark, folder, "symbol_vectors"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     from codeloom.llm.source_code import documented_functions
 
     ship(spark)
-    return documented_functions(table(spark, folder, "source_files")).select("file_id", "line_no", "fn_name")
+    return documented_functions(table(spark, folder, "source_files"), texts=False)
 
 
 def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,7 +64,7 @@ def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
     return broken_rates(table(spark, folder, "source_files"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_kinds, p4_found, p4_pairs, p5_found, p5_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_kinds, p3_found, p4_found, p4_pairs, p5_found, p5_rates)}
 
 ORACLES: dict[str, str] = {
     "p1_found": """
