@@ -64,7 +64,21 @@ def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
     return broken_rates(table(spark, folder, "source_files"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_kinds, p3_found, p4_found, p4_pairs, p5_found, p5_rates)}
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    from codeloom.llm.tokens import encoded
+
+    ship(spark)
+    return encoded(spark, table(spark, folder, "documents"))
+
+
+def p6_round_trips(spark: SparkSession, folder: str) -> DataFrame:
+    from codeloom.llm.tokens import round_trips
+
+    ship(spark)
+    return round_trips(spark, table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_kinds, p3_found, p4_found, p4_pairs, p5_found, p5_rates, p6_ids, p6_round_trips)}
 
 ORACLES: dict[str, str] = {
     "p1_found": """
