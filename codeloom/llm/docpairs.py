@@ -9,6 +9,7 @@ import ast
 import bisect
 import inspect
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 from codeloom.llm.lexing import STR_HEAD, Scan, Token, scan
@@ -471,6 +472,228 @@ def _docstring(text: str, masked: str, starts: dict[int, Token], pos: int) -> st
     return inspect.cleandoc("".join(parts))
 
 
+# The same, led by the documentation -----------------------------------------------------------------------------
+
+_PAIRS = re.compile(r"[()\[\]{}]")
+_NAME = r"([^\W\d][\w$]*)"
+_LED = {
+    "rust": re.compile(r"(?:pub\s*(?:\([^)]*\)\s*)?)?(?:(?:default|const|async|unsafe|extern(?:\s*\x02\x03*)?)\s*\b)*\s*fn\s+((?:r#)?[^\W\d]\w*)\s*[<(]"),
+    "go": re.compile(r"func\b\s*(?:\([^()]*\)\s*)?" + _NAME + r"\s*[\[(]"),
+    "java": re.compile(r"(?:(?:public|private|protected|static|final|abstract|native|synchronized|transient|strictfp|default|@[\w.]+(?:\([^()]*\))?)\s+)*(?:<[^()=;{}]*>\s*)?(?:([^\W\d][\w$]*(?:\s*\.\s*[^\W\d][\w$]*)*\s*(?:<[^()=;{}]*>)?(?:\s*\[\s*\])*)\s*(?<=[\s>\]]))?" + _NAME + r"\s*\("),
+    "c": re.compile(r"((?:[^\W\d]\w*(?:\s+|\s*\*\s*)(?:\*\s*)*)+)" + _NAME + r"\s*\("),
+}
+_JS_LED = re.compile(r"(?:export\s+(?:default\s+)?)?(?:declare\s+)?(?:(?:async\s+)?function\s*\*?\s*((?:[^\W\d]|\$)[\w$]*)\s*[<(]|(?:const|let|var)\s+((?:[^\W\d]|\$)[\w$]*)\s*(?=[:=]))")
+_JS_MEMBER = re.compile(r"(?:(?:static|async|get|set|public|private|protected|readonly|abstract|override|declare|accessor)\b(?!\s*[(<:=?;])\s*|\*\s*)*(#?(?:[^\W\d]|\$)[\w$]*)\s*\??\s*(?:<[^(){};=]*>\s*)?\(")
+_ANNOTATION = re.compile(r"@\s*[^\W\d][\w$]*(?:\s*\.\s*[^\W\d][\w$]*)*\s*")
+_SPACE = re.compile(r"\s*")
+
+
+def _closing(masked: str, k: int) -> int:
+    """The partner of the bracket at ``k``; -1 if there is none."""
+    depth = 0
+    for m in _PAIRS.finditer(masked, k):
+        depth += 1 if m[0] in "([{" else -1
+        if not depth:
+            return m.start()
+    return -1
+
+
+class _Partners(dict):
+    """Partners of opening brackets, found when asked for."""
+
+    def __init__(self, masked: str):
+        super().__init__()
+        self.masked = masked
+
+    def get(self, k: int, default=None):
+        found = self.setdefault(k, _closing(self.masked, k)) if k not in self else self[k]
+        return default if found < 0 else found
+
+
+class _Lazy:
+    def __init__(self, masked: str):
+        self.partner = _Partners(masked)
+
+
+def _blocks(text: str, s: Scan, lang: str) -> Iterator[tuple[int, str]]:
+    """(end, raw text) of the comments, or runs of line comments, that are documentation by their form."""
+    run: list[Token] = []
+    mark = 2 if lang == "go" else 3
+
+    def flush() -> Iterator[tuple[int, str]]:
+        if run:
+            lines = [text[t.start + mark : t.end].rstrip("\r") for t in run]
+            yield run[-1].end, "\n".join(x[1:] if x[:1] == " " else x for x in lines).strip()
+            run.clear()
+
+    by_line = lang in ("go", "rust", "c")
+    for t in s.comments:
+        head = text[t.start : t.start + 4]
+        if by_line and t.kind == "line" and (lang == "go" or head.startswith("///") and head != "////"):
+            own_line = not text[text.rfind("\n", 0, t.start) + 1 : t.start].strip()
+            if run and (not own_line or text.count("\n", run[-1].end, t.start) != 1 or text[run[-1].end : t.start].strip()):
+                yield from flush()
+            if own_line:
+                run.append(t)
+        else:
+            yield from flush()
+            if t.kind == "block" and lang != "go" and head.startswith("/**") and head != "/**/" and not (lang == "rust" and head == "/***"):
+                yield t.end, _clean_block(text[t.start : t.end])
+    yield from flush()
+
+
+def documented(text: str, lang: str, s: Scan | None = None, signatures: bool = True) -> list[Declaration]:
+    """The declarations that documentation stands before, in order; what ``declarations`` gives, without those without.
+    Without ``signatures`` these are empty.
+
+    Starts from each comment that is documentation by its form and matches the declaration behind it, brackets only where
+    they are needed, so its cost follows the documentation and not the code.
+    """
+    s = s or scan(text, lang)
+    masked = s.masked
+    out: list[Declaration] = []
+    last, line = 0, 1
+
+    def add(pos: int, name: str, stop: int, doc: str | None) -> None:
+        nonlocal last, line
+        line += text.count("\n", last, pos)
+        last = pos
+        begin = text.rfind("\n", 0, pos) + 1
+        out.append(Declaration(name, line, " ".join(text[begin:stop].split()) if signatures else "", doc))
+
+    if lang == "python":
+        starts = {t.start: t for t in s.strings}
+        for m in _PY_DEF.finditer(masked):
+            k = m.end() - 1
+            if masked[k] == "[":
+                k = masked.find("(", _closing(masked, k))
+            end = _closing(masked, k)
+            if end < 0:
+                continue
+            colon = masked.find(":", end)
+            for o in _PAIRS.finditer(masked, end + 1, colon if colon >= 0 else end + 1):
+                colon = masked.find(":", _closing(masked, o.start()))
+                break
+            doc = _docstring(text, masked, starts, colon + 1) if colon >= 0 else None
+            if doc is not None:
+                add(m.start(1), m[1], colon, doc)
+        return out
+    lazy = _Lazy(masked)
+    size = len(masked)
+    depth, depth_at, parents, bodies = 0, 0, None, None
+    for end, doc in _blocks(text, s, lang):
+        pos = _SPACE.match(masked, end).end()
+        gap = text[end:pos]
+        if pos >= size or gap.strip() or gap.count("\n") > 1:
+            continue
+        while masked[pos : pos + 1] in ("@", "#"):
+            if lang == "rust" and masked[pos] == "#":
+                k = masked.find("[", pos)
+                pos = lazy.partner.get(k, size) + 1 if k >= 0 else size
+            elif lang != "rust" and (m := _ANNOTATION.match(masked, pos)) and m[0].strip() != "@interface":
+                pos = m.end()
+                if masked[pos : pos + 1] == "(":
+                    pos = lazy.partner.get(pos, size) + 1
+            else:
+                break
+            pos = _SPACE.match(masked, pos).end()
+        if lang in ("javascript", "typescript"):
+            m = _JS_LED.match(masked, pos)
+            if m and m[1]:
+                k = masked.find("(", m.end() - 1)
+                stop = masked.find("{", lazy.partner.get(k, k))
+                add(m.start(1), m[1], stop if stop >= 0 else size, doc)
+                continue
+            if m:
+                stop = _bound_function(masked, lazy, m.end())
+                if stop >= 0:
+                    add(m.start(2), m[2], stop, doc)
+                continue
+            m = _JS_MEMBER.match(masked, pos)
+            if not m or m[1] in _CONTROL["javascript"]:
+                continue
+            close = lazy.partner.get(m.end() - 1, -1)
+            if close < 0:
+                continue
+            rest = _SPACE.match(masked, close + 1).end()
+            typed = masked[rest : rest + 1] == ":"
+            if typed:
+                rest = _skip_type(masked, lazy, rest + 1)
+            if masked[rest : rest + 1] != "{":
+                if parents is None:
+                    parents = _parents(masked)
+                    whole = _Brackets(masked)
+                    bodies = {o.start() for o in re.finditer(r"\{", masked) if _CLASS_HEAD.search(masked[_head_start(masked, whole, o.start()) : o.start()])}
+                if parents(pos) not in bodies or not (typed or masked[rest : rest + 1] in ";}" or "\n" in masked[close:rest]):
+                    continue
+            add(m.start(1), m[1], rest, doc)
+            continue
+        m = _LED[lang].match(masked, pos)
+        if not m:
+            continue
+        if lang == "rust":
+            k = masked.find("(", m.end() - 1)
+            stop = re.compile(r"[{;]").search(masked, lazy.partner.get(k, m.end()) if k >= 0 else m.end())
+            add(m.start(1), m[1], stop.start() if stop else size, doc)
+            continue
+        if lang == "go":
+            if pos and masked[pos - 1] != "\n":
+                continue
+            k = m.end() - 1
+            if masked[k] == "[":
+                k = _SPACE.match(masked, lazy.partner.get(k, size) + 1).end()
+            close = lazy.partner.get(k, -1)
+            if close < 0:
+                continue
+            ends = [x for x in (masked.find("{", close), masked.find("\n", close), size) if x >= 0]
+            add(m.start(1), m[1], min(ends), doc)
+            continue
+        close = lazy.partner.get(m.end() - 1, -1)
+        if close < 0 or m[2] in _CONTROL[lang]:
+            continue
+        after = close + 1
+        if lang == "java":
+            t = _THROWS.match(masked, after)
+            after = t.end() if t else after
+        after = _SPACE.match(masked, after).end()
+        if masked[after : after + 1] not in ("{", ";"):
+            continue
+        words = set((m[1] or "").split())
+        if lang == "java":
+            if words & _CONTROL["java"] or not m[1] and (masked[after] == ";" or not re.search(rf"\b(?:class|enum|record)\s+{re.escape(m[2])}\b", masked)):
+                continue
+        else:
+            depth += masked.count("{", depth_at, pos) - masked.count("}", depth_at, pos)
+            depth_at = pos
+            if words & {"return", "else", "typedef", "goto", "case", "do"} or depth and _depths(masked)(pos):
+                continue
+        add(m.start(2), m[2], after, doc)
+    return out
+
+
+def _bound_function(masked: str, b: _Lazy, k: int) -> int:
+    """Where the signature of the function bound by a const, let or var ends whose name ends before ``k``; -1 if it is none."""
+    if masked[k] == ":":
+        k = _to_assign(masked, b, k + 1)
+    if k < 0 or masked[k : k + 2] in ("==", "=>"):
+        return -1
+    a = _JS_ARROW.match(masked, k + 1)
+    if not a:
+        return -1
+    if not a[1]:
+        return a.end()
+    end = b.partner.get(a.end() - 1, -1)
+    if end < 0:
+        return -1
+    rest = _SPACE.match(masked, end + 1).end()
+    if masked[rest : rest + 1] == ":":
+        arrow = masked.find("=>", rest)
+        if arrow < 0 or ";" in masked[rest:arrow]:
+            return -1
+        rest = arrow
+    return rest if masked.startswith("=>", rest) else -1
+
+
 # Whether documentation says anything ------------------------------------------------------------------------------
 
 #: Notes in place of documentation, in the languages the texts are written in.
@@ -518,10 +741,31 @@ def _restates(words: list[str], name_words: set[str]) -> bool:
     return True
 
 
+#: First words of lines that need the full look.
+_GUARDED = set("todo fixme xxx tbd tba tbc hack wip lorem enter insert your short a description documentation docs doc comment text auto autogenerated automatically generated non inherited noqa nosec nolint pylint pyright mypy flake8 type pragma fmt yapf isort black eslint tslint jshint jslint prettier istanbul line export clippy rustfmt lint coverity checkstyle spotless formatter region endregion vim noinspection global globals cspell spell dummy placeholder stub".split())
+
+
+def _says_much(doc: str, name_starts: set[str]) -> bool:
+    """A quick yes for documentation with a plain sentence of seven words or more, four of which are not of the name."""
+    for line in doc.split("\n"):
+        words = line.lower().split()
+        if len(words) < 7 or not words[0][0].isalpha() or words[0].rstrip(".:,;!-") in _GUARDED or words[0].endswith(":") or "-" in words[0]:
+            continue
+        fresh = 0
+        for w in words:
+            if len(w) > 2 and w.isalpha() and w not in _EMPTY_WORDS and w[:4] not in name_starts:
+                fresh += 1
+                if fresh == 4:
+                    return True
+    return False
+
+
 def is_trivial(doc: str | None, name: str) -> bool:
     """No words, only the name again, a placeholder or a pointer elsewhere, or only tags, names and directives."""
     if not doc or not doc.strip():
         return True
+    if _says_much(doc, {p.lower()[:4] for p in _CAMEL.split(name) if p}):
+        return False
     name_words = {p.lower() for p in _CAMEL.split(name) if p} | {name.lower()}
     for raw in doc.split("\n"):
         line = raw.strip().strip("*").strip() if raw.strip().startswith("*") and not raw.strip().startswith("* ") else raw.strip()

@@ -101,38 +101,43 @@ def broken_rates(files: DataFrame) -> DataFrame:
     )
 
 
-_PAIR_SCHEMA = "file_id bigint, path string, language string, line_no int, fn_name string, signature string, docstring string"
-
-
-def _pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        rows = []
-        for file_id, path, code in zip(f["file_id"], f["path"], f["code"]):
-            lang = language_of(path)
-            if not code or lang is None:
-                continue
-            text = code[1:] if code[:1] == "﻿" else code
-            s = None
-            if lang == "python" or len(text) > syntax.CHUNK_CHARS:
-                if not syntax.parses(lang, code):
-                    continue
-            else:
-                s = scan(text, lang)
-                if not syntax.scan_parses(lang, text, s):
+_NAME_SCHEMA = "file_id bigint, line_no int, fn_name string"
+_PAIR_SCHEMA = _NAME_SCHEMA + ", path string, language string, signature string, docstring string"
+
+
+def _pairs(texts: bool):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["file_id", "line_no", "fn_name"] + ["path", "language", "signature", "docstring"] * texts
+        for f in frames:
+            rows = []
+            for file_id, path, code in zip(f["file_id"], f["path"], f["code"]):
+                lang = language_of(path)
+                if not code or lang is None:
                     continue
-            for d in docpairs.declarations(text, lang, s):
-                if not docpairs.is_trivial(d.doc, d.name):
-                    rows.append((file_id, path, lang, d.line_no, d.name, d.signature, d.doc))
-        yield pd.DataFrame(rows, columns=["file_id", "path", "language", "line_no", "fn_name", "signature", "docstring"])
-
-
-def documented_functions(files: DataFrame) -> DataFrame:
-    """(file_id, path, language, line_no, fn_name, signature, docstring): every function or method declaration with
-    documentation that says something, in files that parse; once per declaration.
+                text = code[1:] if code[:1] == "\ufeff" else code
+                s = None
+                if lang == "python" or len(text) > syntax.CHUNK_CHARS:
+                    if not syntax.parses(lang, code):
+                        continue
+                else:
+                    s = scan(text, lang)
+                    if not syntax.scan_parses(lang, text, s):
+                        continue
+                for d in docpairs.documented(text, lang, s, texts):
+                    if not docpairs.is_trivial(d.doc, d.name):
+                        rows.append((file_id, d.line_no, d.name, path, lang, d.signature, d.doc) if texts else (file_id, d.line_no, d.name))
+            yield pd.DataFrame(dict(zip(columns, zip(*rows))) if rows else {c: [] for c in columns}, columns=columns)
+
+    return run
+
+
+def documented_functions(files: DataFrame, texts: bool = True) -> DataFrame:
+    """(file_id, line_no, fn_name, path, language, signature, docstring): every function or method declaration with
+    documentation that says something, in files that parse; once per declaration. Without ``texts`` the first three only.
 
     ``files`` needs file_id, path and code. Null or empty code, null paths and unknown extensions give no row, broken files
     none either; a file that comes several times with equal content gives each declaration once. line_no is the 1-based line of the
     declared name. One pass over the code; only the found pairs are shuffled, to drop repeats.
     """
-    found = files.select("file_id", "path", "code").where("code IS NOT NULL AND file_id IS NOT NULL").mapInPandas(_pairs, _PAIR_SCHEMA)
+    found = files.select("file_id", "path", "code").where("code IS NOT NULL AND file_id IS NOT NULL").mapInPandas(_pairs(texts), _PAIR_SCHEMA if texts else _NAME_SCHEMA)
     return found.dropDuplicates(["file_id", "line_no", "fn_name"])

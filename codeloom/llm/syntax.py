@@ -101,12 +101,16 @@ class Parser:
         words = "javascript" if lang == "typescript" else lang
         self.grammar = g = grammar(lang)
         self.classes = _Classes(lang)
-        ops = "|".join(re.escape(o) for o in sorted(g.operators, key=len, reverse=True))
-        newline = r"|\n" if words in ("javascript", "go") else ""
+        # Commonest alternatives first: names, then marks that begin no longer operator, then the rest.
+        longer = [o for o in sorted(g.operators, key=len, reverse=True) if len(o) > 1]
+        plain = "".join(re.escape(o) for o in g.operators if len(o) == 1 and not any(x[0] == o for x in longer) and o not in "'#$")
+        mixed = "".join(re.escape(x) for x in sorted({o[0] for o in longer}))
+        ops = f"(?=[{mixed}])(?:" + "|".join(re.escape(o) for o in longer) + ")"
+        newline = r"\n" if words in ("javascript", "go") else ""
         ident = r"[#]?[^\W\d][\w$]*|\$[\w$]*" if words == "javascript" else r"r#[^\W\d]\w*|'[^\W\d]\w*|[^\W\d]\w*" if words == "rust" else r"[^\W\d][\w$]*" if words in ("java", "c") else r"[^\W\d]\w*"
         if words == "javascript":
             ident = r"#?(?:[^\W\d]|\$)[\w$]*"
-        self.tokens = re.compile(rf"\x02\x03*|{ident}|{_NUMBER_TOKEN[words]}|{ops}|[()\[\]{{}}]{newline}|[^\s\x03]|\x03+")
+        self.tokens = re.compile(rf"{ident}|[()\[\]{{}}{plain}{newline}]|{_NUMBER_TOKEN[words]}|{ops}|\x02\x03*|[^\s\x03]|\x03+")
         self.cache: dict[tuple[str, str], str] = {}
         self.pieces: dict[tuple[str, str], bool] = {}
         self.lists = _LISTS[words]
