@@ -78,7 +78,36 @@ def p6_round_trips(spark: SparkSession, folder: str) -> DataFrame:
     return round_trips(spark, table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_kinds, p3_found, p4_found, p4_pairs, p5_found, p5_rates, p6_ids, p6_round_trips)}
+def p7_uses(spark: SparkSession, folder: str) -> DataFrame:
+    from codeloom.llm.mixing import mixture
+
+    ship(spark)
+    return mixture(spark, table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    from codeloom.llm.mixing import mixture
+
+    ship(spark)
+    return mixture(spark, table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    from codeloom.llm.subjects import subjects_of
+
+    ship(spark)
+    return subjects_of(spark, table(spark, folder, "documents"), table(spark, folder, "subject_labels"), table(spark, folder, "subjects"))
+
+
+def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents deal with each subject, of all with a doc_id."""
+    documents = table(spark, folder, "documents")
+    found = p8_found(spark, folder).groupBy("subject").agg(F.count("*").alias("documents"))
+    total = documents.agg(F.count("doc_id").alias("total"))
+    return found.crossJoin(F.broadcast(total)).select("subject", "documents", F.round(F.col("documents") / F.col("total"), 6).alias("share"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_kinds, p3_found, p4_found, p4_pairs, p5_found, p5_rates, p6_ids, p6_round_trips, p7_uses, p7_shares, p8_found, p8_composition)}
 
 ORACLES: dict[str, str] = {
     "p1_found": """
