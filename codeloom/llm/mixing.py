@@ -72,14 +72,38 @@ def hash_of(text: str) -> int:
     return xxhash.xxh32_intdigest(text)
 
 
+def balance(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, final: bool) -> np.ndarray:
+    """Flight over size classes, from the longest documents to the shortest.
+
+    A long document among short ones hardly moves, so in one flight over all the longest would stay undecided and landing them
+    would cost their size. Here each class flies and lands by itself; the tokens it is off by are expected of the next, shorter
+    class. What is left undecided at the end, or landed if ``final``, is of the shortest class.
+    """
+    out = pi.astype(float).copy()
+    rank = np.frexp(size)[1]
+    owed = 0.0
+    classes = np.unique(rank)[::-1]
+    for c in classes:
+        at = np.flatnonzero(rank == c)
+        before = float((out[at] * size[at]).sum())
+        if owed:
+            out[at] = np.clip(out[at] + owed / size[at].sum(), 0, 1)
+        owed += before - float((out[at] * size[at]).sum())
+        want = float((out[at] * size[at]).sum())
+        flown = flight(out[at], size[at], rng)
+        if final or c != classes[-1]:
+            flown = landing(flown, size[at])
+        out[at] = flown
+        owed += want - float((flown * size[at]).sum())
+    return out
+
+
 def _fly(final: bool):
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        # The longest first: what is left undecided, and has to be landed, is short.
-        f = f.sort_values(["tokens", "draw", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        f = f.sort_values(["draw", "doc_id"], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([SEED, hash_of(str(key[0])), int(key[1]), int(final)])
         size = f["tokens"].to_numpy(dtype=float)
-        pi = flight(f["pi"].to_numpy(dtype=float), size, rng)
-        return f.assign(pi=landing(pi, size) if final else pi)[["doc_id", "source", "tokens", "pi", "draw"]]
+        return f.assign(pi=balance(f["pi"].to_numpy(dtype=float), size, rng, final))[["doc_id", "source", "tokens", "pi", "draw"]]
 
     return run
 
