@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 
+def _load():
+    from codeloom.plans import graph_queries, metric_queries, note_queries, search_queries, source_queries, vector_queries  # noqa: F401
+    from codeloom.plans import registry
+
+    return registry
+
+
 def core_queries() -> dict:
-    return {}
+    return dict(_load().QUERIES)
 
 
 def core_oracles() -> dict:
-    return {}
+    return dict(_load().ORACLES)
