@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.schema import SQL_GRAPH, edges_of, nodes_of
-from codeloom.session import table
+from codeloom.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,7 +19,12 @@ def query(sql: str | None = None, graph: bool = True):
     """Registers a query under its function's name; ``sql`` is its oracle, put behind the graph's common table expressions n and e."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return f(spark, folder)
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             body = sql.strip()
             if graph:

@@ -1 +1,64 @@
+"""Queries over vectors."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codeloom.operators import vectors
+from codeloom.plans.registry import edges, nodes, query
+from codeloom.session import table
+
+_UNIT = "u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS len FROM embeddings WHERE embedding IS NOT NULL)"
+
+
+def _embeddings(spark, folder):
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
+
+
+@query(
+    f"""WITH {_UNIT}, p AS (SELECT a.vec_id AS node_id_a, b.vec_id AS node_id_b, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) / (a.len * b.len) AS s FROM u a JOIN u b ON a.vec_id < b.vec_id)
+    SELECT node_id_a, node_id_b, round(s, 6) AS similarity FROM p WHERE s >= 0.4""",
+    graph=False,
+)
+def v4_similar_pairs(spark, folder):
+    return vectors.similar_pairs(_embeddings(spark, folder), 0.4).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def v4_duplicates(spark, folder):
+    return vectors.duplicates(nodes(spark, folder), vectors.latest(table(spark, folder, "symbol_vectors"), 128), 0.9, None)
+
+
+@query(
+    f"""WITH {_UNIT}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS node_id, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) / (a.len * b.len), 12) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, node_id) AS k FROM p WHERE s > 0.1)
+    SELECT query_id, node_id, round(s, 6) AS similarity FROM r WHERE k <= 10""",
+    graph=False,
+)
+def v5_similar(spark, folder):
+    """Queries are the rows whose id is divisible by 50, against all rows."""
+    v = _embeddings(spark, folder)
+    return vectors.similar(v, v.where("node_id % 50 = 0")).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def v6_clusters(spark, folder):
+    return vectors.clusters(_embeddings(spark, folder), 0.4)
+
+
+@query()
+def v7_compare(spark, folder):
+    n, e = nodes(spark, folder), edges(spark, folder)
+    v = vectors.latest(table(spark, folder, "symbol_vectors"), 128)
+    pair = [r[0] for r in n.where("node_type = 'Function'").join(v, "node_id", "left_semi").orderBy("node_id").limit(2).select("node_id").collect()]
+    return vectors.compare(n, e, v, pair[0], pair[-1])
+
+
+@query()
+def v2_symbol_vectors(spark, folder):
+    return vectors.symbol_vectors(nodes(spark, folder))
+
+
+@query("SELECT vec_id AS node_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS norm FROM embeddings", graph=False)
+def expr_norms(spark, folder):
+    return _embeddings(spark, folder).select("node_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
