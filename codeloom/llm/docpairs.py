@@ -766,7 +766,7 @@ def is_trivial(doc: str | None, name: str) -> bool:
         return True
     if _says_much(doc, {p.lower()[:4] for p in _CAMEL.split(name) if p}):
         return False
-    name_words = {p.lower() for p in _CAMEL.split(name) if p} | {name.lower()}
+    name_words = {w.lower() for p in _CAMEL.split(name) for w in [p, *_WORD.findall(p)] if w} | {name.lower()}
     for raw in doc.split("\n"):
         line = raw.strip().strip("*").strip() if raw.strip().startswith("*") and not raw.strip().startswith("* ") else raw.strip()
         if not line or not _WORD.search(line) or _DIRECTIVE.fullmatch(line) or _HEADING.fullmatch(line):

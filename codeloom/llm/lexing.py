@@ -164,7 +164,11 @@ def scan(text: str, lang: str, entry: str = CODE) -> Scan:
     if entry:
         end, state = _close(text, 0, entry)
         if end:
-            comment(0, end, "block") if entry.startswith("/*") else literal(0, end, "string")
+            if entry.startswith("/*"):
+                comment(0, end, "block")
+            else:  # the rest of a literal that began before: no token of its own
+                strings.append(Token(0, end, "string"))
+                out.append(STR_TAIL * end)
         if state:
             return Scan("".join(out), comments, strings, state, None)
         last = pos = end

@@ -126,7 +126,7 @@ def _pairs(texts: bool):
                 for d in docpairs.documented(text, lang, s, texts):
                     if not docpairs.is_trivial(d.doc, d.name):
                         rows.append((file_id, d.line_no, d.name, path, lang, d.signature, d.doc) if texts else (file_id, d.line_no, d.name))
-            yield pd.DataFrame(dict(zip(columns, zip(*rows))) if rows else {c: [] for c in columns}, columns=columns)
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     return run
 

@@ -26,6 +26,8 @@ CALIBRATION_DOCS = 20_000
 LABELLED_ROUNDS, ALL_ROUNDS, UNLABELLED_WEIGHT = 4, 3, 0.3
 #: Additive smoothing, and how far a label set may be wrong.
 SMOOTHING, LABEL_DOUBT = 0.1, 0.02
+#: How far a document with subjects admits sentences without one. At 1 a subject's words may drift to none altogether.
+NONE_ADMITTED = 0.5
 #: A feature says nothing if its commonest class has at most the first share of it, and counts in full from the second on.
 FADE = 0.4, 0.7
 
@@ -155,11 +157,12 @@ def _flat(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _allowed(labels: pd.Series, classes: int) -> np.ndarray:
-    """Document by class: 1 where the labels admit a class, LABEL_DOUBT where not; all 1 without labels. None is always admitted."""
+    """Document by class: 1 where the labels admit a class, LABEL_DOUBT where not; all 1 without labels. None is always admitted, by NONE_ADMITTED beside subjects."""
     out = np.ones((len(labels), classes))
     for k, bits in enumerate(labels):
         if not pd.isna(bits):
             out[k, :-1] = [1.0 if int(bits) >> c & 1 else LABEL_DOUBT for c in range(classes - 1)]
+            out[k, -1] = NONE_ADMITTED if int(bits) else 1.0
     return out
 
 
@@ -175,9 +178,7 @@ def _expected(model_of, classes: int):
                 continue
             allowed = _allowed(f["labels"], classes)
             if model is None:
-                share = allowed.copy()
-                share[:, -1] *= 0.5
-                r = (share / share.sum(1, keepdims=True))[docs]
+                r = (allowed / allowed.sum(1, keepdims=True))[docs]
             else:
                 r = posteriors(model.scores(feats, lens), model.prior, docs, allowed, len(f), 0.0)
             weight = np.where(f["labels"].isna().to_numpy(), UNLABELLED_WEIGHT, 1.0)

@@ -53,6 +53,8 @@ class _Classes(dict):
         first = token[0]
         if first == "\x02":
             return STRING
+        if first == "\x03":  # the rest of a literal that began in the chunk before
+            return ""
         if first == "'" and len(token) > 1:
             return "l"
         if first.isdigit() or first == "." and len(token) > 1:
@@ -252,13 +254,15 @@ def python_parses(text: str) -> bool:
 
 
 def chunks(code: str, size: int = CHUNK_CHARS) -> list[str]:
-    """Cuts behind line ends; a line longer than ``size`` stays whole. A byte order mark at the start is dropped."""
-    text = code[1:] if code[:1] == "﻿" else code
+    """Cuts behind line ends that no backslash continues; a line longer than ``size`` stays whole. A byte order mark at the start is dropped."""
+    text = code[1:] if code[:1] == "\ufeff" else code
     if len(text) <= size:
         return [text]
     out, pos = [], 0
     while pos < len(text):
         end = text.find("\n", min(pos + size, len(text)) - 1)
+        while end > 0 and text[max(0, end - 2) : end].endswith(("\\", "\\\r")):
+            end = text.find("\n", end + 1)
         end = len(text) if end < 0 else end + 1
         out.append(text[pos:end])
         pos = end
