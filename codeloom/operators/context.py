@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.rules import call_site, layer, tokens_estimate, usage_description
@@ -18,18 +17,21 @@ def within(ranked: DataFrame, group: str, budget: int, *order: str) -> DataFrame
 def fitting(ranked: DataFrame, group: str, budget: int, order: list[str]) -> DataFrame:
     """Rows (tokens) of each group that fit into what those taken before left; one that doesn't is skipped, and smaller ones behind it may still fit.
 
-    Each step depends on the one before, so a group is walked in order; callers cut groups to a bounded number of candidates first.
+    Each step depends on the one before, so a group is folded in order, inside the JVM; callers cut groups to a bounded number of candidates first.
     """
-
-    def take(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order, kind="stable")
-        left, keep = budget, []
-        for t in f["tokens"]:
-            keep.append(t <= left)
-            left -= t if keep[-1] else 0
-        return f[keep]
-
-    return ranked.groupBy(group).applyInPandas(take, ranked.schema)
+    columns = [c for c in ranked.columns if c not in order]
+    row = F.struct(*order, *columns)
+    lists = ranked.groupBy(group).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    kind = lists.schema["_rows"].dataType.simpleString()
+    start = F.struct(F.lit(budget).cast("bigint").alias("left"), F.array().cast(kind).alias("kept"))
+
+    def take(state: Column, x: Column) -> Column:
+        size = x["tokens"].cast("bigint")
+        more = F.struct((state["left"] - size).alias("left"), F.concat(state["kept"], F.array(x)).alias("kept"))
+        return F.when(size <= state["left"], more).otherwise(state)
+
+    kept = F.aggregate("_rows", start, take)["kept"]
+    return lists.select(F.explode(kept).alias("_r")).select(*[F.col("_r")[c].alias(c) for c in ranked.columns])
 
 
 def bodies(nodes: DataFrame, files: DataFrame) -> DataFrame:

@@ -6,7 +6,11 @@ code_links is an array of struct<node_id: bigint, relevance: double>.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import uuid
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.rules import was_current_at, was_valid_at
@@ -25,6 +29,24 @@ KINDS = {
 }
 
 
+SCHEMA = (
+    "id string, kind string, kind_data string, title string, content string, tags array<string>, code_links array<struct<node_id:bigint,relevance:double>>, valid_at timestamp, invalid_at timestamp, "
+    "created_at timestamp, superseded_at timestamp, commit_hash string, confidence double, embedding array<float>"
+)
+
+
+def make(spark: SparkSession, kind: str, title: str, content: str, tags: list[str] | None = None, links: dict[int, float] | None = None, confidence: float = 1.0, commit: str | None = None, moment: datetime | None = None, note: str | None = None, **data) -> DataFrame:
+    """One note of a known kind; fields of the kind that are not given have its defaults. Raises ValueError for an unknown kind or field."""
+    if kind not in KINDS:
+        raise ValueError(f"unknown kind of note: {kind}")
+    unknown = set(data) - set(KINDS[kind])
+    if unknown:
+        raise ValueError(f"a {kind} has no {', '.join(sorted(unknown))}")
+    now = moment or datetime.now(timezone.utc)
+    row = (note or str(uuid.uuid4()), kind, json.dumps(KINDS[kind] | data), title, content, tags or [], [(n, float(r)) for n, r in (links or {}).items()], now, None, now, None, commit, float(confidence), None)
+    return spark.createDataFrame([row], SCHEMA)
+
+
 def is_current() -> Column:
     return F.col("invalid_at").isNull() & F.col("superseded_at").isNull()
 
