@@ -25,14 +25,15 @@ from codeloom.session import Scratch
 
 #: A grammar of at most this many symbols per token, and this many coded bits per token, marks a generated file.
 GENERATED_RATIO, GENERATED_BITS, GENERATED_TOKENS = 0.27, 1.7, 40
-#: Encoded data: literals of at least BLOB_LITERAL characters make up BLOB_SHARE of the file, and their grammar keeps
-#: BLOB_CODED of the bits that their characters' frequencies alone need.
-BLOB_LITERAL, BLOB_SHARE, BLOB_CODED = 40, 0.6, 0.8
+#: Encoded data: literals of at least BLOB_LITERAL characters make up BLOB_SHARE of the file, their characters come nearly
+#: equally often (BLOB_EVEN of the bits an even alphabet needs), and their grammar keeps BLOB_CODED of these bits. Words of a language or lists of
+#: names are uneven.
+BLOB_LITERAL, BLOB_SHARE, BLOB_EVEN, BLOB_CODED = 40, 0.6, 0.93, 0.9
 #: Minified: lines of at least so many code tokens hold that share of a file's tokens.
 MINIFIED_TOKENS, MINIFIED_SHARE = 120, 0.5
 #: Vendored: rules for at least PHRASE_TOKENS tokens that other repositories hold too make up VENDORED_SHARE of a file with
 #: at least VENDORED_TOKENS tokens.
-PHRASE_TOKENS, VENDORED_SHARE, VENDORED_TOKENS = 32, 0.5, 64
+PHRASE_TOKENS, VENDORED_SHARE, VENDORED_TOKENS = 48, 0.5, 120
 #: Rules of more rows than rows / HOT_KEYS are joined by broadcast; there are at most HOT_KEYS of them.
 HOT_KEYS = 4096
 
@@ -119,7 +120,8 @@ def _minified(masked: str, total: int) -> bool:
         if len(line) > 2 * MINIFIED_TOKENS:
             toks = _TOKENS.findall(line)
             plain = sum(1 for t in toks if t[0] == "\x02" or t[0].isdigit() or t in ",[]{}:")
-            if len(toks) >= MINIFIED_TOKENS and plain < 0.8 * len(toks):
+            built = sum(1 for t in toks if t in "();=")
+            if len(toks) >= MINIFIED_TOKENS and plain < 0.8 * len(toks) and built >= 0.15 * len(toks):
                 crowded += len(toks)
     return total > 0 and crowded >= MINIFIED_SHARE * total
 
@@ -153,7 +155,7 @@ def measure(paths: list[str | None], codes: list[str | None]) -> tuple[list[str
         else:
             long = [t for t in s.strings if t.end - t.start >= BLOB_LITERAL]
             if sum(t.end - t.start for t in long) >= BLOB_SHARE * len(code):
-                body = "".join(code[t.start : t.end] for t in long)
+                body = "".join(code[t.start + 1 : t.end - 1] for t in long)
                 literals.append(np.frombuffer(body.encode("utf-32-le"), dtype=np.uint32).astype(np.int64))
                 owners.append(k)
     g = repair.infer(classes)
@@ -162,8 +164,9 @@ def measure(paths: list[str | None], codes: list[str | None]) -> tuple[list[str
         kinds[k] = kinds[k] or "generated"
     if literals:
         coded = repair.infer(literals)
-        for k, bits, plain in zip(owners, coded.bits, coded.plain_bits):
-            if plain > 0 and bits >= BLOB_CODED * plain:
+        for k, bits, plain, x in zip(owners, coded.bits, coded.plain_bits, literals):
+            even = len(x) * np.log2(max(2, len(np.unique(x))))
+            if plain >= BLOB_EVEN * even and bits >= BLOB_CODED * plain:
                 kinds[k] = kinds[k] or "encoded"
     return kinds, repair.phrases(texts, PHRASE_TOKENS), g.length
 
