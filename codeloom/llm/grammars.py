@@ -30,7 +30,7 @@ OPERATORS = {
 #: Roles by bracket. A group character is base + bit set of roles.
 ROLES = {
     "javascript": {"(": ["E", "A", "P", "F", "T"], "[": ["L", "K"], "{": ["B", "O", "C", "S", "I", "Y", "N"]},
-    "go": {"(": ["A", "P", "D"], "[": ["K"], "{": ["B", "V", "S", "I", "W"]},
+    "go": {"(": ["A", "P", "D", "X"], "[": ["K", "M"], "{": ["B", "V", "S", "I", "W"]},
     "java": {"(": ["E", "A", "P", "F", "R", "T", "X"], "[": ["K", "Z"], "{": ["B", "V", "C", "W", "N"]},
     "rust": {"(": ["A", "P", "T", "M"], "[": ["A", "T", "M"], "{": ["B", "V", "S", "N", "I", "W", "U", "M"]},
     "c": {"(": ["E", "A", "P", "F", "T", "R"], "[": ["K"], "{": ["B", "V", "S", "N"]},
@@ -93,11 +93,12 @@ _JS = {
     "T": "(?:`; L`|$)",
     "target": "(?:<id>|{{O}|{[L})",
     "decl": "<target>(?:`=`<e>)?+",
+    "lex": "(?:`var let`<decl>(?:`,`<decl>)*+|`const`<target>`=`<e>(?:`,`<target>`=`<e>)*+)",
     "cls": "`class`<id>?(?:`extends`<post_e>)?{{C}",
     "fn": "`async`?`function``*`?<id>{(P}{{B}",
-    "mod": "`import`(?:<T>(?!)|`s`<T>|(?:<id>|`*``as`<id>|{{I})(?:`,`(?:`*``as`<id>|{{I}))?`from``s`(?:`with`{{O})?<T>)|`export`(?:`default`(?:(?:`async`?`function``*`?<id>?{(P}{{B}|<deco>*`class`<id>?(?:`extends`<post_e>)?{{C})|<e><T>)|`*`(?:`as`<ANY>)?`from``s`<T>|{{I}(?:`from``s`)?<T>|(?:`var let const`<decl>(?:`,`<decl>)*+<T>|<fn>|<deco>*<cls>))",
+    "mod": "`import`(?:<T>(?!)|`s`<T>|(?:<id>|`*``as`<id>|{{I})(?:`,`(?:`*``as`<id>|{{I}))?`from``s`(?:`with`{{O})?<T>)|`export`(?:`default`(?:(?:`async`?`function``*`?<id>?{(P}{{B}|<deco>*`class`<id>?(?:`extends`<post_e>)?{{C})|<e><T>)|`*`(?:`as`<ANY>)?`from``s`<T>|{{I}(?:`from``s`)?<T>|(?:<lex><T>|<fn>|<deco>*<cls>))",
     "deco": "`@`(?:<id>(?:`.`<ANY>)*+{(A}?|{(E})`L`?",
-    "st": "(?>`L`*+(?:`;`|{{B}`;`?|<mod>|`var let const`<decl>(?:`,`<decl>)*+<T>|<fn>|<deco>*<cls>|`if`{(E}<st>`L`?(?:`else`<st>)?+|`for``await`?{(F}<st>|`while`{(E}<st>|`do`<st>`L`?`while`{(E}<T>?|`return`<es>?<T>|`break continue`<id>?<T>|`throw`<es><T>|`debugger`<T>|`try`{{B}`L`?(?:`catch`{(P}?{{B}`L`?(?:`finally`{{B})?+|`finally`{{B})|`switch`{(E}{{S}|`with`{(E}<st>|<id>`:`<st>|<es><T>))",
+    "st": "(?>`L`*+(?:`;`|{{B}`;`?|<mod>|<lex><T>|<fn>|<deco>*<cls>|`if`{(E}<st>`L`?(?:`else`<st>)?+|`for``await`?{(F}<st>|`while`{(E}<st>|`do`<st>`L`?`while`{(E}<T>?|`return`<es>?<T>|`break continue`<id>?<T>|`throw`<es><T>|`debugger`<T>|`try`{{B}`L`?(?:`catch`{(P}?{{B}`L`?(?:`finally`{{B})?+|`finally`{{B})|`switch`{(E}{{S}|`with`{(E}<st>|<id>`:`<st>|<es><T>))",
     "prop": "(?:`...`<e>|(?:`async get set`|`*`|`async``*`)?(?:<name>){(P}{{B}|(?:<name>)`:`<e>|<id>(?:`=`<e>)?+)",
     "param": "`...`?<target>(?:`=`<e>)?+",
     "member": "`L`*+(?:`;`|`static`{{B}|<deco>*+(?:`static`(?![(=;L]|<GROUP>))?(?:(?:`async`?`*`?|`get set`)(?:<name>){(P}{{B}|(?:<name>)(?:`=`<e>)?+<T>))",
@@ -133,6 +134,7 @@ _TS = _JS | {
     "herit": "(?:`extends`<post_e>(?:<targs>)?)?(?:`implements`<type>(?:`,`<type>)*+)?",
     "suffix": "(?:`. ?.`<ANY>|`?.`(?:{(A}|{[L})|<targs>(?=<GROUP>|`s`){(A}|<targs>`s`|{(A}|{[L}|`s`|`++ --`|`!`(?!`=`)|`as satisfies`(?:`const`|<type>))",
     "decl": "<target>`!`?(?:`:`<type>)?+(?:`=`<e>)?+",
+    "lex": "`var let const`<decl>(?:`,`<decl>)*+",
     "cls": "`declare`?`abstract`?`class`<id>?<gen>?<herit>{{C}",
     "fn": "`declare`?`async`?`function``*`?<id><gen>?{(P}<ret>?(?:{{B}|<T>)",
     "iface": "`interface`<id><gen>?(?:`extends`<tname>(?:`,`<tname>)*+)?{{Y}|`type`<id><gen>?`=`<type><T>|`const`?`enum`<id>{{N}|(?:`namespace module`)(?:<id>(?:`.`<id>)*|`s`)(?:{{B}|<T>)|`abstract``class`<id><gen>?<herit>{{C}",
@@ -153,14 +155,15 @@ _TS_ROLES = _JS_ROLES | {
 # Go --------------------------------------------------------------------------------------------------------------
 _GO = {
     "qual": "`i`(?:`.``i`)?(?:{[K})?",
-    "type": "(?:`*`<type>|{[K}<type>|`map`{[K}<type>|`<-`?`chan``<-`?<type>|`func`{(P}(?:<result>)?+|`struct`{{S}|`interface`{{I}|`i`(?:`.``i`)?(?:{[K}(?!`i *`|{(P}))?|{(P})",
+    "type": "(?:`*`<type>|{[K}<type>|`map`{[M}<type>|`<-`?`chan``<-`?<type>|`func`{(P}(?:<result>)?+|`struct`{{S}|`interface`{{I}|`i`(?:`.``i`)?(?:{[K}(?!`i *`|{(P}))?|{(P})",
     "result": "(?:{(P}|<type>)",
-    "lit": "(?:{[K}<type>|`map`{[K}<type>|`struct`{{S}){{V}",
-    "prim": "(?:`n s`|`func`{(P}(?:<result>)?+{{B}|<lit>|(?:{[K}<type>|`map`{[K}<type>|`chan`<type>|`interface`{{I}|`struct`{{S}){(A}?|`i`|{(A})",
-    "suf": "(?:`.``i`|`.`{(A}|{(A}|{[K})",
+    "lit": "(?:{[K}<type>|`map`{[M}<type>|`struct`{{S}){{V}",
+    "prim": "(?:`n s`|`func`{(P}(?:<result>)?+{{B}|<lit>|(?:{[K}<type>|`map`{[M}<type>|`chan`<type>|`interface`{{I}|`struct`{{S}){(A}?|`i`|{(A})",
+    "suf": "(?:`.``i`|`.`{(X}|{(A}|{[K})",
+    "comp": "(?:`i`(?:`.``i`)?(?:{[K})?{{V}|<prim>)",
     "un": "(?:`+ - ! ^ * & <-`)*+",
     "op": "`&& || == != < <= > >= + - | ^ * / % << >> & &^`",
-    "u": "<un><prim>(?:<suf>|{{V})*+",
+    "u": "<un><comp>(?:<suf>)*+",
     "e": "<u>(?:<op><u>)*+",
     "un0": "<un><prim>(?:<suf>)*+",
     "e0": "<un0>(?:<op><un0>)*+",
@@ -180,9 +183,11 @@ _GO = {
     "top": "(?:`import`(?:<imp>|{(D})|<decl>|`func`(?:{(P})?`i`(?:{[K})?{(P}(?:<result>)?+(?:{{B})?)",
 }
 _GO_ROLES = {
-    "(A": "`type`|(?:(?:<e>|<type>)`...`?(?:`,`|$)|`;`)*+",
+    "(A": "(?:(?:<e>|<type>)`...`?(?:`,`|$)|`;`)*+",
+    "(X": "`type`|<type>",
     "(P": "(?:(?:<param>)(?:`,`|$)|`;`)*+",
     "(D": "(?:`;`|(?:<imp>|<tspec>|<spec>)(?:`;`|$))*+",
+    "[M": "<type>",
     "[K": "(?:`...`|(?:<e>)?`:`(?:<e>)?(?:`:`<e>)?|(?:(?:`i`(?:`,``i`)*)?(?:`~`?<type>)(?:`|``~`?<type>)*(?:`,`|$))+|(?:<e>|<type>)(?:`,`(?:<e>|<type>))*`,`?)?",
     "{B": "<list>",
     "{V": "(?:(?:(?:<e>|{{V})(?:`:`(?:<e>|{{V}))?)(?:`,`|$))*+`;`?",
@@ -215,7 +220,7 @@ _JAVA = {
     "var": "<id>{[Z}*(?:`=`(?:<e>|{{V}))?+",
     "local": "(?:`final`|<ann>)*<type><var>(?:`,`<var>)*+",
     "type_decl": "<mods>(?:`class`<id><tparams>?(?:`extends`<type>)?(?:`implements`<type>(?:`,`<type>)*+)?(?:`permits`<qn>(?:`,`<qn>)*+)?{{C}|`interface`<id><tparams>?(?:`extends`<type>(?:`,`<type>)*+)?(?:`permits`<qn>(?:`,`<qn>)*+)?{{C}|`enum`<id>(?:`implements`<type>(?:`,`<type>)*+)?{{N}|`record`<id><tparams>?{(P}(?:`implements`<type>(?:`,`<type>)*+)?{{C}|`@``interface`<id>{{C})",
-    "st": "(?>`;`|{{B}|<type_decl>|`if`{(E}<st>(?:`else`<st>)?+|`for`{(F}<st>|`while`{(E}<st>|`do`<st>`while`{(E}`;`|`return`<e>?`;`|`break continue`<id>?`;`|`throw`<e>`;`|`yield`<e>`;`|`assert`<e>(?:`:`<e>)?`;`|`synchronized`{(E}{{B}|`try`(?:{{B}(?:`catch`{(X}{{B})*+(?:`finally`{{B})?|{(R}{{B}(?:`catch`{(X}{{B})*+(?:`finally`{{B})?)|`switch`{(E}{{W}|<id>`:`<st>|<local>`;`|<e>`;`)",
+    "st": "(?>`;`|{{B}|<type_decl>|`if`{(E}<st>(?:`else`<st>)?+|`for`{(F}<st>|`while`{(E}<st>|`do`<st>`while`{(E}`;`|`return`<e>?`;`|`break continue`<id>?`;`|`throw`<e>`;`|`yield`<e>`;`|`assert`<e>(?:`:`<e>)?`;`|`synchronized`{(E}{{B}|`try`(?:{{B}(?:`catch`{(X}{{B})*+(?:`finally`{{B})?|{(R}{{B}(?:`catch`{(X}{{B})*+(?:`finally`{{B})?)|`switch`{(E}{{W}|<id>`:`<st>|<local>`;`|(?!(?:{(E}|`i n s this`)`;`)<e>`;`)",
     "param": "(?:`final`|<ann>)*(?:<type>(?:<ann>*`...`)?(?:<id>`.`)?(?:<id>|`this`){[Z}*)",
     "member": "(?>`;`|`static`?{{B}|<type_decl>|<mods><tparams>?<ann>*(?:(?:`void`|<type>)?<id>{(P}{[Z}*(?:`throws`<type>(?:`,`<type>)*+)?(?:{{B}|`default`(?:<e>|{{V}|<ann>)`;`|`;`)|<id>{{B})|<mods><type><var>(?:`,`<var>)*+`;`)",
 }

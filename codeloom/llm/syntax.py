@@ -88,7 +88,7 @@ _NEEDS = {
 _FLOW = "return if for while switch try throw break continue"
 _BANS = {
     "javascript": {r: f"; L {_FLOW}" for r in ("(E", "(A", "(P", "(T", "[L", "{O", "{I", "{N")} | {"[K": f"; {_FLOW}", "{Y": _FLOW, "{C": _FLOW},
-    "go": {r: "return if for switch :=" for r in ("(A", "(P", "(D", "[K", "{V", "{S", "{I")},
+    "go": {r: "return if for switch :=" for r in ("(A", "(P", "(D", "(X", "[K", "{V", "{S", "{I")},
     "java": {r: "; return if for while try throw break continue" for r in ("(E", "(A", "(P", "(T", "(X", "[K", "{V")} | {"{C": "return if for while try throw break continue switch", "{N": "return if for while"},
     "rust": {r: ";" for r in ("(A", "(P", "(T", "{V", "{S", "{N", "{U", "{W")} | {"{I": "let match return if for while"},
     "c": {r: "; return if for while do switch goto" for r in ("(E", "(A", "(P", "(T", "(R", "[K", "{V", "{N")} | {"{S": "return if for while do switch goto"},
@@ -124,6 +124,9 @@ class Parser:
         starts = "i" + "".join(v for w, v in g.words.items() if w not in _CARRY_ON)
         self.cuts = re.compile(f"(?<=[{g.char[';']}L])" + ("" if words == "go" else f"|(?<=[{chr(BASES['{'])}-{chr(0xE8FF)}])(?=[{starts}])"))
         group = f"{chr(BASES['('])}-{chr(0xE8FF)}"
+        comma = g.char[","]
+        self.signed = comma + g.char["-"] + NUMBER, comma + NUMBER
+        self.runs = re.compile(f"([ins{group}]{comma}\n?)\\1{{2,}}")
         c = g.char
         if words == "javascript":
             end = "ins" + group + "".join(c[w] for w in "this super null true false return break continue debugger void of as from ++ --".split() if w in c)
@@ -151,6 +154,8 @@ class Parser:
         return content
 
     def role(self, opener: str, content: str) -> str:
+        if len(content) > 24:  # a long run of equal elements is a list just as two of them are; so is one of numbers with signs
+            content = self.runs.sub(r"\1\1", content.replace(*self.signed))
         key = (opener, content)
         found = self.cache.get(key)
         if found is None:

@@ -37,10 +37,10 @@ GOOD = {
     ],
 }
 BAD = {
-    "javascript": ["const x = ;", "function f( { }", "<<<<<<< HEAD\na();\n=======\nb();\n>>>>>>> x\n", "let a b;", "f(1, 2;", "const s = 'abc\n';", "/* open", "if (a { }", "function f(a: string) { }", "}", "`open ${a}", "<!DOCTYPE html>\n<html></html>", "x = 0b12;", "package main\nfunc f() {}\n", "class A { private x: number; }"],
+    "javascript": ["const x = ;", "function f( { }", "<<<<<<< HEAD\na();\n=======\nb();\n>>>>>>> x\n", "let a b;", "f(1, 2;", "const s = 'abc\n';", "/* open", "if (a { }", "function f(a: string) { }", "}", "`open ${a}", "<!DOCTYPE html>\n<html></html>", "x = 0b12;", "package main\nfunc f() {}\n", "class A { private x: number; }", "const x;", "const { a };"],
     "typescript": ["type A = ;", "interface I { a: }", "function f(a: ) {}", "package a;\npublic class B { }\n", "let x: Map<string = 1;", "... 3 lines omitted ..."],
-    "go": ["func f() {}\n", "package a\nfunc f() {\n", "package a\nvar x int = \n", "package a\nclass A {}\n", "package a\nx := 1\n", "package a\nfunc f() { if x { }\n", "package a\nfunc f(a int b int) {}\n", "package a\n\0\n", "package a\nvar s = \"open\n"],
-    "java": ["class A {", "class A { void f() { int x = 1 } }", "class A { void f( { } }", "def f(): pass\n", "class A { int f() { return 1; } } }", "class A { void f() { x = 'ab; } }", "package a;\nimport b\nclass C { }", "```java\nclass A { }\n```\n"],
+    "go": ["func f() {}\n", "package a\nfunc f() {\n", "package a\nvar x int = \n", "package a\nclass A {}\n", "package a\nx := 1\n", "package a\nfunc f() { if x { }\n", "package a\nfunc f(a int b int) {}\n", "package a\n\0\n", "package a\nfunc f() { switch x := y.() { } }\n", "package a\nvar x = map[string][]int{\"a\" {1}}\n", "package a\nfunc f() { g(type) }\n", "package a\nvar s = \"open\n"],
+    "java": ["class A {", "class A { void f() { int x = 1 } }", "class A { void f( { } }", "def f(): pass\n", "class A { void f() { (x); } }", "class A { void f() { y; } }", "class A { int f() { return 1; } } }", "class A { void f() { x = 'ab; } }", "package a;\nimport b\nclass C { }", "```java\nclass A { }\n```\n"],
     "rust": ["fn f( { }", "fn f() { let x = }", "pub fn f() -> u8", "fn f() { let x: = 1; }", "class A { }", "fn f() { \"open }", "/* /* */ fn f() {}", "fn f() {}}", "fn f\ufffdg() {}", "import a from 'b';"],
     "c": ["int f( {", "int x = ;", "int f(void) { return 1 }", "public class A { };", "int a[3;", "char *s = \"open\n;", "fn f() -> u8 { 1 }", "int f(int a { return 1; }"],
 }
