@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import context, history, notes
 from codeloom.plans.registry import edges, nodes, query
+from codeloom.plans.search_queries import LAYERS
 from codeloom.session import table
 
 _COMMITS = "commits AS (SELECT CAST(doc_id AS VARCHAR) AS hash, string_split(text, chr(10))[1] AS subject, CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS body, created_at AS author_date FROM documents WHERE lower(trim(source)) = 'commits' AND text IS NOT NULL)"
@@ -200,6 +201,9 @@ def c1_usages(spark, folder):
     return context.usages(nodes(spark, folder), edges(spark, folder), bodies(spark, folder))
 
 
-@query()
+@query(
+    f"""WITH layers AS ({LAYERS}), links AS (SELECT DISTINCT src, dst FROM e WHERE edge_type IN ('Imports', 'ImportsFrom')), f AS (SELECT node_id, path FROM n WHERE node_type = 'CodeFile' AND path IS NOT NULL)
+    SELECT f.path, layer, (SELECT count(*) FROM links WHERE src = f.node_id) AS imports, (SELECT count(*) FROM links WHERE dst = f.node_id) AS imported_by FROM f LEFT JOIN layers USING (path)"""
+)
 def c1_architecture(spark, folder):
     return context.architecture(nodes(spark, folder), edges(spark, folder))

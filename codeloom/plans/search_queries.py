@@ -248,15 +248,16 @@ def expr_node_predicates(spark, folder):
     return nodes(spark, folder).select("node_id", rules.is_test_node(c("name"), c("path"), c("is_test")).alias("is_test"), rules.is_build_output(c("path")).alias("is_build_output"), rules.unused_confidence(c("name"), c("is_public")).alias("confidence"))
 
 
-@query(
-    r"""WITH p AS (SELECT DISTINCT path FROM n WHERE path IS NOT NULL), s AS (SELECT path, lower(path) AS l, regexp_replace(regexp_extract(lower(path), '([^/]*)$', 1), '(.)\.[^.]*$', '\1') AS stem FROM p)
+LAYERS = r"""WITH p AS (SELECT DISTINCT path FROM n WHERE path IS NOT NULL), s AS (SELECT path, lower(path) AS l, regexp_replace(regexp_extract(lower(path), '([^/]*)$', 1), '(.)\.[^.]*$', '\1') AS stem FROM p)
     SELECT path, CASE WHEN regexp_matches(l, 'controller|routes|router|endpoints|api/') THEN 'controller' WHEN regexp_matches(l, 'view|templates|pages|components|ui/') THEN 'presentation' WHEN contains(l, 'handler') THEN 'handler'
     WHEN regexp_matches(l, 'service|usecases|use_cases|application/') THEN 'service' WHEN contains(l, 'command') THEN 'command' WHEN regexp_matches(l, 'queries|query') THEN 'query' WHEN regexp_matches(l, 'model|entities|entity|domain/') THEN 'domain'
     WHEN contains(l, 'aggregate') THEN 'aggregate' WHEN regexp_matches(l, 'value_objects|valueobjects') THEN 'value_object' WHEN regexp_matches(l, 'repositories|repository|repos') THEN 'repository' WHEN regexp_matches(l, 'database|db/|persistence') THEN 'persistence'
     WHEN regexp_matches(l, 'adapter|infrastructure/') THEN 'infrastructure' WHEN contains(l, 'client') THEN 'client' WHEN contains(l, 'provider') THEN 'provider' WHEN contains(l, 'middleware') THEN 'middleware' WHEN regexp_matches(l, 'util|helper|lib/') THEN 'utility'
     WHEN regexp_matches(l, 'config|settings') THEN 'configuration' WHEN regexp_matches(l, 'types|interfaces|contracts') THEN 'contract' WHEN regexp_matches(l, 'test|spec') THEN 'test' WHEN regexp_matches(l, 'fixtures|mocks|stubs') THEN 'test_support'
     WHEN ends_with(stem, 'repo') THEN 'repository' END AS layer FROM s"""
-)
+
+
+@query(LAYERS)
 def expr_layer(spark, folder):
     return nodes(spark, folder).where("path IS NOT NULL").select("path").distinct().select("path", rules.layer(F.col("path")).alias("layer"))
 

@@ -100,7 +100,10 @@ def w3_branch_switches(spark, folder):
     return watch.branch_switches(heads, "1 hour")
 
 
-@query()
+@query(
+    f"WITH {_RUNS}, r AS (SELECT user_id AS path, arg_max(event_type, (ts, event_type)) AS kind, count(*) AS events, max(ts) + INTERVAL 6 HOUR AS ended FROM g GROUP BY user_id, run) SELECT * FROM r WHERE ended <= (SELECT max(ts) - INTERVAL 10 SECOND FROM events)",
+    graph=False,
+)
 def w1_debounce_stream(spark, folder):
     """The same as a stream over the whole table, run until all of it is read; runs the watermark has not passed are still open."""
     from codeloom.session import Scratch
