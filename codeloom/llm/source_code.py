@@ -115,17 +115,14 @@ def _pairs(texts: bool):
                 if not code or lang is None:
                     continue
                 text = code[1:] if code[:1] == "\ufeff" else code
-                s = None
-                if lang == "python" or len(text) > syntax.CHUNK_CHARS:
-                    if not syntax.parses(lang, code):
-                        continue
-                else:
-                    s = scan(text, lang)
-                    if not syntax.scan_parses(lang, text, s):
-                        continue
-                for d in docpairs.documented(text, lang, s, texts):
-                    if not docpairs.is_trivial(d.doc, d.name):
-                        rows.append((file_id, d.line_no, d.name, path, lang, d.signature, d.doc) if texts else (file_id, d.line_no, d.name))
+                s = scan(text, lang)
+                found = [d for d in docpairs.documented(text, lang, s, texts) if not docpairs.is_trivial(d.doc, d.name)]
+                if not found:  # whether the file parses makes no difference then
+                    continue
+                whole = lang != "python" and len(text) <= syntax.CHUNK_CHARS
+                if not (syntax.scan_parses(lang, text, s) if whole else syntax.parses(lang, code)):
+                    continue
+                rows += [(file_id, d.line_no, d.name, path, lang, d.signature, d.doc) if texts else (file_id, d.line_no, d.name) for d in found]
             yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     return run
