@@ -7,6 +7,8 @@ content. Tokens are written in backquotes, sub-rules in <angle brackets>, roles
 
 from __future__ import annotations
 
+import re
+
 import regex
 
 #: The reserved and contextual words of each language that the grammars name.
@@ -40,6 +42,25 @@ BASES = {"(": 0xE400, "[": 0xE600, "{": 0xE800}
 IDENT, NUMBER, STRING, NEWLINE, BREAK, LIFETIME = "i", "n", "s", "\n", "L", "l"
 
 
+_BRACKETS = re.compile(r"`[^`]+`|\{[(\[{]\w\}|\[[^\]]*\]|\(\?<?[=!]|[()]")
+
+
+def _without_lookaround(text: str) -> str:
+    """A rule's text without its lookarounds, which take nothing in."""
+    out, pos, depth, inside = [], 0, 0, 0
+    for m in _BRACKETS.finditer(text):
+        if m[0][0] == "(":
+            depth += 1
+            if len(m[0]) > 1 and not inside:
+                out.append(text[pos : m.start()])
+                inside = depth
+        elif m[0] == ")":
+            if depth == inside:
+                pos, inside = m.end(), 0
+            depth -= 1
+    return "".join(out) + text[pos:]
+
+
 class Grammar:
     """The compiled grammar of one language: token characters and a pattern for each role."""
 
@@ -56,6 +77,25 @@ class Grammar:
         define = "(?(DEFINE)" + "".join(f"(?P<{n}>{self._compile(p, lang)})" for n, p in rules.items()) + ")"
         self.roles = {k: regex.compile(f"{define}(?:{self._compile(p, lang)})") for k, p in roles.items()}
         self.file = regex.compile(f"{define}(?:{self._compile(file, lang)})")
+        self.foreign = {k: self._foreign(p, rules) for k, p in roles.items()}
+
+    def _foreign(self, rule: str, rules: dict[str, str]) -> re.Pattern | None:
+        """Finds a character that no alternative of ``rule`` takes in, so that content with one can't match; None if all are taken."""
+        chars: set[str] = set()
+        seen: set[str] = set()
+        todo = [rule]
+        while todo:
+            text = _without_lookaround(todo.pop())
+            if "\\s\\S" in text:
+                return None
+            chars.update(*(self.char[t] for ts in re.findall(r"`([^`]+)`", text) for t in ts.split()))
+            text = re.sub(r"`[^`]+`", "", text)
+            chars.update(*(self._role_class(b, r)[1:-1] for b, r in re.findall(r"\{([(\[{])(\w)\}", text)))
+            names = set(re.findall(r"<(\w+)>", text))
+            chars.update(*([IDENT, *self.words.values()] if "ANY" in names else []), *(map(chr, range(0xE400, 0xE900)) if "GROUP" in names else []))
+            todo += [rules[n] for n in names - seen - {"ANY", "GROUP"}]
+            seen |= names
+        return re.compile("[^" + "".join(re.escape(c) for c in sorted(chars)) + "]" if chars else r"[\s\S]")
 
     def _role_class(self, bracket: str, role: str) -> str:
         bit = self.role_bits[bracket, role]

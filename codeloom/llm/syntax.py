@@ -77,7 +77,7 @@ _LISTS = {"javascript": {"{B", "{C"}, "go": {"{B"}, "java": {"{B", "{C"}, "rust"
 _JOIN = 6
 #: Words that carry a statement on behind a block.
 _CARRY_ON = {"else", "catch", "finally", "while", "instanceof", "in", "as", "of", "from"}
-#: What a content must hold, and must not hold, to play a role; spares most matches that can't succeed.
+#: What a content must hold to play a role by its grammar; with Grammar.foreign, what it must not hold, spares most matches that can't succeed.
 _NEEDS = {
     "javascript": {"(F": "; of in", "{S": "case default"},
     "go": {"(D": "s i"},
@@ -85,14 +85,6 @@ _NEEDS = {
     "rust": {"{W": "=>"},
     "c": {"(F": ";"},
 }
-_FLOW = "return if for while switch try throw break continue"
-_BANS = {
-    "javascript": {r: f"; L {_FLOW}" for r in ("(E", "(A", "(P", "(T", "[L", "{O", "{I", "{N")} | {"[K": f"; {_FLOW}", "{Y": _FLOW, "{C": _FLOW},
-    "go": {r: "return if for switch :=" for r in ("(A", "(P", "(D", "(X", "[K", "{V", "{S", "{I")},
-    "java": {r: "; return if for while try throw break continue" for r in ("(E", "(A", "(P", "(T", "(X", "[K", "{V")} | {"{C": "return if for while try throw break continue switch", "{N": "return if for while"},
-    "rust": {r: ";" for r in ("(A", "(P", "(T", "{V", "{S", "{N", "{U", "{W")} | {"{I": "let match return if for while"},
-    "c": {r: "; return if for while do switch goto" for r in ("(E", "(A", "(P", "(T", "(R", "[K", "{V", "{N")} | {"{S": "return if for while do switch goto"},
-}
 
 
 class Parser:
@@ -120,7 +112,7 @@ class Parser:
         def holding(named: dict[str, str], role: str) -> re.Pattern | None:
             return re.compile("[" + "".join(re.escape(g.char.get(w, w)) for w in named[role].split()) + "]") if role in named else None
 
-        self.roles = {b: [(1 << k, b + r, holding(_NEEDS[words], b + r), holding(_BANS[words], b + r)) for k, r in enumerate(rs)] for b, rs in ROLES[words].items()}
+        self.roles = {b: [(1 << k, b + r, holding(_NEEDS[words], b + r), g.foreign[b + r]) for k, r in enumerate(rs)] for b, rs in ROLES[words].items()}
         starts = "i" + "".join(v for w, v in g.words.items() if w not in _CARRY_ON)
         self.cuts = re.compile(f"(?<=[{g.char[';']}L])" + ("" if words == "go" else f"|(?<=[{chr(BASES['{'])}-{chr(0xE8FF)}])(?=[{starts}])"))
         group = f"{chr(BASES['('])}-{chr(0xE8FF)}"
@@ -163,8 +155,8 @@ class Parser:
             bits = 0
             if BAD not in flat:
                 for whole in (False, True):
-                    for bit, name, needs, bans in self.roles[opener]:
-                        if flat and needs and not needs.search(flat) or bans and bans.search(flat):
+                    for bit, name, needs, foreign in self.roles[opener]:
+                        if flat and needs and not needs.search(flat) or foreign and foreign.search(flat):
                             continue
                         if name in self.lists and not whole:
                             bits |= bit * self.matches_list(name, flat)
