@@ -32,10 +32,9 @@ def _broken(path: pd.Series, code: pd.Series) -> pd.Series:
 
 def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        for file_id, path, code in zip(f["file_id"], f["path"], f["code"]):
-            lang = language_of(path)
+        for key, lang, code in zip(f["key"], f["lang"], f["code"]):
             for k, part in enumerate(syntax.chunks(code)):
-                yield pd.DataFrame({"file_id": [file_id], "lang": [lang], "no": [k], "part": [part]})
+                yield pd.DataFrame({"key": [key], "lang": [lang], "no": [k], "part": [part]})
 
 
 @F.pandas_udf(T.StringType())
@@ -61,22 +60,24 @@ def syntax_verdicts(files: DataFrame, *keep: str, chunk_chars: int = syntax.CHUN
     ``files`` needs file_id, path and code; other columns are ignored unless named in ``keep``. Null code and unknown
     extensions give no row; empty code is valid; a byte order mark at the start is ignored. Files longer than
     ``chunk_chars`` are cut at line ends, the chunks spread over the cluster, summarised as lexer-state maps with
-    bracket summaries and reduced in order; all others are one chunk, and no code is shuffled for them.
+    bracket summaries and reduced in order, each different content once, however many rows have it; all others are one
+    chunk, and no code is shuffled for them.
     """
     base = files.select("file_id", *keep, "path", "code", language_column().alias("lang")).where("code IS NOT NULL AND lang IS NOT NULL")
     whole = F.col("lang").eqNullSafe("python") | (F.length("code") <= chunk_chars)
     small = base.where(whole).select("file_id", *keep, "lang", _broken("path", "code").alias("broken"))
-    big = base.where(~whole)
+    big = base.where(~whole).withColumn("key", F.sha2("code", 256))
     maps = (
-        big.select("file_id", "path", "code")
-        .mapInPandas(_cut, "file_id bigint, lang string, no int, part string")
-        .repartition(F.col("file_id"), F.col("no"))
-        .select("file_id", "lang", "no", _map_of("lang", "no", "part").alias("map"))
-        .groupBy("file_id", "lang")
+        big.select("key", "lang", "code")
+        .mapInPandas(_cut, "key string, lang string, no int, part string")
+        .repartition("key", "lang", "no")
+        .dropDuplicates(["key", "lang", "no"])
+        .select("key", "lang", "no", _map_of("lang", "no", "part").alias("map"))
+        .groupBy("key", "lang")
         .agg(F.array_sort(F.collect_list(F.struct("no", "map"))).alias("maps"))
-        .select("file_id", _join("lang", F.col("maps.map")).alias("broken"))
+        .select("key", "lang", _join("lang", F.col("maps.map")).alias("broken"))
     )
-    large = big.select("file_id", *keep, "lang").join(maps, "file_id").select("file_id", *keep, "lang", "broken")
+    large = big.select("file_id", *keep, "lang", "key").join(maps, ["key", "lang"]).select("file_id", *keep, "lang", "broken")
     return small.unionByName(large)
 
 

@@ -3,6 +3,7 @@
 import pytest
 
 from codeloom.llm import syntax
+from codeloom.llm.source_code import syntax_verdicts
 
 RESERVED = {
     "rust": ["mod tests { impl Tr for Mock { fn a(&self) {} } }\n", "impl S { fn m<F>(&self, f: F) where F: for<'a> Fn(&'a str) -> u8 { } }\n", "impl S { const N: usize = if A { 1 } else { 2 }; }\n", "trait T { const N: u8 = match A { 1 => 2, _ => 3 }; }\n"],
@@ -31,3 +32,14 @@ def test_foreign_characters_are_those_no_match_holds(lang):
         for _, name, _, foreign in p.roles[opener]:
             if foreign and foreign.search(flat):
                 assert not p.grammar.roles[name].fullmatch(flat), (name, flat)
+
+
+FILES = "file_id bigint, project string, path string, code string"
+FUNCTION = "func f() {\n\tg(\n\t\t1,\n\t)\n}\n"
+
+
+def test_repeated_long_files_are_judged_once(spark):
+    go, js = "package a\n\n" + FUNCTION * 100, "function f() {\n  g(\n1)\n}\n" * 100
+    rows = [(1, "p", "a.go", go), (1, "p", "a.go", go), (2, "p", "b.js", js), (2, "p", "b.js", js), (3, "p", "c.js", js), (4, "p", "d.js", js + "}\n"), (4, "p", "d.js", js), (5, "p", "e.js", go), (5, "p", "e.go", go), (None, "p", "f.go", go)]
+    got = sorted(((r.file_id or 0, r.lang, r.broken) for r in syntax_verdicts(spark.createDataFrame(rows, FILES), chunk_chars=500).collect()))
+    assert got == [(0, "go", False), (1, "go", False), (1, "go", False), (2, "javascript", False), (2, "javascript", False), (3, "javascript", False), (4, "javascript", False), (4, "javascript", True), (5, "go", False), (5, "javascript", True)]
