@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.llm import docpairs, syntax
-from codeloom.llm.lexing import CODE, EXTENSIONS, language_of, scan
+from codeloom.llm.lexing import EXTENSIONS, language_of, scan
 
 
 def language_column(path: str = "path"):
@@ -30,28 +29,24 @@ def _broken(path: pd.Series, code: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        for key, lang, code in zip(f["key"], f["lang"], f["code"]):
-            for k, part in enumerate(syntax.chunks(code)):
-                yield pd.DataFrame({"key": [key], "lang": [lang], "no": [k], "part": [part]})
+def _cut(size: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for key, lang, code in zip(f["key"], f["lang"], f["code"]):
+                for k, part in enumerate(syntax.masked_chunks(lang, code, size)):
+                    yield pd.DataFrame({"key": [key], "lang": [lang], "no": [k], "part": [part]})
+
+    return run
 
 
 @F.pandas_udf(T.StringType())
-def _map_of(lang: pd.Series, no: pd.Series, part: pd.Series) -> pd.Series:
-    return pd.Series([json.dumps(syntax.state_map(x, p, k == 0)) for x, k, p in zip(lang, no, part)], dtype=object)
+def _fold(lang: pd.Series, part: pd.Series) -> pd.Series:
+    return pd.Series([syntax.parser(x).fold_masked(p) for x, p in zip(lang, part)], dtype=object)
 
 
 @F.pandas_udf(T.BooleanType())
-def _join(lang: pd.Series, maps: pd.Series) -> pd.Series:
-    out = []
-    for x, ms in zip(lang, maps):
-        total = None
-        for m in ms:
-            m = {k: tuple(v) for k, v in json.loads(m).items()}
-            total = m if total is None else syntax.join_maps(x, total, m)
-        out.append(not syntax.parser(x).valid(*total[CODE]))
-    return pd.Series(out, dtype=bool)
+def _join(lang: pd.Series, folds: pd.Series) -> pd.Series:
+    return pd.Series([not syntax.folds_parse(x, list(fs)) for x, fs in zip(lang, folds)], dtype=bool)
 
 
 def syntax_verdicts(files: DataFrame, *keep: str, chunk_chars: int = syntax.CHUNK_CHARS) -> DataFrame:
@@ -59,25 +54,25 @@ def syntax_verdicts(files: DataFrame, *keep: str, chunk_chars: int = syntax.CHUN
 
     ``files`` needs file_id, path and code; other columns are ignored unless named in ``keep``. Null code and unknown
     extensions give no row; empty code is valid; a byte order mark at the start is ignored. Files longer than
-    ``chunk_chars`` are cut at line ends, the chunks spread over the cluster, summarised as lexer-state maps with
-    bracket summaries and reduced in order, each different content once, however many rows have it; all others are one
-    chunk, and no code is shuffled for them.
+    ``chunk_chars`` are lexed as a whole and cut at line ends, the chunks spread over the cluster, summarised by their
+    brackets and reduced in order, each different content once, however many rows have it; all others are one chunk, and
+    no code is shuffled for them.
     """
     base = files.select("file_id", *keep, "path", "code", language_column().alias("lang")).where("code IS NOT NULL AND lang IS NOT NULL")
     whole = F.col("lang").eqNullSafe("python") | (F.length("code") <= chunk_chars)
     small = base.where(whole).select("file_id", *keep, "lang", _broken("path", "code").alias("broken"))
     big = base.where(~whole).withColumn("key", F.sha2("code", 256))
-    maps = (
+    verdicts = (
         big.select("key", "lang", "code")
-        .mapInPandas(_cut, "key string, lang string, no int, part string")
+        .mapInPandas(_cut(chunk_chars), "key string, lang string, no int, part string")
         .repartition("key", "lang", "no")
         .dropDuplicates(["key", "lang", "no"])
-        .select("key", "lang", "no", _map_of("lang", "no", "part").alias("map"))
+        .select("key", "lang", "no", _fold("lang", "part").alias("fold"))
         .groupBy("key", "lang")
-        .agg(F.array_sort(F.collect_list(F.struct("no", "map"))).alias("maps"))
-        .select("key", "lang", _join("lang", F.col("maps.map")).alias("broken"))
+        .agg(F.array_sort(F.collect_list(F.struct("no", "fold"))).alias("folds"))
+        .select("key", "lang", _join("lang", F.col("folds.fold")).alias("broken"))
     )
-    large = big.select("file_id", *keep, "lang", "key").join(maps, ["key", "lang"]).select("file_id", *keep, "lang", "broken")
+    large = big.select("file_id", *keep, "lang", "key").join(verdicts, ["key", "lang"]).select("file_id", *keep, "lang", "broken")
     return small.unionByName(large)
 
 
@@ -120,8 +115,7 @@ def _pairs(texts: bool):
                 found = [d for d in docpairs.documented(text, lang, s, texts) if not docpairs.is_trivial(d.doc, d.name)]
                 if not found:  # whether the file parses makes no difference then
                     continue
-                whole = lang != "python" and len(text) <= syntax.CHUNK_CHARS
-                if not (syntax.scan_parses(lang, text, s) if whole else syntax.parses(lang, code)):
+                if not (syntax.python_parses(text) if lang == "python" else syntax.scan_parses(lang, text, s)):
                     continue
                 rows += [(file_id, d.line_no, d.name, path, lang, d.signature, d.doc) if texts else (file_id, d.line_no, d.name) for d in found]
             yield pd.DataFrame(rows, columns=columns, dtype=object)

@@ -1,10 +1,11 @@
-"""Which source files do not parse: lexer-state maps and bracket summaries of chunks, reduced associatively, then local
-grammars over balanced groups.
-
-A chunk is summarised for every state its lexer may start in: the state it ends in, and its token string in which every
-bracket pair that closes inside the chunk is folded into one role character. Folding the concatenation of two
-summaries gives the summary of the concatenation, so chunks may be reduced in any grouping. A file is valid if it ends in the
-CODE state, nothing is left unfolded, and what is left matches the language's file rule.
+"""Which source files do not parse: bracket summaries of chunks, reduced associatively, then local grammars over balanced
+groups.
+
+The lexer runs over a whole file, so every chunk begins in the very state that the text before leaves. A chunk is
+summarised by its token string in which every bracket pair that closes inside the chunk is folded into one role character.
+Folding the concatenation of two summaries gives the summary of the concatenation, so chunks may be reduced in any
+grouping. For chunks whose text before is not at hand there are maps of such summaries by the commonest lexer states
+(state_map, join_maps); no verdict on files uses them. A file is valid if it ends in the CODE state, nothing is left unfolded, and what is left matches the language's file rule.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ _NUMBERS = {
     "c": r"0[xX][\da-fA-F']*\.?[\da-fA-F]*(?:[pP][+-]?\d+)?[uUlLfF]*|0[bB][01']+[uUlL]*|[\d']*\.?[\d']*(?:[eE][+-]?\d+)?[uUlLfF]*",
 }
 _NUMBER_TOKEN = {lang: r"\.?\d(?:[eEpP][+-]|[\w.])*" for lang in _NUMBERS} | {
-    "rust": r"0[xob]\w*|\d\w*(?:\.(?![.\w]|$)|\.\d(?:[eE][+-]|\w)*)?",
+    "rust": r"0[xob]\w*|\d\w*(?:\.(?![.\w]|\Z)|\.\d(?:[eE][+-]|\w)*)?",
     "javascript": r"0[xXbBoO]\w*|\.?\d(?:[eE][+-]|[\w.])*",
     "c": r"0[xX](?:[pP][+-]|[\w.])*|\.?\d(?:[eE][+-]|[\w.])*",
 }
@@ -252,7 +253,10 @@ def python_parses(text: str) -> bool:
 
 def chunks(code: str, size: int = CHUNK_CHARS) -> list[str]:
     """Cuts behind line ends that no backslash continues; a line longer than ``size`` stays whole. A byte order mark at the start is dropped."""
-    text = code[1:] if code[:1] == "\ufeff" else code
+    return _cut(code[1:] if code[:1] == "\ufeff" else code, size)
+
+
+def _cut(text: str, size: int) -> list[str]:
     if len(text) <= size:
         return [text]
     out, pos = [], 0
@@ -286,21 +290,30 @@ def join_maps(lang: str, a: dict[str, tuple[str, str]], b: dict[str, tuple[str,
 
 
 def scan_parses(lang: str, text: str, s: Scan) -> bool:
-    """The verdict on a one-chunk text that is scanned already; not for Python."""
+    """The verdict on a whole text that is scanned already; not for Python."""
     if lang == "go" and "\0" in text or s.error or s.state:
         return False
     p = parser(lang)
     return p.valid(s.state, p.fold_masked(s.masked))
 
 
+def masked_chunks(lang: str, code: str, size: int = CHUNK_CHARS) -> list[str]:
+    """The masked text of a whole file, cut at line ends; [BAD] if its lexer fails or doesn't end in code. Not for Python."""
+    text = code[1:] if code[:1] == "\ufeff" else code
+    s = scan(text, lang)
+    return [BAD] if lang == "go" and "\0" in text or s.error or s.state else _cut(s.masked, size)
+
+
+def folds_parse(lang: str, folds: list[str]) -> bool:
+    """The verdict on a file from the summaries of its masked chunks in order."""
+    p = parser(lang)
+    total = folds[0]
+    for fold in folds[1:]:
+        total = p.fold(total + fold)
+    return p.valid(CODE, total)
+
+
 def parses(lang: str, code: str) -> bool:
     """Whether a whole file is valid in its language."""
-    parts = chunks(code)
-    if lang == "python":
-        return python_parses(code[1:] if code[:1] == "﻿" else code)
-    if lang == "go" and "\0" in code:
-        return False
-    total = state_map(lang, parts[0], True)
-    for part in parts[1:]:
-        total = join_maps(lang, total, state_map(lang, part, False))
-    return parser(lang).valid(*total[CODE])
+    text = code[1:] if code[:1] == "\ufeff" else code
+    return python_parses(text) if lang == "python" else scan_parses(lang, text, scan(text, lang))

@@ -3,7 +3,7 @@
 import pytest
 
 from codeloom.llm import syntax
-from codeloom.llm.source_code import syntax_verdicts
+from codeloom.llm.source_code import broken_files, documented_functions, syntax_verdicts
 
 RESERVED = {
     "rust": ["mod tests { impl Tr for Mock { fn a(&self) {} } }\n", "impl S { fn m<F>(&self, f: F) where F: for<'a> Fn(&'a str) -> u8 { } }\n", "impl S { const N: usize = if A { 1 } else { 2 }; }\n", "trait T { const N: u8 = match A { 1 => 2, _ => 3 }; }\n"],
@@ -43,3 +43,38 @@ def test_repeated_long_files_are_judged_once(spark):
     rows = [(1, "p", "a.go", go), (1, "p", "a.go", go), (2, "p", "b.js", js), (2, "p", "b.js", js), (3, "p", "c.js", js), (4, "p", "d.js", js + "}\n"), (4, "p", "d.js", js), (5, "p", "e.js", go), (5, "p", "e.go", go), (None, "p", "f.go", go)]
     got = sorted(((r.file_id or 0, r.lang, r.broken) for r in syntax_verdicts(spark.createDataFrame(rows, FILES), chunk_chars=500).collect()))
     assert got == [(0, "go", False), (1, "go", False), (1, "go", False), (2, "javascript", False), (2, "javascript", False), (3, "javascript", False), (4, "javascript", False), (4, "javascript", True), (5, "go", False), (5, "javascript", True)]
+
+
+#: Chunks that begin in states beyond those of the maps: raw strings with many #, deep comments, template substitutions, and a slash whose meaning the line before decides.
+EDGES = {
+    "rust": ['fn f() { let s = r###"a\n"#\n{"## b\n"###; }\n', "/* a /* b /* c\n */ { */\n */ fn f() { let x = 1.\n; }\n"],
+    "javascript": ["let s = `a ${f({\n  x: `b ${[\n1]}`,\n})} {`;\n", "let x = a\n/ b(/[/]\n/g, c\n/ d);\n".replace("/[/]\n/g", "/[/]/g,\n2"), "let y = f(1)\n/ 2 / (3);\n"],
+    "typescript": ["const t: string = `a ${g<A>((\n) => `}`)}\n${1}`;\n"],
+}
+
+
+@pytest.mark.parametrize("lang, code", [(k, c) for k, cs in EDGES.items() for c in cs])
+def test_verdicts_do_not_depend_on_cuts(lang, code):
+    p = syntax.parser(lang)
+    for text in (code, code + "}\n", code.replace("(", "", 1) if "(" in code else code):
+        parts = syntax.masked_chunks(lang, text, 1)
+        assert syntax.folds_parse(lang, [p.fold_masked(x) for x in parts]) is syntax.parses(lang, text)
+    assert syntax.parses(lang, code)
+
+
+def test_long_files_in_any_lexer_state(spark):
+    """Each as a short file, and again beyond the size from which files are cut."""
+    rows = [(k, "p", f"a{k}.{ {'rust': 'rs', 'javascript': 'js', 'typescript': 'ts'}[lang] }", (code.replace("fn f", "fn f%d" % k)) * n) for k, (lang, code, n) in enumerate((lang, c, n) for lang, cs in EDGES.items() for c in cs for n in (1, 40))]
+    got = {r.file_id: r.broken for r in syntax_verdicts(spark.createDataFrame(rows, FILES), chunk_chars=100).collect()}
+    assert got == {k: False for k in range(len(rows))}
+
+
+@pytest.mark.parametrize("lang", sorted(EDGES))
+def test_documented_functions_of_long_files(spark, lang):
+    """Files over CHUNK_CHARS keep their documented functions whatever state the edge of a chunk is in."""
+    doc, ext = {"rust": ("/// Reads the next block of rows.\nfn g() {}\n", "rs"), "javascript": ("/** Reads the next block of rows. */\nfunction g() {}\n", "js"), "typescript": ("/** Reads the next block of rows. */\nfunction g(): void {}\n", "ts")}[lang]
+    hashes = {"rust": 'const S: &str = r###"%s"###;\n', "javascript": "s = `a ${f({\n%s})}`;\n", "typescript": "s = `a ${f({\n%s})}`;\n"}[lang]
+    filler = ('" {\n' if lang == "rust" else "x: '}',\n") * (syntax.CHUNK_CHARS // 4)
+    df = spark.createDataFrame([(1, "p", "a." + ext, doc + hashes % filler)], FILES)
+    assert [(r.line_no, r.fn_name) for r in documented_functions(df, False).collect()] == [(2, "g")]
+    assert broken_files(df).count() == 0
