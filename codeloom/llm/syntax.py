@@ -74,7 +74,7 @@ class _Classes(dict):
 #: Roles that are lists of independent statements or members. Such a content is tried in pieces, so that a piece met
 #: before costs one look-up.
 _LISTS = {"javascript": {"{B", "{C"}, "go": {"{B"}, "java": {"{B", "{C"}, "rust": {"{B", "{I"}, "c": {"{B"}}
-#: Pieces that are joined before a list is given up.
+#: Pieces that are joined before a list is matched as a whole.
 _JOIN = 6
 #: Words that carry a statement on behind a block.
 _CARRY_ON = {"else", "catch", "finally", "while", "instanceof", "in", "as", "of", "from"}
@@ -155,16 +155,11 @@ class Parser:
             flat = self.breaks(content)
             bits = 0
             if BAD not in flat:
-                for whole in (False, True):
-                    for bit, name, needs, foreign in self.roles[opener]:
-                        if flat and needs and not needs.search(flat) or foreign and foreign.search(flat):
-                            continue
-                        if name in self.lists and not whole:
-                            bits |= bit * self.matches_list(name, flat)
-                        elif name in self.lists or not whole:
-                            bits |= bit * (self.grammar.roles[name].fullmatch(flat) is not None)
-                    if bits:
-                        break
+                for bit, name, needs, foreign in self.roles[opener]:
+                    if flat and needs and not needs.search(flat) or foreign and foreign.search(flat):
+                        continue
+                    if name in self.lists and self.matches_list(name, flat) or self.grammar.roles[name].fullmatch(flat):
+                        bits |= bit
             found = chr(BASES[opener] + bits) if bits else BAD
             if len(self.cache) > CACHE_ENTRIES:
                 self.cache.clear()

@@ -78,3 +78,9 @@ def test_documented_functions_of_long_files(spark, lang):
     df = spark.createDataFrame([(1, "p", "a." + ext, doc + hashes % filler)], FILES)
     assert [(r.line_no, r.fn_name) for r in documented_functions(df, False).collect()] == [(2, "g")]
     assert broken_files(df).count() == 0
+
+
+@pytest.mark.parametrize("lang, code", [("typescript", "function f(a) { if (a); else; }\n"), ("javascript", "function f(a) {\n  if (a) { b() }\n  else;\n}\n"), ("rust", "fn f() { " + "if a { 1 } else if b { 2 } " * 1 + "else if c { 3 } " * 20 + "else { 4 }; }\n")])
+def test_statements_in_many_pieces_beside_another_role(lang, code):
+    """The content is also a list of members or macro text, which must not take its role as a block."""
+    assert syntax.parses(lang, code)
