@@ -31,9 +31,10 @@ NONE_ADMITTED = 0.5
 #: A feature says nothing if its commonest class has at most the first share of it, and counts in full from the second on.
 FADE = 0.4, 0.7
 
-_FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
+_FENCE = re.compile(r"```.*?```", re.S)
 _MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|<\|[^|<>\n]{0,40}\|>|&(?:[a-z]{2,8}|#\d{1,6});|​|﻿")
-_TRACE = re.compile(r"^\s*(?:at \S+ \(|File \"|Traceback\b|\[?\d{4}-\d\d-\d\d[T ]).*$", re.M)
+_TRACE = re.compile(r"^\s*(?:at \S+ \(|File \"|Traceback\b).*$", re.M)
+_DATE = re.compile(r"^[^\S\n]*\[?\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d)?(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?)?(?:\]|(?=[\s:,–-]))[:,]?[^\S\n]*", re.M)
 _LEAD = re.compile(r"^\s*(?:[>*+\-•#|]+\s*|\d+[.)]\s+|\w{1,20}\d*:\s+(?=\S))+", re.M)
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+(?=[^\W\d_a-zß-öø-ÿ]|[`\"'“«(¿¡\d])|\n+(?=\s*(?:[^\W\d_a-zß-öø-ÿ]|[`\"'“«(¿¡]|\d))|\n{2,}(?=\s*$)")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -42,12 +43,13 @@ _MAX_WORD = 40
 
 
 def sentences(text: str) -> list[str]:
-    """The sentences of a text without code fences, stack traces, mark-up and line prefixes.
+    """The sentences of a text without code fences, stack traces, mark-up and line prefixes, dates among these.
 
-    A line that begins in lower case goes on with the sentence before it.
+    A fence that isn't closed is text. A line that begins in lower case goes on with the sentence before it.
     """
     text = _FENCE.sub("\n", text)
     text = _TRACE.sub("", text)
+    text = _DATE.sub("", text)
     text = _MARKUP.sub(" ", text)
     text = _LEAD.sub("", text)
     return [s for s in _SENTENCE.split(text) if s and not s.isspace()]
