@@ -40,6 +40,12 @@ class Scan(NamedTuple):
     strings: list[Token]
     state: str  # CODE, or the construct that is still open at the end
     error: str | None
+    divides: bool = False  # whether a slash that comes next divides (JavaScript, in code and comments)
+
+    @property
+    def exit(self) -> str:
+        """The state a text that goes on begins in."""
+        return self.state + DIVIDES if self.divides and self.state in (CODE, "/*") else self.state
 
 
 _LINE_STRING = r"\"(?:[^\"\\\n]|\\[\s\S])*\""
@@ -62,11 +68,13 @@ _CLOSERS = {
     "`raw": re.compile(r"[^`]*+`"),
     '"rust': re.compile(r"(?:[^\"\\]|\\[\s\S])*+\""),
 }
-#: The states in which a chunk of each language may begin, beside those with a parameter (nesting depth, number of #).
+#: A state's last character if a slash that comes next divides (JavaScript).
+DIVIDES = "÷"
+#: The states a chunk's map holds. Deeper ones (comments nested or raw strings fenced beyond these, substitutions of templates) are left
+#: open there, and whoever joins the maps has to scan the text in order.
 STATES = {
-    "python": [CODE, '"""', "'''"],
-    "javascript": [CODE, "/*", "`"],
-    "typescript": [CODE, "/*", "`"],
+    "javascript": [CODE, DIVIDES, "/*", "/*" + DIVIDES, "`t"],
+    "typescript": [CODE, DIVIDES, "/*", "/*" + DIVIDES, "`t"],
     "go": [CODE, "/*", "`raw"],
     "java": [CODE, "/*", '"""'],
     "rust": [CODE, "/*1", "/*2", '"rust', "r0", "r1", "r2"],
@@ -78,42 +86,45 @@ _REGEX_WORDS = {"return", "typeof", "case", "in", "of", "delete", "void", "throw
 _WORD_END = re.compile(r"[\w$]+$")
 _NOT_NEWLINE = re.compile(r"[^\n]")
 _NESTED = re.compile(r"/\*|\*/")
+_COMMENT_END = re.compile(r"\*/")
 _TEMPLATE = re.compile(r"[`\\]|\$\{")
 _IN_SUBST = re.compile(r"[{}`]|//[^\n]*|/\*|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'")
 
 
-def _template_end(text: str, pos: int) -> int:
-    """The end of a template literal whose text goes on at ``pos``, -1 if it stays open."""
-    depths: list[int] = []  # brace depth of each open substitution
+def _template_end(text: str, pos: int, state: str) -> tuple[int, str]:
+    """Where a template literal ends that goes on at ``pos``: (end, CODE), or (len, state) if it stays open.
+
+    A state is a backquote, the brace depths of the open substitutions, and t in text, s in a substitution, c in a comment of one.
+    """
+    depths = [int(d) for d in state[1:-1].split(".") if d]
+    place = state[-1]
     while True:
-        if not depths:
-            m = _TEMPLATE.search(text, pos)
-            if m is None:
-                return -1
-            if m[0] == "`":
-                return m.end()
-            pos = m.end() + (m[0] == "\\")
-            if m[0] == "${":
-                depths.append(1)
-            continue
-        m = _IN_SUBST.search(text, pos)
+        m = (_TEMPLATE if place == "t" else _IN_SUBST if place == "s" else _COMMENT_END).search(text, pos)
         if m is None:
-            return -1
-        pos, t = m.end(), m[0]
-        if t == "{":
+            return len(text), "`" + ".".join(map(str, depths)) + place
+        t = m[0]
+        pos = m.end() + (t == "\\")
+        if place == "c":
+            place = "s"
+        elif place == "t":
+            if t == "`":
+                if not depths:
+                    return pos, CODE
+                place = "s"
+            elif t == "${":
+                depths.append(1)
+                place = "s"
+        elif t == "{":
             depths[-1] += 1
         elif t == "}":
             depths[-1] -= 1
             if not depths[-1]:
                 depths.pop()
+                place = "t"
         elif t == "`":
-            pos = _template_end(text, pos)
-            if pos < 0:
-                return -1
+            place = "t"
         elif t == "/*":
-            pos = text.find("*/", pos) + 2
-            if pos < 2:
-                return -1
+            place = "c"
 
 
 def _nested_end(text: str, pos: int, depth: int) -> tuple[int, int]:
@@ -126,9 +137,9 @@ def _nested_end(text: str, pos: int, depth: int) -> tuple[int, int]:
 
 def _close(text: str, pos: int, state: str) -> tuple[int, str]:
     """Where the construct ``state`` ends that goes on at ``pos``: (end, CODE), or (len, state) if it stays open."""
-    if state == "`":
-        end = _template_end(text, pos)
-    elif state.startswith("/*") and len(state) > 2:
+    if state[0] == "`" and state != "`raw":
+        return _template_end(text, pos, state)
+    if state.startswith("/*") and len(state) > 2:
         end, depth = _nested_end(text, pos, int(state[2:]))
         if end < 0:
             return len(text), f"/*{depth}"
@@ -141,6 +152,14 @@ def _close(text: str, pos: int, state: str) -> tuple[int, str]:
     return (len(text), state) if end < 0 else (end, CODE)
 
 
+def _divides(carry: str) -> bool:
+    """Whether a slash divides behind ``carry``, the last significant text before it."""
+    word = _WORD_END.search(carry)
+    if word:
+        return word[0] not in _REGEX_WORDS or carry[: word.start()].endswith(".")
+    return bool(carry) and carry[-1] in ")]}\"'`"
+
+
 def scan(text: str, lang: str, entry: str = CODE) -> Scan:
     """Runs the state machine of ``lang`` over ``text`` from the state ``entry``."""
     pattern = _PATTERNS[lang]
@@ -161,6 +180,8 @@ def scan(text: str, lang: str, entry: str = CODE) -> Scan:
         body = text[start:end]
         out.append(" " * (end - start) if "\n" not in body else _NOT_NEWLINE.sub(" ", body))
 
+    if entry[-1:] == DIVIDES:
+        carry, entry = ")", entry[:-1]
     if entry:
         end, state = _close(text, 0, entry)
         if end:
@@ -170,9 +191,9 @@ def scan(text: str, lang: str, entry: str = CODE) -> Scan:
                 strings.append(Token(0, end, "string"))
                 out.append(STR_TAIL * end)
         if state:
-            return Scan("".join(out), comments, strings, state, None)
+            return Scan("".join(out), comments, strings, state, None, bool(carry))
         last = pos = end
-        carry = "" if entry.startswith("/*") else '"'
+        carry = carry if entry.startswith("/*") else '"'
     search = pattern.search
     while True:
         m = search(text, pos)
@@ -186,11 +207,7 @@ def scan(text: str, lang: str, entry: str = CODE) -> Scan:
             if solid:
                 carry = solid
             if tok == "/":
-                word = _WORD_END.search(carry)
-                if word:
-                    is_regex = word[0] in _REGEX_WORDS and not carry[: word.start()].endswith(".")
-                else:
-                    is_regex = not carry or carry[-1] not in ")]}\"'`"
+                is_regex = not _divides(carry)
                 body = _REGEX_BODY.match(text, start) if is_regex else None
                 if body:
                     out.append(gap)
@@ -216,7 +233,7 @@ def scan(text: str, lang: str, entry: str = CODE) -> Scan:
                 stop, state = (stop + 2, CODE) if stop >= 0 else (-1, "/*")
             if stop < 0:
                 comment(start, size, "block")
-                return Scan("".join(out), comments, strings, state, error)
+                return Scan("".join(out), comments, strings, state, error, script and _divides(carry))
             comment(start, stop, "block")
             end = stop
         elif lang == "c" and tok.lstrip()[:1] == "#":
@@ -226,7 +243,7 @@ def scan(text: str, lang: str, entry: str = CODE) -> Scan:
             out.append(tok)  # a lifetime stays code
         elif tok == "`" or tok.endswith(('"""', "'''")) and len(tok) <= 5 or lang == "rust" and tok[-1] == '"' and (len(tok) <= 2 or m["hash"] is not None):
             if tok == "`":
-                state = "`raw" if lang == "go" else "`"
+                state = "`raw" if lang == "go" else "`t"
             elif lang == "rust":
                 state = f"r{len(m['hash'])}" if m["hash"] is not None else '"rust'
             else:
@@ -244,5 +261,6 @@ def scan(text: str, lang: str, entry: str = CODE) -> Scan:
             literal(start, end, "char" if tok[-1] == "'" and lang in ("go", "java", "rust", "c") else "string")
             carry = '"'
         last = pos = end
-    out.append(text[last:])
-    return Scan("".join(out), comments, strings, CODE, error)
+    gap = text[last:]
+    out.append(gap)
+    return Scan("".join(out), comments, strings, CODE, error, script and _divides(gap.rstrip() or carry))

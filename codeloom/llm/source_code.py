@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,9 @@ from pyspark.sql import types as T
 from codeloom.llm import docpairs, syntax
 from codeloom.llm.lexing import EXTENSIONS, language_of, scan
 
+#: Neighbouring chunks that are reduced first.
+RUN = 64
+
 
 def language_column(path: str = "path"):
     """The language a path's extension names, as a Column; null for null, no or unknown extension."""
@@ -21,58 +25,65 @@ def language_column(path: str = "path"):
 
 
 @F.pandas_udf(T.BooleanType())
-def _broken(path: pd.Series, code: pd.Series) -> pd.Series:
-    out = []
-    for p, c in zip(path, code):
-        lang = language_of(p)
-        out.append(bool(lang and c) and not syntax.parses(lang, c))
-    return pd.Series(out, dtype=bool)
+def _broken(lang: pd.Series, code: pd.Series) -> pd.Series:
+    """Whether files of one chunk are broken: the map of the chunk is the map of the file. Null where there is no code."""
+    return pd.Series([None if c is None else not syntax.parses(x, c) for x, c in zip(lang, code)], dtype=object)
 
 
 def _cut(size: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for key, lang, code in zip(f["key"], f["lang"], f["code"]):
-                for k, part in enumerate(syntax.masked_chunks(lang, code, size)):
-                    yield pd.DataFrame({"key": [key], "lang": [lang], "no": [k], "part": [part]})
+                parts = syntax.chunks(code, size)
+                yield pd.DataFrame({"key": key, "lang": lang, "no": range(len(parts)), "part": parts})
 
     return run
 
 
 @F.pandas_udf(T.StringType())
-def _fold(lang: pd.Series, part: pd.Series) -> pd.Series:
-    return pd.Series([syntax.parser(x).fold_masked(p) for x, p in zip(lang, part)], dtype=object)
+def _map(lang: pd.Series, no: pd.Series, part: pd.Series) -> pd.Series:
+    return pd.Series([json.dumps(syntax.state_map(x, p, n == 0)) for x, n, p in zip(lang, no, part)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def _reduce(lang: pd.Series, maps: pd.Series) -> pd.Series:
+    return pd.Series([json.dumps(syntax.reduce_maps(x, [json.loads(m) for m in ms])) for x, ms in zip(lang, maps)], dtype=object)
 
 
 @F.pandas_udf(T.BooleanType())
-def _join(lang: pd.Series, folds: pd.Series) -> pd.Series:
-    return pd.Series([not syntax.folds_parse(x, list(fs)) for x, fs in zip(lang, folds)], dtype=bool)
+def _judge(lang: pd.Series, whole: pd.Series) -> pd.Series:
+    verdicts = [syntax.verdict(x, json.loads(m)) for x, m in zip(lang, whole)]
+    return pd.Series([None if v is None else not v for v in verdicts], dtype=object)
+
+
+def chunk_verdicts(files: DataFrame, size: int) -> DataFrame:
+    """(key, lang, broken): the verdict on each (key, lang, code), whose chunks are spread, mapped by the lexer states they may
+    begin in and reduced in two steps, neighbours first. ``broken`` is null where a chunk ends in a state beyond those of the maps."""
+    parts = files.select("key", "lang", "code").mapInPandas(_cut(size), "key string, lang string, no int, part string").repartition("key", "lang", "no").dropDuplicates(["key", "lang", "no"])
+    maps = parts.select("key", "lang", "no", _map("lang", "no", "part").alias("map"))
+    for width in (RUN, None):
+        run = F.lit(0) if width is None else F.floor(F.col("no") / width).cast("int")
+        ordered = maps.withColumn("run", run).groupBy("key", "lang", "run").agg(F.array_sort(F.collect_list(F.struct("no", "map"))).alias("maps"))
+        maps = ordered.select("key", "lang", F.col("run").alias("no"), _reduce("lang", F.col("maps.map")).alias("map"))
+    return maps.select("key", "lang", _judge("lang", "map").alias("broken"))
 
 
 def syntax_verdicts(files: DataFrame, *keep: str, chunk_chars: int = syntax.CHUNK_CHARS) -> DataFrame:
     """(file_id, *keep, lang, broken): one row for each row of ``files`` that has code and a known extension.
 
     ``files`` needs file_id, path and code; other columns are ignored unless named in ``keep``. Null code and unknown
-    extensions give no row; empty code is valid; a byte order mark at the start is ignored. Files longer than
-    ``chunk_chars`` are lexed as a whole and cut at line ends, the chunks spread over the cluster, summarised by their
-    brackets and reduced in order, each different content once, however many rows have it; all others are one chunk, and
-    no code is shuffled for them.
+    extensions give no row; empty code is valid; a byte order mark at the start is ignored. Every file is cut into chunks of
+    ``chunk_chars``; maps of chunks are reduced to the map of the file, which gives the verdict. A file of one chunk is judged where it lies
+    and not shuffled; the chunks of longer ones are spread over the cluster, each different content once, however many rows have
+    it. ``chunk_chars`` changes no verdict: where maps leave it open, the file is scanned in order. Python is parsed by CPython, each file by one task.
     """
     base = files.select("file_id", *keep, "path", "code", language_column().alias("lang")).where("code IS NOT NULL AND lang IS NOT NULL")
-    whole = F.col("lang").eqNullSafe("python") | (F.length("code") <= chunk_chars)
-    small = base.where(whole).select("file_id", *keep, "lang", _broken("path", "code").alias("broken"))
-    big = base.where(~whole).withColumn("key", F.sha2("code", 256))
-    verdicts = (
-        big.select("key", "lang", "code")
-        .mapInPandas(_cut(chunk_chars), "key string, lang string, no int, part string")
-        .repartition("key", "lang", "no")
-        .dropDuplicates(["key", "lang", "no"])
-        .select("key", "lang", "no", _fold("lang", "part").alias("fold"))
-        .groupBy("key", "lang")
-        .agg(F.array_sort(F.collect_list(F.struct("no", "fold"))).alias("folds"))
-        .select("key", "lang", _join("lang", F.col("folds.fold")).alias("broken"))
-    )
-    large = big.select("file_id", *keep, "lang", "key").join(verdicts, ["key", "lang"]).select("file_id", *keep, "lang", "broken")
+    one = F.col("lang").eqNullSafe("python") | (F.length("code") <= chunk_chars)
+    small = base.where(one).select("file_id", *keep, "lang", _broken("lang", "code").alias("broken"))
+    big = base.where(~one).withColumn("key", F.sha2("code", 256))
+    joined = big.join(chunk_verdicts(big, chunk_chars), ["key", "lang"])
+    in_order = _broken("lang", F.when(F.col("broken").isNull(), F.col("code")))
+    large = joined.select("file_id", *keep, "lang", F.coalesce("broken", in_order).alias("broken"))
     return small.unionByName(large)
 
 

@@ -1,11 +1,12 @@
 """Which source files do not parse: bracket summaries of chunks, reduced associatively, then local grammars over balanced
 groups.
 
-The lexer runs over a whole file, so every chunk begins in the very state that the text before leaves. A chunk is
-summarised by its token string in which every bracket pair that closes inside the chunk is folded into one role character.
-Folding the concatenation of two summaries gives the summary of the concatenation, so chunks may be reduced in any
-grouping. For chunks whose text before is not at hand there are maps of such summaries by the commonest lexer states
-(state_map, join_maps); no verdict on files uses them. A file is valid if it ends in the CODE state, nothing is left unfolded, and what is left matches the language's file rule.
+A chunk is summarised by its token string in which every bracket pair that closes inside the chunk is folded into one role
+character. As the state a chunk begins in is known only from the text before, its map holds such a summary, and the state
+the chunk ends in, for each state of the lexer it may begin in. Two maps are joined by following the states and folding the
+concatenated summaries, which gives the map of the concatenated text: joining is associative, so chunks may be reduced in
+any grouping. A file is valid if, begun in CODE, it ends in CODE, nothing is left unfolded, and what is left matches the
+language's file rule. Where a chunk ends in a state that maps don't hold, the verdict stays open and the file is scanned in order.
 """
 
 from __future__ import annotations
@@ -15,14 +16,18 @@ import re
 import warnings
 
 from codeloom.llm.grammars import BASES, IDENT, NUMBER, ROLES, STRING, grammar
-from codeloom.llm.lexing import CODE, STATES, Scan, scan
+from codeloom.llm.lexing import CODE, DIVIDES, STATES, Scan, scan
 
-#: Characters of a chunk; files up to this length are one chunk.
-CHUNK_CHARS = 1 << 20
+#: Characters of a chunk; it changes how files are spread, not what is found.
+CHUNK_CHARS = 1 << 16
 #: Groups whose roles are kept per process; the cache starts anew beyond this.
 CACHE_ENTRIES = 200_000
 
 BAD = "\x01"
+#: The end state of a text whose verdict is open.
+OPEN = "?"
+#: (state a text begins in) -> (state it ends in, its summary)
+Map = dict[str, tuple[str, str]]
 _OPEN = {")": "(", "]": "[", "}": "{"}
 _SPLIT = re.compile(r"([()\[\]{}])")
 
@@ -135,7 +140,7 @@ class Parser:
     def summarise(self, text: str, entry: str = CODE) -> tuple[str, str]:
         """The state that ``text`` ends in and its folded token string; BAD in the string marks an error."""
         s = scan(text, self.lang, entry)
-        return s.state, self.fold_masked(s.masked) + (BAD if s.error else "")
+        return s.exit, self.fold_masked(s.masked) + (BAD if s.error or self.lang == "go" and "\0" in text else "")
 
     def fold_masked(self, masked: str) -> str:
         return self.fold("".join(map(self.classes.__getitem__, self.tokens.findall(masked))))
@@ -216,7 +221,7 @@ class Parser:
         return "".join(done + current)
 
     def valid(self, state: str, folded: str) -> bool:
-        if state != CODE or BAD in folded or _SPLIT.search(folded):
+        if state.rstrip(DIVIDES) != CODE or BAD in folded or _SPLIT.search(folded):
             return False
         flat = self.breaks(folded + "\n" if self.lang == "go" else folded)
         if self.lang in ("go", "java"):
@@ -248,10 +253,7 @@ def python_parses(text: str) -> bool:
 
 def chunks(code: str, size: int = CHUNK_CHARS) -> list[str]:
     """Cuts behind line ends that no backslash continues; a line longer than ``size`` stays whole. A byte order mark at the start is dropped."""
-    return _cut(code[1:] if code[:1] == "\ufeff" else code, size)
-
-
-def _cut(text: str, size: int) -> list[str]:
+    text = code[1:] if code[:1] == "\ufeff" else code
     if len(text) <= size:
         return [text]
     out, pos = [], 0
@@ -265,50 +267,52 @@ def _cut(text: str, size: int) -> list[str]:
     return out
 
 
-def state_map(lang: str, text: str, first: bool) -> dict[str, tuple[str, str]]:
-    """The summary of a chunk for each state it may begin in; the first chunk of a file begins in CODE."""
+#: A script that begins with a slash, or holds no code, in which the state before decides more than where it began.
+_SLASH_FIRST = re.compile(r"(?:\s|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))*(?:/|\Z)")
+
+
+def state_map(lang: str, text: str, first: bool) -> Map:
+    """The map of a chunk; the first chunk of a file begins in CODE."""
     p = parser(lang)
-    return {entry: p.summarise(text, entry) for entry in ([CODE] if first else STATES[lang])}
+    out = {CODE: p.summarise(text)}
+    for entry in [] if first else STATES[lang][1:]:
+        out[entry] = out[CODE] if entry == DIVIDES and not _SLASH_FIRST.match(text) else p.summarise(text, entry)
+    return out
 
 
-def join_maps(lang: str, a: dict[str, tuple[str, str]], b: dict[str, tuple[str, str]]) -> dict[str, tuple[str, str]]:
-    """The map of two adjoining chunks; associative. A state outside ``b`` leaves that entry open."""
+def join_maps(lang: str, a: Map, b: Map) -> Map:
+    """The map of two adjoining texts; associative. An entry whose state ``b`` doesn't hold is left open."""
     p = parser(lang)
     out = {}
     for entry, (state, left) in a.items():
-        if state in b:
-            end, right = b[state]
-            out[entry] = end, p.fold(left + right)
-        else:
-            out[entry] = state, left + BAD
+        end, right = b.get(state, (OPEN, ""))
+        out[entry] = (end, "") if end == OPEN else (end, p.fold(left + right))
     return out
 
 
-def scan_parses(lang: str, text: str, s: Scan) -> bool:
-    """The verdict on a whole text that is scanned already; not for Python."""
-    if lang == "go" and "\0" in text or s.error or s.state:
-        return False
-    p = parser(lang)
-    return p.valid(s.state, p.fold_masked(s.masked))
+def reduce_maps(lang: str, maps: list[Map]) -> Map:
+    """The map of adjoining texts from theirs, in order."""
+    total = maps[0]
+    for m in maps[1:]:
+        total = join_maps(lang, total, m)
+    return total
 
 
-def masked_chunks(lang: str, code: str, size: int = CHUNK_CHARS) -> list[str]:
-    """The masked text of a whole file, cut at line ends; [BAD] if its lexer fails or doesn't end in code. Not for Python."""
-    text = code[1:] if code[:1] == "\ufeff" else code
-    s = scan(text, lang)
-    return [BAD] if lang == "go" and "\0" in text or s.error or s.state else _cut(s.masked, size)
+def verdict(lang: str, whole: Map) -> bool | None:
+    """Whether the file with this map is valid; None if that is open."""
+    state, folded = whole[CODE]
+    return None if state == OPEN else parser(lang).valid(state, folded)
 
 
-def folds_parse(lang: str, folds: list[str]) -> bool:
-    """The verdict on a file from the summaries of its masked chunks in order."""
+def scan_parses(lang: str, text: str, s: Scan) -> bool:
+    """The verdict on a whole text that is scanned already, which is that of its map as one chunk; not for Python."""
+    if lang == "go" and "\0" in text or s.error or s.state:
+        return False
     p = parser(lang)
-    total = folds[0]
-    for fold in folds[1:]:
-        total = p.fold(total + fold)
-    return p.valid(CODE, total)
+    return p.valid(s.state, p.fold_masked(s.masked))
 
 
 def parses(lang: str, code: str) -> bool:
-    """Whether a whole file is valid in its language."""
+    """Whether a whole file is valid in its language, scanned in order."""
     text = code[1:] if code[:1] == "\ufeff" else code
     return python_parses(text) if lang == "python" else scan_parses(lang, text, scan(text, lang))

@@ -3,7 +3,7 @@
 import pytest
 
 from codeloom.llm import syntax
-from codeloom.llm.source_code import broken_files, documented_functions, syntax_verdicts
+from codeloom.llm.source_code import broken_files, chunk_verdicts, documented_functions, syntax_verdicts
 
 RESERVED = {
     "rust": ["mod tests { impl Tr for Mock { fn a(&self) {} } }\n", "impl S { fn m<F>(&self, f: F) where F: for<'a> Fn(&'a str) -> u8 { } }\n", "impl S { const N: usize = if A { 1 } else { 2 }; }\n", "trait T { const N: u8 = match A { 1 => 2, _ => 3 }; }\n"],
@@ -54,12 +54,21 @@ EDGES = {
 
 
 @pytest.mark.parametrize("lang, code", [(k, c) for k, cs in EDGES.items() for c in cs])
-def test_verdicts_do_not_depend_on_cuts(lang, code):
-    p = syntax.parser(lang)
-    for text in (code, code + "}\n", code.replace("(", "", 1) if "(" in code else code):
-        parts = syntax.masked_chunks(lang, text, 1)
-        assert syntax.folds_parse(lang, [p.fold_masked(x) for x in parts]) is syntax.parses(lang, text)
+def test_maps_are_right_or_leave_it_open(lang, code):
+    for text in (code, code + "}\n", code.replace("(", "", 1)):
+        maps = [syntax.state_map(lang, x, k == 0) for k, x in enumerate(syntax.chunks(text, 1))]
+        assert syntax.verdict(lang, syntax.reduce_maps(lang, maps)) in (syntax.parses(lang, text), None)
     assert syntax.parses(lang, code)
+    deep = "###" in code or "/* c" in code or "${" in code
+    assert deep is (syntax.verdict(lang, syntax.reduce_maps(lang, [syntax.state_map(lang, x, k == 0) for k, x in enumerate(syntax.chunks(code, 1))])) is None)
+
+
+def test_long_files_are_reduced_from_maps(spark):
+    """Several runs of chunks each; what maps leave open is null."""
+    body = "function f() {\n  /* a\n b */ return `x\n$1`;\n}\n"
+    rows = [("a", "javascript", body * 300), ("b", "javascript", body * 300 + "}\n"), ("c", "javascript", body * 9 + EDGES["javascript"][0] * 9), ("a", "javascript", body * 300), ("d", "go", "package a\n" + FUNCTION * 200)]
+    got = chunk_verdicts(spark.createDataFrame(rows, "key string, lang string, code string"), 40).collect()
+    assert sorted((r.key, r.broken) for r in got) == [("a", False), ("b", True), ("c", None), ("d", False)]
 
 
 def test_long_files_in_any_lexer_state(spark):
@@ -71,10 +80,10 @@ def test_long_files_in_any_lexer_state(spark):
 
 @pytest.mark.parametrize("lang", sorted(EDGES))
 def test_documented_functions_of_long_files(spark, lang):
-    """Files over CHUNK_CHARS keep their documented functions whatever state the edge of a chunk is in."""
+    """Long files keep their documented functions whatever state the edge of a chunk is in."""
     doc, ext = {"rust": ("/// Reads the next block of rows.\nfn g() {}\n", "rs"), "javascript": ("/** Reads the next block of rows. */\nfunction g() {}\n", "js"), "typescript": ("/** Reads the next block of rows. */\nfunction g(): void {}\n", "ts")}[lang]
     hashes = {"rust": 'const S: &str = r###"%s"###;\n', "javascript": "s = `a ${f({\n%s})}`;\n", "typescript": "s = `a ${f({\n%s})}`;\n"}[lang]
-    filler = ('" {\n' if lang == "rust" else "x: '}',\n") * (syntax.CHUNK_CHARS // 4)
+    filler = ('" {\n' if lang == "rust" else "x: '}',\n") * (1 << 18)
     df = spark.createDataFrame([(1, "p", "a." + ext, doc + hashes % filler)], FILES)
     assert [(r.line_no, r.fn_name) for r in documented_functions(df, False).collect()] == [(2, "g")]
     assert broken_files(df).count() == 0
