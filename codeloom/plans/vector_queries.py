@@ -49,7 +49,21 @@ def v5_similar(spark, folder):
     return vectors.similar(v, v.where("node_id % 50 = 0")).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_UNIT}, l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) / (a.len * b.len) >= 0.4),
+    seeds AS (SELECT a, list(b ORDER BY b) AS bs, row_number() OVER (ORDER BY a) AS k FROM l GROUP BY a),
+    s(k, nodes, leaders) AS (
+        SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
+        UNION ALL
+        SELECT t.k, CASE WHEN list_contains(s.nodes, t.a) THEN s.nodes ELSE list_concat(s.nodes, list_filter(t.bs, lambda x: NOT list_contains(s.nodes, x))) END,
+            CASE WHEN list_contains(s.nodes, t.a) THEN s.leaders ELSE list_concat(s.leaders, list_transform(list_filter(t.bs, lambda x: NOT list_contains(s.nodes, x)), lambda x: t.a)) END
+        FROM s JOIN seeds t ON t.k = s.k + 1
+    ),
+    last AS (SELECT nodes, leaders FROM s ORDER BY k DESC LIMIT 1),
+    pairs AS (SELECT unnest(leaders) AS leader, unnest(nodes) AS node_id FROM last)
+    SELECT leader, node_id FROM pairs UNION SELECT leader, leader FROM pairs""",
+    graph=False,
+)
 def v6_clusters(spark, folder):
     return vectors.clusters(_embeddings(spark, folder), 0.4)
 
