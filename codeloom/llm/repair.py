@@ -58,7 +58,7 @@ def _entropy_bits(sym: np.ndarray, doc: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
-def infer(seqs: list[np.ndarray], rounds: int = 24) -> Grammars:
+def infer(seqs: list[np.ndarray]) -> Grammars:
     """A Re-Pair grammar for each sequence of small non-negative integers; rules are never shared between sequences."""
     count = len(seqs)
     length = np.array([len(s) for s in seqs], dtype=np.int64)
@@ -68,20 +68,20 @@ def infer(seqs: list[np.ndarray], rounds: int = 24) -> Grammars:
         return Grammars(length, length.copy(), rules, zero, zero.copy())
     sym = np.concatenate([np.asarray(s, dtype=np.int64) for s in seqs])
     doc = np.repeat(np.arange(count, dtype=np.int64), length)
+    content = mix(sym)  # what each symbol stands for: ties are broken by it, so a sequence's grammar depends on nothing beside it
     plain = _entropy_bits(sym, doc, count)
     alphabet = np.array([len(np.unique(s)) if len(s) else 1 for s in seqs], dtype=float)
     top = int(sym.max()) + 1
     active = np.ones(count, dtype=bool)
     done_sym, done_doc = [], []
-    for _ in range(rounds):
-        if len(sym) < 2:
-            break
+    while len(sym) > 1:
         inside = doc[1:] == doc[:-1]
         key = (doc[:-1] * top + sym[:-1]) * top + sym[1:]
         key = np.where(inside, key, -1 - np.arange(len(key)))
         _, inverse, freq = np.unique(key, return_inverse=True, return_counts=True)
         n = np.where(inside, freq[inverse], 0)
-        rank = (n.astype(np.uint64) << np.uint64(40)) | (mix(key.view(np.uint64)) >> np.uint64(24))
+        both = combine(content[:-1], content[1:])
+        rank = (n.astype(np.uint64) << np.uint64(40)) | (both >> np.uint64(24))
         rank[n < 2] = 0
         same = np.r_[False, key[1:] == key[:-1]]
         at = np.arange(len(key))
@@ -98,18 +98,19 @@ def infer(seqs: list[np.ndarray], rounds: int = 24) -> Grammars:
         np.minimum.at(first, new, pos)
         rules += np.bincount(doc[first], minlength=count)
         sym[pos] = top + new
+        content[pos] = both[pos]
         keep = np.ones(len(sym), dtype=bool)
         keep[pos + 1] = False
         progressed = np.zeros(count, dtype=bool)
         progressed[doc[pos]] = True
         top += len(kinds)
-        sym, doc = sym[keep], doc[keep]
+        sym, doc, content = sym[keep], doc[keep], content[keep]
         stuck = active & ~progressed
         if stuck.any():  # sequences without a pair left are set aside
             aside = stuck[doc]
             done_sym.append(sym[aside])
             done_doc.append(doc[aside])
-            sym, doc = sym[~aside], doc[~aside]
+            sym, doc, content = sym[~aside], doc[~aside], content[~aside]
             active &= progressed
         if len(sym):
             _, sym = np.unique(sym, return_inverse=True)
@@ -122,7 +123,7 @@ def infer(seqs: list[np.ndarray], rounds: int = 24) -> Grammars:
     return Grammars(length, start, rules, bits, plain)
 
 
-def phrases(seqs: list[np.ndarray], least: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def phrases(seqs: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, rule, tokens): the rules of locally consistent grammars at the first round in which they stand for at
     least ``least`` tokens; a sequence that shrinks to one symbol earlier gives that symbol.
 
@@ -136,9 +137,7 @@ def phrases(seqs: list[np.ndarray], least: int, rounds: int = 12) -> tuple[np.nd
     sym = np.concatenate([np.asarray(s, dtype=np.uint64) for s in seqs])
     doc = np.repeat(np.arange(len(seqs), dtype=np.int64), length)
     weight = np.ones(len(sym), dtype=np.int64)
-    for _ in range(rounds):
-        if len(sym) < 2:
-            break
+    while len(sym) > 1:
         inside = (doc[1:] == doc[:-1]) & (weight[1:] < least) & (weight[:-1] < least)
         if not inside.any():
             break

@@ -208,7 +208,50 @@ def test_handwritten(spark):
     df = spark.createDataFrame(rows, "file_id bigint, project string, path string, code string")
     got = {r.file_id: r.kind for r in handwritten.not_handwritten(spark, df).collect()}
     assert got.pop(12) in ("minified", "generated")
-    assert got == {2: "generated", 3: "encoded", 4: "vendored", 5: "vendored", 6: "vendored", 8: "generated"}
+    assert got == {2: "generated", 3: "encoded", 5: "vendored", 6: "vendored", 8: "generated"}  # the original, 4, stays
     known = spark.createDataFrame([("l", "f.py", _hand(1))], "library string, file_name string, code string")
     assert {r.file_id for r in handwritten.not_handwritten(spark, df, known).collect()} == set(got) | {1, 12}
     assert handwritten.not_handwritten(spark, df.limit(0), known).count() == 0
+
+
+def test_copies_and_originals(spark):
+    lib, own = _hand(1000), _hand(3)
+    tiny = "def f(a, b):\n    return [a + 1, b * 2, a - b, {a: b}, (a, b, 7), a.x(b)]\n"
+    rows = [
+        (20, "late", "src/copy.py", lib, 50), (21, "early", "src/lib.py", lib, 10), (22, "third", "src/again.py", lib.replace("import os", "import os, sys"), 60),
+        (23, "early", "deps/own/x.py", own, 5), (24, "early", "src/x.py", own, 6), (25, "late", "vendor/lib/y.py", _hand(1002), 70),
+        (26, "early", "a/t.py", tiny, 1), (27, "late", "a/t.py", tiny, 2), (28, "late", "b/one.py", "x = 1\n", 3), (29, "early", "b/one.py", "x = 1\n", 3),
+    ]
+    df = spark.createDataFrame(rows, "file_id bigint, project string, path string, code string, since bigint").selectExpr("*", "timestamp_micros(since) AS modified_at")
+    kinds = lambda d, known=None: {r.file_id: r.kind for r in handwritten.not_handwritten(spark, d, known).collect()}
+    # 23 lies in a third-party folder, but its project holds the same code elsewhere; 25 is nobody's else.
+    assert kinds(df) == {20: "vendored", 22: "vendored", 25: "vendored", 27: "vendored"}
+    assert set(kinds(df.drop("modified_at"))) == {21, 22, 25, 27}  # without dates the least file_id is the original
+    known = spark.createDataFrame([("tiny.py", tiny), ("lib.py", lib), (None, None)], "file_name string, code string")
+    assert set(kinds(df, known)) == {20, 21, 22, 25, 26, 27}
+
+
+def test_claims_only_lower_thresholds():
+    hand = _hand(7)
+    rows = "".join(f"def get_{k}(self, key_{k}, other={k % 3}):\n    self.check(key_{k})\n    return self.data[{k}]{'.copy()' if k % 2 else ''}\n" for k in range(30))
+    kinds = handwritten.measure(["gen/generated/a.py", "a.py", "a_pb2.py"], ["# Code generated by x. DO NOT EDIT.\n" + hand, "# Generated by hand, honestly.\n" + hand, rows]).kinds
+    assert kinds == [None, None, "generated"]
+
+
+def test_batches_by_size():
+    import pandas as pd
+
+    f = pd.DataFrame({"code": ["a" * n for n in (10, handwritten.BATCH_CHARS, 5, 5, handwritten.BATCH_CHARS * 2)] + ["b"] * 1200})
+    parts = list(handwritten._batches(f))
+    assert sum(map(len, parts)) == len(f) and [len(p) for p in parts][:4] == [1, 1, 2, 1] and max(map(len, parts)) == handwritten.BATCH_FILES
+
+
+def test_grammars_do_not_depend_on_the_batch():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.integers(0, 9, 300), np.tile(rng.integers(0, 20, 15), 10)])
+    alone = repair.infer([x])
+    among = repair.infer([rng.integers(0, 30, 500), x, x[:40], x])
+    for name in ("size", "bits", "plain_bits"):
+        assert getattr(alone, name)[0] == getattr(among, name)[1] == getattr(among, name)[3]
