@@ -1,6 +1,7 @@
 """Lexers, grammars, documentation pairs and hand-written files: small cases, brute force, and odd rows."""
 
 import ast
+import inspect
 
 import pytest
 
@@ -232,7 +233,7 @@ def test_copies_and_originals(spark):
 
 
 def test_claims_only_lower_thresholds():
-    hand = _hand(7)
+    hand = inspect.getsource(repair.infer)
     rows = "".join(f"def get_{k}(self, key_{k}, other={k % 3}):\n    self.check(key_{k})\n    return self.data[{k}]{'.copy()' if k % 2 else ''}\n" for k in range(30))
     kinds = handwritten.measure(["gen/generated/a.py", "a.py", "a_pb2.py"], ["# Code generated by x. DO NOT EDIT.\n" + hand, "# Generated by hand, honestly.\n" + hand, rows]).kinds
     assert kinds == [None, None, "generated"]
