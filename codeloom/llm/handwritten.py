@@ -13,6 +13,7 @@ from __future__ import annotations
 import keyword
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 from typing import NamedTuple
 
 import numpy as np
@@ -234,7 +235,7 @@ def not_handwritten(spark: SparkSession, files: DataFrame, library: DataFrame |
     back, the most frequent ones by broadcast (see ``join_counted``). The result is written, the rest deleted.
     """
     scratch = Scratch(spark, "handwritten")
-    since = F.coalesce(F.unix_micros("modified_at"), F.lit(2**62)) if dict(files.dtypes).get("modified_at") == "timestamp" else F.lit(0).cast("bigint")
+    since = F.least(F.greatest(F.coalesce(F.unix_micros("modified_at"), F.lit(2**52)), F.lit(0)), F.lit(2**52 - 1)) if dict(files.dtypes).get("modified_at") == "timestamp" else F.lit(0).cast("bigint")
     own = files.where("code IS NOT NULL AND file_id IS NOT NULL").select("file_id", F.xxhash64(F.coalesce("project", F.lit("\0none"))).alias("repo"), since.alias("since"), "path", "code")
     if library is not None:
         known = library.where("code IS NOT NULL").select(F.lit(None).cast("bigint").alias("file_id"), F.xxhash64(F.lit("\0library")).alias("repo"), F.lit(0).cast("bigint").alias("since"), F.col("file_name").alias("path"), "code")
@@ -242,14 +243,16 @@ def not_handwritten(spark: SparkSession, files: DataFrame, library: DataFrame |
     measured = scratch.cut(own.mapInPandas(_measured, _SCHEMA))
     rows = measured.select(F.sum(F.size("rules"))).first()[0] or 0
     pairs = measured.where("size(rules) > 0").select("file_id", "repo", "since", "placed", F.explode(F.arrays_zip("rules", "weights")).alias("r")).select("file_id", "repo", "since", "placed", F.col("r.rules").alias("rule"), F.col("r.weights").alias("weight"))
-    first = F.min(F.struct(F.col("file_id").isNotNull().alias("found"), "placed", "since", "file_id")).alias("first")
-    homes = scratch.cut(pairs.groupBy("rule", "repo").agg(first, F.count("*").alias("n")))
-    origin = F.min(F.struct("first", "repo"))["repo"].alias("native")
-    shared = scratch.cut(homes.groupBy("rule").agg(origin, F.sum("n").alias("n"), F.count("*").alias("repos")).where("repos > 1").select("rule", "native", "n"))
-    asked = pairs.where("file_id IS NOT NULL").select("file_id", "repo", "rule", "weight")
-    copied = join_counted(asked, shared, "rule", "n", rows).where("repo <> native").groupBy("file_id").agg(F.sum("weight").alias("copied"))
-    elsewhere = homes.where("first.found AND NOT first.placed").select("rule", "repo")
-    native = pairs.where("placed AND file_id IS NOT NULL").select("file_id", "repo", "rule", "weight").join(elsewhere, ["rule", "repo"], "left_semi").groupBy("file_id").agg(F.sum("weight").alias("native"))
+    # Who comes first among a rule's holders, as one number: the library, then holders outside third-party folders, by date, by id.
+    rank = F.expr("CAST(CAST(file_id IS NOT NULL AS INT) * 2 + CAST(placed AS INT) AS DECIMAL(1, 0)) * 4503599627370496 + CAST(since AS DECIMAL(16, 0))").cast("decimal(18,0)")
+    rank = rank * F.lit(Decimal(2**63)) + F.coalesce("file_id", F.lit(0))
+    counted = pairs.groupBy("rule").agg(F.min_by("repo", rank).alias("native"), F.count("*").alias("n"), (F.min("repo") != F.max("repo")).alias("foreign"))
+    shared = scratch.cut(counted.where("n > 1"))
+    asked = pairs.where("file_id IS NOT NULL").select("file_id", "repo", "placed", "rule", "weight")
+    held = scratch.cut(join_counted(asked, shared, "rule", "n", rows))
+    copied = held.where("foreign AND repo <> native").groupBy("file_id").agg(F.sum("weight").alias("copied"))
+    elsewhere = held.where("NOT placed").select("rule", "repo").distinct()
+    native = held.where("placed").select("file_id", "repo", "rule", "weight").join(elsewhere, ["rule", "repo"], "left_semi").groupBy("file_id").agg(F.sum("weight").alias("native"))
     # A file that comes k times has its rules k times: compare with the tokens of all its rows.
     per_file = measured.where("file_id IS NOT NULL").groupBy("file_id").agg(F.min("kind").alias("kind"), F.sum("tokens").alias("tokens"), F.max("placed").alias("placed"))
     zero = F.lit(0)
@@ -257,6 +260,6 @@ def not_handwritten(spark: SparkSession, files: DataFrame, library: DataFrame |
     foreign = F.col("placed") & (F.coalesce("native", zero) < NATIVE_SHARE * F.col("tokens"))
     found = per_file.join(copied, "file_id", "left").join(native, "file_id", "left").withColumn("kind", F.coalesce("kind", F.when((F.col("tokens") > 0) & (copy | foreign), F.lit("vendored"))))
     result = scratch.cut(found.where("kind IS NOT NULL").select("file_id", "kind"))
-    for done in (measured, homes, shared):
+    for done in (measured, shared, held):
         scratch.drop(done)
     return result

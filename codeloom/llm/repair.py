@@ -27,8 +27,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The hash of a pair; the order of its sides counts."""
-    return mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b + np.uint64(0x632BE59BD9B4E019)))
+    """The hash of a pair of hashes; their order counts."""
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x632BE59BD9B4E019))
 
 
 class Grammars(NamedTuple):
