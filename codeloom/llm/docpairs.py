@@ -20,6 +20,7 @@ class Declaration(NamedTuple):
     line_no: int
     signature: str
     doc: str | None
+    code: str  # from the declaration, behind its annotations, to the end of its body
 
 
 #: Words that may stand before a parenthesis without naming a function.
@@ -39,13 +40,22 @@ _JS_BOUND = re.compile(r"(?<![\w$.])(?:const|let|var)\s+([^\W\d][\w$]*|\$[\w$]*)
 _JS_ARROW = re.compile(r"\s*(?:async\b\s*)?(?:function\b|(?:<[^()]*>\s*)?(\()|[^\W\d][\w$]*\s*=>)")
 _CALL = re.compile(r"([^\W\d][\w$]*)\s*(?=\()")
 _JS_CALL = re.compile(r"(#?(?:[^\W\d]|\$)[\w$]*)\s*(?:<[^(){};=]*>\s*)?(?=\()")
-_JS_MODS = re.compile(r"(?:(?:static|async|get|set|public|private|protected|readonly|abstract|override|declare|accessor)\b\s*|\*\s*)*$")
+#: Modifiers of members.
+_JS_MODS = set("static async get set public private protected readonly abstract override declare accessor *".split())
 _JAVA_HEAD = re.compile(r"(?:(?:public|private|protected|static|final|abstract|native|synchronized|transient|strictfp|default)\b\s*)*(?:<[^()=;]*>\s*)?(?:[^\W\d][\w$]*(?:\s*\.\s*[^\W\d][\w$]*)*\s*(?:<[^()=;]*>)?(?:\s*\[\s*\])*\s*)?$")
 _C_HEAD = re.compile(r"(?:[^\W\d]\w*\s*|\*\s*)+$")
 _THROWS = re.compile(r"\s*throws\b[^{};=]*")
 _NAME_BEFORE = re.compile(r"[\w$]+\s*$|[.\])\"'\x02\x03]\s*$")
 
 
+_STOP = re.compile(r"[(\[{;]")
+_GO_STOP = re.compile(r"(?:interface|struct)\s*\{|[(\[{\n]")
+_EXPRESSION_END = re.compile(r"[()\[\]{};,]|\n(?!\s*[.?:&|+*/)=-])")
+_PY_LINE = re.compile(r"\n([ \t]*)(?=[^\s])")
+_OPENING = re.compile(r"[(\[{]")
+_SPACE = re.compile(r"\s*")
+
+
 class _Brackets:
     """Partners of all brackets of a masked text and the bracket each position lies in."""
 
@@ -135,6 +145,26 @@ def _back(masked: str, b: _Brackets, pos: int, stops: str = ";{}(,[") -> int:
     return k + 1
 
 
+def _word_before(masked: str, pos: int) -> tuple[int, int]:
+    """(start, end) of the word, or other single character, that is last before ``pos``."""
+    end = pos
+    while end and masked[end - 1].isspace():
+        end -= 1
+    start = end
+    while start and (masked[start - 1].isalnum() or masked[start - 1] in "_$"):
+        start -= 1
+    return (start, end) if start < end else (max(0, end - 1), end)
+
+
+def _before_words(masked: str, pos: int, words: set[str]) -> int:
+    """Where the run of ``words`` begins that ends before ``pos``; ``pos`` if there is none."""
+    while True:
+        start, end = _word_before(masked, pos)
+        if start == end or masked[start:end] not in words or start and masked[start - 1] in ".#$":
+            return pos
+        pos = start
+
+
 def _first(masked: str, start: int, pos: int) -> int:
     while start < pos and masked[start].isspace():
         start += 1
@@ -194,13 +224,76 @@ def _skip_type(masked: str, b: _Brackets, pos: int) -> int:
     return n
 
 
+def _stop(masked: str, b, pos: int, lang: str) -> int:
+    """Where the head of a function ends whose parameters end before ``pos``: at its body's brace, a semicolon, or (Go) the line's end."""
+    pattern = _GO_STOP if lang == "go" else _STOP
+    while m := pattern.search(masked, pos):
+        if m[0] in "([" or m[0] != "{" and len(m[0]) > 1:  # a group of the result's type
+            pos = b.partner.get(m.end() - 1, m.end()) + 1
+        else:
+            return m.start()
+    return len(masked)
+
+
+def _script_stop(masked: str, b, k: int) -> int:
+    """The same behind the parameters that open at ``k`` in JavaScript and TypeScript."""
+    rest = _SPACE.match(masked, b.partner.get(k, k) + 1).end()
+    return _skip_type(masked, b, rest + 1) if masked[rest : rest + 1] == ":" else rest
+
+
+def _body_end(masked: str, b, stop: int) -> int:
+    """Behind the body of a function whose head ends at ``stop``, found by matching its brace; -1 if that is open. A function without
+    a body ends with its head, an arrow's expression where its statement does."""
+    if stop >= len(masked):
+        return len(masked)
+    if masked.endswith("function", 0, stop):
+        stop = _script_stop(masked, b, masked.find("(", stop))
+    elif masked.startswith("=>", stop - 2):
+        stop -= 2
+    if masked.startswith("=>", stop):
+        stop = _SPACE.match(masked, stop + 2).end()
+        if masked[stop : stop + 1] != "{":
+            while m := _EXPRESSION_END.search(masked, stop):
+                if m[0] not in "([{":
+                    return m.start()
+                stop = b.partner.get(m.start(), len(masked)) + 1
+            return len(masked)
+    if masked[stop : stop + 1] == "{":
+        return b.partner.get(stop, -2) + 1
+    return stop + (masked[stop : stop + 1] == ";")
+
+
+def _indented_end(masked: str, b, start: int, colon: int) -> int:
+    """Behind the suite of a Python function that is declared at ``start``: before the next line that isn't indented deeper."""
+    own = len(masked[masked.rfind("\n", 0, start) + 1 : start].expandtabs())
+    last = colon + 1
+    for m in _PY_LINE.finditer(masked, colon):
+        if m.start() < last:
+            continue  # within brackets
+        if len(m[1].expandtabs()) <= own and masked[m.start() - 1 : m.start()] != "\\":
+            opened = _open_bracket(masked, b, last, m.start())
+            if opened < 0:
+                return len(masked[: m.start()].rstrip())
+            last = b.partner.get(opened, len(masked)) + 1
+    return len(masked.rstrip())
+
+
+def _open_bracket(masked: str, b, pos: int, end: int) -> int:
+    """The first bracket in between that closes behind ``end``; -1 if there is none."""
+    while m := _OPENING.search(masked, pos, end):
+        pos = b.partner.get(m.start(), len(masked))
+        if pos >= end:
+            return m.start()
+    return -1
+
+
 def declarations(text: str, lang: str, s: Scan | None = None) -> list[Declaration]:
     """All function and method declarations of a valid file, in order, with their raw documentation."""
     s = s or scan(text, lang)
     masked = s.masked
     b = _Brackets(masked)
     newlines = _lines(text)
-    found: list[tuple[int, str, int, str | None]] = []  # name's offset, name, end of signature, doc
+    found: list[tuple[int, str, int, str | None, int]] = []  # name's offset, name, end of signature, doc, begin
     docs = None if lang == "python" else _Docs(text, s, lang)
 
     def paren_end(k: int) -> int:
@@ -218,7 +311,7 @@ def declarations(text: str, lang: str, s: Scan | None = None) -> list[Declaratio
             colon = end + 1
             while colon < len(masked) and masked[colon] != ":":
                 colon = b.partner.get(colon, colon) + 1 if masked[colon] in "([{" else colon + 1
-            found.append((m.start(1), m[1], colon, _docstring(text, masked, starts, colon + 1)))
+            found.append((m.start(1), m[1], colon, _docstring(text, masked, starts, colon + 1), _first(masked, m.start(), m.start(1))))
     elif lang == "go":
         for m in _GO_FUNC.finditer(masked):
             pos = m.end()
@@ -232,16 +325,12 @@ def declarations(text: str, lang: str, s: Scan | None = None) -> list[Declaratio
                 k = _first(masked, paren_end(k) + 1, len(masked))
             if masked[k : k + 1] != "(":
                 continue
-            body = masked.find("{", paren_end(k))
-            line = masked.find("\n", paren_end(k))
-            found.append((name.start(), name[0], min(x for x in (body, line, len(masked)) if x >= 0), docs.before(m.start())))
+            found.append((name.start(), name[0], _stop(masked, b, paren_end(k) + 1, lang), docs.before(m.start()), m.start()))
     elif lang == "rust":
         for m in _RUST_FN.finditer(masked):
             start = _first(masked, _back(masked, b, m.start(), ";{},"), m.start())
-            first, _ = _strip_annotations(masked, b, start, m.start(), lang)
-            k = masked.find("(", m.end() - 1)
-            stop = re.compile(r"[{;]").search(masked, paren_end(k) if k >= 0 else m.end())
-            found.append((m.start(1), m[1], stop.start() if stop else len(masked), docs.before(first)))
+            first, proper = _strip_annotations(masked, b, start, m.start(), lang)
+            found.append((m.start(1), m[1], _stop(masked, b, paren_end(masked.find("(", m.end() - 1)) + 1, lang), docs.before(first), proper))
     elif lang in ("java", "c"):
         classes = set(re.findall(r"\b(?:class|enum|record)\s+([^\W\d][\w$]*)", masked)) if lang == "java" else set()
         depth = _depths(masked) if lang == "c" else None
@@ -270,18 +359,20 @@ def declarations(text: str, lang: str, s: Scan | None = None) -> list[Declaratio
                     continue
             elif not head.strip() or not _C_HEAD.match(head) or set(head.split()) & {"return", "else", "typedef", "goto", "case", "do"}:
                 continue
-            found.append((m.start(1), m[1], after, docs.before(first)))
+            found.append((m.start(1), m[1], after, docs.before(first), proper))
     else:
         _script(masked, b, docs, found)
     found.sort(key=lambda x: x[0])
     out, last = [], -1
-    for pos, name, stop, doc in found:
+    for pos, name, stop, doc, begin in found:
         if pos == last:
             continue
         last = pos
+        end = _indented_end(masked, b, begin, stop) if lang == "python" else _body_end(masked, b, stop)
+        if end < 0:
+            continue
         line = bisect.bisect_left(newlines, pos) + 1
-        begin = text.rfind("\n", 0, pos) + 1
-        out.append(Declaration(name, line, " ".join(text[begin:stop].split()), doc))
+        out.append(Declaration(name, line, " ".join(text[text.rfind("\n", 0, pos) + 1 : stop].split()), doc, text[begin:end]))
     return out
 
 
@@ -290,8 +381,11 @@ def _depths(masked: str):
     at, level, stack = [0], [0], []
     for m in re.finditer(r"[{}]", masked):
         if m[0] == "{":
-            block = masked[max(0, m.start() - 40) : m.start()].rstrip()
-            outer = block.endswith("\x03") and re.search(r"\bextern\s+\x02\x03*$", block) is not None
+            at_end = _word_before(masked, m.start())[1]
+            outer = False
+            if masked[at_end - 1 : at_end] == "\x03":  # extern "C"
+                word = _word_before(masked, masked.rfind(STR_HEAD, 0, at_end))
+                outer = masked[word[0] : word[1]] == "extern"
             stack.append(outer)
             d = level[-1] + (not outer)
         else:
@@ -306,17 +400,12 @@ _CLASS_HEAD = re.compile(r"(?<![\w$.])(?:class|interface)\b(?!\s*[:=,;)])[^{};=(
 
 def _script(masked: str, b: _Brackets, docs: _Docs, found: list) -> None:
     size = len(masked)
-    word_before = re.compile(r"(?:(?:export|default|async|declare)\s+)*$")
     for m in _JS_FUNCTION.finditer(masked):
         name = m[1] or m[2]
-        start = word_before.search(masked, max(0, m.start() - 60), m.start()).start()
-        start = _first(masked, start, m.start())
+        start = _before_words(masked, m.start(), {"export", "default", "async", "declare"})
         begin = _first(masked, _back(masked, b, start), start)
         first, proper = _strip_annotations(masked, b, begin, start, "javascript")
-        k = masked.find("(", m.end() - 1)
-        stop = masked.find("{", b.partner.get(k, k))
-        found.append((m.start(1) if m[1] else m.start(2), name, stop if stop >= 0 else size, docs.before(start)))
-    export = re.compile(r"(?:export\s+)?(?:declare\s+)?$")
+        found.append((m.start(1) if m[1] else m.start(2), name, _script_stop(masked, b, masked.find("(", m.end() - 1)), docs.before(start), start))
     for m in _JS_BOUND.finditer(masked):
         k = m.end()
         if masked[k] == ":":
@@ -341,8 +430,8 @@ def _script(masked: str, b: _Brackets, docs: _Docs, found: list) -> None:
             stop = rest
         else:
             stop = a.end()
-        start = export.search(masked, max(0, m.start() - 40), m.start()).start()
-        found.append((m.start(1), m[1], stop, docs.before(_first(masked, start, m.start()))))
+        start = _before_words(masked, m.start(), {"export", "declare"})
+        found.append((m.start(1), m[1], stop, docs.before(start), start))
     bodies = set()
     for m in re.finditer(r"\{", masked):
         o = m.start()
@@ -354,8 +443,7 @@ def _script(masked: str, b: _Brackets, docs: _Docs, found: list) -> None:
         name = m[1]
         if name in _CONTROL["javascript"]:
             continue
-        before = _JS_MODS.search(masked, max(0, m.start() - 120), m.start())
-        start = _first(masked, before.start(), m.start())
+        start = _before_words(masked, m.start(), _JS_MODS)
         j = start - 1
         while j >= 0 and masked[j].isspace():
             j -= 1
@@ -389,7 +477,7 @@ def _script(masked: str, b: _Brackets, docs: _Docs, found: list) -> None:
             begin = _first(masked, _back(masked, b, start), start)
             begin, _ = _strip_annotations(masked, b, begin, start, "javascript")
             begin = begin if masked[begin] == "@" else start
-        found.append((m.start(1), name, rest, docs.before(begin)))
+        found.append((m.start(1), name, rest, docs.before(begin), start))
 
 
 def _line_break(masked: str, a: int, z: int) -> bool:
@@ -398,8 +486,8 @@ def _line_break(masked: str, a: int, z: int) -> bool:
 
 def _object_brace(masked: str, o: int) -> bool:
     """Whether the brace at ``o`` opens an object literal rather than a block."""
-    before = masked[max(0, o - 40) : o].rstrip()
-    return bool(before) and (before[-1] in "=(,:[?&|" or bool(re.search(r"(?:\breturn|\bdefault)$", before)))
+    start, end = _word_before(masked, o)
+    return start < end and (masked[end - 1] in "=(,:[?&|" or masked[start:end] in ("return", "default"))
 
 
 def _to_assign(masked: str, b: _Brackets, pos: int) -> int:
@@ -421,8 +509,7 @@ def _to_assign(masked: str, b: _Brackets, pos: int) -> int:
 
 def _head_start(masked: str, b: _Brackets, pos: int) -> int:
     k = pos - 1
-    low = max(0, pos - 2000)
-    while k >= low:
+    while k >= 0:
         c = masked[k]
         if c in ")]":
             k = b.partner.get(k, 0)
@@ -485,16 +572,21 @@ _LED = {
 _JS_LED = re.compile(r"(?:export\s+(?:default\s+)?)?(?:declare\s+)?(?:(?:async\s+)?function\s*\*?\s*((?:[^\W\d]|\$)[\w$]*)\s*[<(]|(?:const|let|var)\s+((?:[^\W\d]|\$)[\w$]*)\s*(?=[:=]))")
 _JS_MEMBER = re.compile(r"(?:(?:static|async|get|set|public|private|protected|readonly|abstract|override|declare|accessor)\b(?!\s*[(<:=?;])\s*|\*\s*)*(#?(?:[^\W\d]|\$)[\w$]*)\s*\??\s*(?:<[^(){};=]*>\s*)?\(")
 _ANNOTATION = re.compile(r"@\s*[^\W\d][\w$]*(?:\s*\.\s*[^\W\d][\w$]*)*\s*")
-_SPACE = re.compile(r"\s*")
 
 
 def _closing(masked: str, k: int) -> int:
-    """The partner of the bracket at ``k``; -1 if there is none."""
-    depth = 0
-    for m in _PAIRS.finditer(masked, k):
-        depth += 1 if m[0] in "([{" else -1
+    """The partner of the bracket at ``k`` among those of its kind; -1 if there is none."""
+    opening = masked[k]
+    closing = _CLOSE.get(opening)
+    depth, pos = 0, k
+    while closing:
+        at = masked.find(closing, pos)
+        if at < 0:
+            break
+        depth += masked.count(opening, pos, at) - 1
         if not depth:
-            return m.start()
+            return at
+        pos = at + 1
     return -1
 
 
@@ -542,9 +634,9 @@ def _blocks(text: str, s: Scan, lang: str) -> Iterator[tuple[int, str]]:
     yield from flush()
 
 
-def documented(text: str, lang: str, s: Scan | None = None, signatures: bool = True) -> list[Declaration]:
+def documented(text: str, lang: str, s: Scan | None = None, texts: bool = True, says: bool = False) -> list[Declaration]:
     """The declarations that documentation stands before, in order; what ``declarations`` gives, without those without.
-    Without ``signatures`` these are empty.
+    Without ``texts`` signatures and code are empty; with ``says`` trivial documentation counts as none.
 
     Starts from each comment that is documentation by its form and matches the declaration behind it, brackets only where
     they are needed, so its cost follows the documentation and not the code.
@@ -554,12 +646,21 @@ def documented(text: str, lang: str, s: Scan | None = None, signatures: bool = T
     out: list[Declaration] = []
     last, line = 0, 1
 
-    def add(pos: int, name: str, stop: int, doc: str | None) -> None:
+    lazy = _Lazy(masked)
+
+    def add(begin: int, pos: int, name: str, stop: int, doc: str | None) -> None:
         nonlocal last, line
+        if says and is_trivial(doc, name):
+            return
+        end = _indented_end(masked, lazy, begin, stop) if lang == "python" else _body_end(masked, lazy, stop)
+        if end < 0:
+            return
         line += text.count("\n", last, pos)
         last = pos
-        begin = text.rfind("\n", 0, pos) + 1
-        out.append(Declaration(name, line, " ".join(text[begin:stop].split()) if signatures else "", doc))
+        if texts:
+            out.append(Declaration(name, line, " ".join(text[text.rfind("\n", 0, pos) + 1 : stop].split()), doc, text[begin:end]))
+        else:
+            out.append(Declaration(name, line, "", doc, ""))
 
     if lang == "python":
         starts = {t.start: t for t in s.strings}
@@ -576,9 +677,8 @@ def documented(text: str, lang: str, s: Scan | None = None, signatures: bool = T
                 break
             doc = _docstring(text, masked, starts, colon + 1) if colon >= 0 else None
             if doc is not None:
-                add(m.start(1), m[1], colon, doc)
+                add(_first(masked, m.start(), m.start(1)), m.start(1), m[1], colon, doc)
         return out
-    lazy = _Lazy(masked)
     size = len(masked)
     depth, depth_at, parents, bodies = 0, 0, None, None
     for end, doc in _blocks(text, s, lang):
@@ -600,14 +700,12 @@ def documented(text: str, lang: str, s: Scan | None = None, signatures: bool = T
         if lang in ("javascript", "typescript"):
             m = _JS_LED.match(masked, pos)
             if m and m[1]:
-                k = masked.find("(", m.end() - 1)
-                stop = masked.find("{", lazy.partner.get(k, k))
-                add(m.start(1), m[1], stop if stop >= 0 else size, doc)
+                add(pos, m.start(1), m[1], _script_stop(masked, lazy, masked.find("(", m.end() - 1)), doc)
                 continue
             if m:
                 stop = _bound_function(masked, lazy, m.end())
                 if stop >= 0:
-                    add(m.start(2), m[2], stop, doc)
+                    add(pos, m.start(2), m[2], stop, doc)
                 continue
             m = _JS_MEMBER.match(masked, pos)
             if not m or m[1] in _CONTROL["javascript"]:
@@ -626,15 +724,14 @@ def documented(text: str, lang: str, s: Scan | None = None, signatures: bool = T
                     bodies = {o.start() for o in re.finditer(r"\{", masked) if _CLASS_HEAD.search(masked[_head_start(masked, whole, o.start()) : o.start()])}
                 if parents(pos) not in bodies or not (typed or masked[rest : rest + 1] in ";}" or "\n" in masked[close:rest]):
                     continue
-            add(m.start(1), m[1], rest, doc)
+            add(pos, m.start(1), m[1], rest, doc)
             continue
         m = _LED[lang].match(masked, pos)
         if not m:
             continue
         if lang == "rust":
             k = masked.find("(", m.end() - 1)
-            stop = re.compile(r"[{;]").search(masked, lazy.partner.get(k, m.end()) if k >= 0 else m.end())
-            add(m.start(1), m[1], stop.start() if stop else size, doc)
+            add(pos, m.start(1), m[1], _stop(masked, lazy, lazy.partner.get(k, m.end()) + 1, lang), doc)
             continue
         if lang == "go":
             if pos and masked[pos - 1] != "\n":
@@ -645,8 +742,7 @@ def documented(text: str, lang: str, s: Scan | None = None, signatures: bool = T
             close = lazy.partner.get(k, -1)
             if close < 0:
                 continue
-            ends = [x for x in (masked.find("{", close), masked.find("\n", close), size) if x >= 0]
-            add(m.start(1), m[1], min(ends), doc)
+            add(pos, m.start(1), m[1], _stop(masked, lazy, close + 1, lang), doc)
             continue
         close = lazy.partner.get(m.end() - 1, -1)
         if close < 0 or m[2] in _CONTROL[lang]:
@@ -667,7 +763,7 @@ def documented(text: str, lang: str, s: Scan | None = None, signatures: bool = T
             depth_at = pos
             if words & {"return", "else", "typedef", "goto", "case", "do"} or depth and _depths(masked)(pos):
                 continue
-        add(m.start(2), m[2], after, doc)
+        add(pos, m.start(2), m[2], after, doc)
     return out
 
 

@@ -109,12 +109,12 @@ def broken_rates(files: DataFrame) -> DataFrame:
 
 
 _NAME_SCHEMA = "file_id bigint, line_no int, fn_name string"
-_PAIR_SCHEMA = _NAME_SCHEMA + ", path string, language string, signature string, docstring string"
+_PAIR_SCHEMA = _NAME_SCHEMA + ", path string, language string, signature string, docstring string, code string"
 
 
 def _pairs(texts: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["file_id", "line_no", "fn_name"] + ["path", "language", "signature", "docstring"] * texts
+        columns = ["file_id", "line_no", "fn_name"] + ["path", "language", "signature", "docstring", "code"] * texts
         for f in frames:
             rows = []
             for file_id, path, code in zip(f["file_id"], f["path"], f["code"]):
@@ -123,20 +123,21 @@ def _pairs(texts: bool):
                     continue
                 text = code[1:] if code[:1] == "\ufeff" else code
                 s = scan(text, lang)
-                found = [d for d in docpairs.documented(text, lang, s, texts) if not docpairs.is_trivial(d.doc, d.name)]
+                found = docpairs.documented(text, lang, s, texts, says=True)
                 if not found:  # whether the file parses makes no difference then
                     continue
                 if not (syntax.python_parses(text) if lang == "python" else syntax.scan_parses(lang, text, s)):
                     continue
-                rows += [(file_id, d.line_no, d.name, path, lang, d.signature, d.doc) if texts else (file_id, d.line_no, d.name) for d in found]
+                rows += [(file_id, d.line_no, d.name, path, lang, d.signature, d.doc, d.code) if texts else (file_id, d.line_no, d.name) for d in found]
             yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     return run
 
 
 def documented_functions(files: DataFrame, texts: bool = True) -> DataFrame:
-    """(file_id, line_no, fn_name, path, language, signature, docstring): every function or method declaration with
+    """(file_id, line_no, fn_name, path, language, signature, docstring, code): every function or method declaration with
     documentation that says something, in files that parse; once per declaration. Without ``texts`` the first three only.
+    ``code`` is the function from its declaration to the end of its body. Only files with documentation are parsed: others have no rows anyway.
 
     ``files`` needs file_id, path and code. Null or empty code, null paths and unknown extensions give no row, broken files
     none either; a file that comes several times with equal content gives each declaration once. line_no is the 1-based line of the

@@ -256,3 +256,31 @@ def test_grammars_do_not_depend_on_the_batch():
     among = repair.infer([rng.integers(0, 30, 500), x, x[:40], x])
     for name in ("size", "bits", "plain_bits"):
         assert getattr(alone, name)[0] == getattr(among, name)[1] == getattr(among, name)[3]
+
+
+BODIES = {
+    "python": ('class A:\n    @dec\n    def f(self, a=(\n1,\n)):\n        """Keeps the whole of it."""\n        x = """\nflat\n"""\n        y = [\n1]\n        z = 1 + \\\n2\n# note\n        return x\n\n    b = 1\n', "def f(self", "return x"),
+    "javascript": ("/** Keeps the whole of it. */\nexport const f = async (a) => a\n  .b({ c: 1 })\n  .d;\nf()\n", "export const f", ".d"),
+    "typescript": ("class A {\n  /** Keeps the whole of it. */\n  @D()\n  async f(a: { b: 1 }): Promise<{ c: 1 }> {\n    return `}${1}`; // }\n  }\n  g() {}\n}\n", "async f", "// }\n  }"),
+    "go": ("package a\n\n// F keeps the whole of it.\nfunc (s *S) F(a map[string]interface{}) (x interface{}, e struct{ y int }) {\n\tif a { return }\n}\n\nfunc G() {}\n", "func (s *S) F", "return }\n}"),
+    "java": ("class A {\n  /** Keeps the whole of it. */\n  @X({1})\n  public int[] f(int a) throws E { while (a) { } return 1; }\n  int g() { }\n}\n", "public int[] f", "return 1; }"),
+    "rust": ("/// Keeps the whole of it.\n#[x]\npub fn f<T>(a: T) -> [u8; 4] where T: X { match a { _ => {} } }\nfn g() {}\n", "pub fn f", "{} } }"),
+    "c": ("/** Keeps the whole of it. */\nstatic int\n*f(int a[3])\n{\n  char c = '}';\n}\nint g(void);\n", "static int\n*f", "'}';\n}"),
+}
+
+
+@pytest.mark.parametrize("lang", sorted(BODIES))
+def test_code_of_pairs(lang):
+    text, start, end = BODIES[lang]
+    assert syntax.parses(lang, text)
+    (found,) = docpairs.documented(text, lang)
+    assert found.code.startswith(start) and found.code.endswith(end), found.code
+    assert [d for d in docpairs.declarations(text, lang) if d.doc is not None] == [found]
+    assert docpairs.documented(text, lang, texts=False, says=True)[0][:2] == found[:2]
+
+
+def test_bodiless_declarations():
+    (a,) = docpairs.documented("/** Keeps the whole of it. */\nint f(void);\nint g(void) { }\n", "c")
+    (b,) = docpairs.documented("trait A {\n    /// Keeps the whole of it.\n    fn f(&self) -> u8;\n    fn g(&self) {}\n}\n", "rust")
+    (c,) = docpairs.documented("/** Keeps the whole of it. */\ndeclare function f(a: number): void;\nfunction g() {}\n", "typescript")
+    assert (a.code, b.code, c.code) == ("int f(void);", "fn f(&self) -> u8;", "declare function f(a: number): void;")
