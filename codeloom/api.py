@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import context, graph, history, metrics, notes, search, vectors
 from codeloom.operators.vectors import hashed_embedding
+from codeloom.session import Scratch
 from codeloom.sources import files as sources
 
 
@@ -33,20 +34,14 @@ class Workspace:
 
     @classmethod
     def index_directory(cls, spark: SparkSession, folders: list[str], project: str = "default", exclude: list[str] | None = None, max_files: int = sources.MAX_FILES) -> Workspace:
-        """Reads, parses, resolves and embeds source trees."""
-        from codeloom.schema import edges_of, nodes_of
-
+        """Reads, parses, resolves and embeds source trees. Parsed files and the graph are written to the shared folder, so files are read and parsed once."""
         tree = None
         for folder in folders:
             part = sources.read_tree(spark, folder, exclude, max_files)
             tree = part if tree is None else tree.unionByName(part)
-        parsed = sources.parse_files(tree).withColumn("project", F.lit(project))
-        nodes = nodes_of(parsed)
-        held = sources.contains_edges(parsed).withColumn("edge_id", F.xxhash64("src", "dst", "edge_type"))
-        edges = edges_of(held)
-        wanted = nodes.where("unresolved_calls IS NOT NULL").select("node_id", F.explode("unresolved_calls").alias("name"))
-        calls = search.resolve(nodes, edges, wanted, "Calls").withColumn("edge_id", F.xxhash64("src", "dst", "edge_type"))
-        edges = edges.unionByName(edges_of(calls))
+        scratch = Scratch(spark, "index")
+        parsed = scratch.cut(sources.parse_files(tree).withColumn("project", F.lit(project)))
+        nodes, edges = (scratch.cut(df) for df in sources.graph_of(parsed))
         return cls(spark, nodes, edges, project, tree.withColumn("project", F.lit(project)), vectors=vectors.symbol_vectors(nodes))
 
     def reindex_workspace(self, folders: list[str], **options) -> Workspace:

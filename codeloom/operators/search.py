@@ -227,8 +227,10 @@ def symbol_map(nodes: DataFrame) -> DataFrame:
     return named.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("name", F.col("node_id").alias("target"))
 
 
-def resolve(nodes: DataFrame, edges: DataFrame, wanted: DataFrame, edge_type: str) -> DataFrame:
-    """(src, dst, edge_type): edges for (node_id, name) that bare names lead to, without loops and those that exist."""
-    found = wanted.select("node_id", "name").distinct().join(symbol_map(nodes), "name").where("node_id <> target").select(F.col("node_id").alias("src"), F.col("target").alias("dst")).distinct()
-    have = edges.where(F.col("edge_type") == edge_type).select("src", "dst")
-    return found.join(have, ["src", "dst"], "left_anti").withColumn("edge_type", F.lit(edge_type))
+def resolve(nodes: DataFrame, edges: DataFrame, wanted: DataFrame, edge_type: str | None = None) -> DataFrame:
+    """(src, dst, edge_type): edges for (node_id, name, edge_type) that bare names lead to, without loops and those that exist. With ``edge_type`` all
+    edges are of that type. Names are looked up together, by a join whose right side has one row for each name."""
+    if edge_type is not None:
+        wanted = wanted.select("node_id", "name", F.lit(edge_type).alias("edge_type"))
+    found = wanted.distinct().join(symbol_map(nodes), "name").where("node_id <> target").select(F.col("node_id").alias("src"), F.col("target").alias("dst"), "edge_type").distinct()
+    return found.join(edges.select("src", "dst", "edge_type"), ["src", "dst", "edge_type"], "left_anti")

@@ -13,7 +13,8 @@ NODE_COLUMNS = {
     "line_start": "int", "line_end": "int", "col_start": "int", "col_end": "int", "signature": "string", "doc": "string", "visibility": "string",
     "is_public": "boolean", "is_async": "boolean", "is_static": "boolean", "is_const": "boolean", "is_test": "boolean", "is_cli": "boolean", "deprecated": "boolean",
     "return_type": "string", "param_count": "int", "attributes": "array<string>", "route": "string", "http_method": "string",
-    "unresolved_calls": "array<string>", "complexity": "int",
+    "unresolved_calls": "array<string>", "complexity": "int", "complexity_branches": "int", "complexity_loops": "int", "complexity_logical_ops": "int",
+    "complexity_nesting": "int", "complexity_exceptions": "int", "complexity_early_returns": "int",
 }
 #: Other names under which indexers store a property, tried in order.
 _ALIASES = {"doc": ["doc", "docstring"], "line_start": ["line_start", "start_line"], "line_end": ["line_end", "end_line"], "col_start": ["col_start", "start_col"], "col_end": ["col_end", "end_col"]}

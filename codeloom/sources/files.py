@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import ast
 import re
-import time
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.rules import LANGUAGES, SKIPPED_DIRECTORIES, language_of_path, project_slug
+from codeloom.sources.parsers import SCHEMA, parse_frames
 
 #: Limits of a scan.
 MAX_DEPTH, MAX_FILES, MAX_KILOBYTES = 20, 5_000, 1_024
@@ -43,82 +40,90 @@ def read_tree(spark: SparkSession, root: str, exclude: list[str] | None = None,
 
 # Extraction -------------------------------------------------------------------------------------------------------
 
-_BLOCK = {
-    "javascript": [("Function", r"(?m)^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)"), ("Function", r"(?m)^[ \t]*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=\n]*)?=\s*(?:async\s*)?(?:\([^()]*\)|[\w$]+)[^=\n]*=>"), ("Class", r"(?m)^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)"), ("Interface", r"(?m)^[ \t]*(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)")],
-    "go": [("Function", r"(?m)^func\s*(?:\([^)]*\)\s*)?([A-Za-z_]\w*)"), ("Class", r"(?m)^type\s+([A-Za-z_]\w*)\s+struct"), ("Interface", r"(?m)^type\s+([A-Za-z_]\w*)\s+interface")],
-    "java": [("Function", r"(?m)^[ \t]+(?:(?:public|private|protected|static|final|abstract|synchronized|native)\s+)*[\w$<>\[\], .?]+\s+([A-Za-z_$][\w$]*)\s*\([^;{}]*\)\s*(?:throws[^{;]*)?[{;]"), ("Class", r"(?m)^[ \t]*(?:(?:public|private|protected|static|final|abstract)\s+)*(?:class|enum|record)\s+([A-Za-z_$][\w$]*)"), ("Interface", r"(?m)^[ \t]*(?:(?:public|private|protected|static)\s+)*interface\s+([A-Za-z_$][\w$]*)")],
-    "rust": [("Function", r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+)*fn\s+([A-Za-z_]\w*)"), ("Class", r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|union)\s+([A-Za-z_]\w*)"), ("Interface", r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?trait\s+([A-Za-z_]\w*)")],
-    "c": [("Function", r"(?m)^(?!return|else|typedef)[A-Za-z_][\w \t*]*?[ \t*]([A-Za-z_]\w*)\s*\([^;{}]*\)\s*\{"), ("Class", r"(?m)^(?:typedef\s+)?(?:struct|union|enum)\s+([A-Za-z_]\w*)\s*\{")],
-}
-_BLOCK["typescript"] = _BLOCK["javascript"]
-_CALL = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*\(")
-_NOT_CALLED = set("if for while switch catch return function sizeof match fn func def class new await typeof print super".split())
 
+def parse_files(files: DataFrame, parser=parse_frames) -> DataFrame:
+    """Symbols of (path, code) with what ``parsers.SCHEMA`` lists and a node_id; a CodeFile for every file of a known language, with its imports.
 
-def extract(path: str, language: str, code: str) -> list[tuple[str, str, int, int, list[str]]]:
-    """(node_type, name, line_start, line_end, called names) of a file. Raises SyntaxError for Python that does not parse.
-
-    Python has a parser of its own; other languages go by declarations and balanced braces, which is what this source promises: names and spans, not types.
+    ``parser`` is any function over batches of (path, language, code) with the same output; one for a language of its own may be plugged in.
     """
-    if language == "python":
-        out = []
-        for node in ast.walk(ast.parse(code)):
-            if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-                called = sorted({c.func.id if isinstance(c.func, ast.Name) else c.func.attr for c in ast.walk(node) if isinstance(c, ast.Call) and isinstance(c.func, ast.Name | ast.Attribute)})
-                out.append(("Class" if isinstance(node, ast.ClassDef) else "Function", node.name, node.lineno, node.end_lineno or node.lineno, called if not isinstance(node, ast.ClassDef) else []))
-        return sorted(out, key=lambda x: (x[2], x[1]))
-    out = []
-    for kind, pattern in _BLOCK.get(language, []):
-        for m in re.finditer(pattern, code):
-            start = code.count("\n", 0, m.start(1)) + 1
-            k, depth, end = code.find("{", m.start(1)), 0, m.end()
-            while 0 <= k < len(code):
-                depth += {"{": 1, "}": -1}.get(code[k], 0)
-                if not depth:
-                    end = k
-                    break
-                k += 1
-            body = code[m.end() : end]
-            called = sorted(set(_CALL.findall(body)) - _NOT_CALLED - {m[1]}) if kind == "Function" else []
-            out.append((kind, m[1], start, code.count("\n", 0, end) + 1, called))
-    return sorted(set((a, b, c, d, tuple(e)) for a, b, c, d, e in out), key=lambda x: (x[2], x[1]))
-
-
-def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        rows = []
-        for path, language, code in zip(f["path"], f["language"], f["code"]):
-            began = time.perf_counter()
-            try:
-                found = extract(path, language, code or "")
-                ok = True
-            except (SyntaxError, ValueError, RecursionError):
-                found, ok = [], False
-            took = (time.perf_counter() - began) * 1000
-            lines = (code or "").count("\n") + 1
-            rows.append((path, language, ok, took, "CodeFile", path.rsplit("/", 1)[-1], 1, lines, []))
-            rows += [(path, language, ok, 0.0, kind, name, a, z, list(called)) for kind, name, a, z, called in found]
-        yield pd.DataFrame(rows, columns=["path", "language", "ok", "ms", "node_type", "name", "line_start", "line_end", "unresolved_calls"])
-
-
-def parse_files(files: DataFrame, parser=_parse) -> DataFrame:
-    """Symbols of (path, code): (node_id, path, language, ok, ms, node_type, name, line_start, line_end, unresolved_calls), a CodeFile for every file of a known
-    language. ``parser`` is any function over batches with the same output."""
     known = files.select("path", language_of_path(F.col("path")).alias("language"), "code").where("language IS NOT NULL AND path IS NOT NULL")
-    schema = "path string, language string, ok boolean, ms double, node_type string, name string, line_start int, line_end int, unresolved_calls array<string>"
-    return known.mapInPandas(parser, schema).withColumn("node_id", F.xxhash64("path", "node_type", "name", "line_start"))
+    return known.mapInPandas(parser, SCHEMA).withColumn("node_id", F.xxhash64("path", "node_type", "name", "line_start"))
 
 
 def contains_edges(symbols: DataFrame) -> DataFrame:
-    """(src, dst, edge_type): files and what they hold."""
+    """(src, dst, edge_type): files and what they hold, classes and their members."""
     files = symbols.where("node_type = 'CodeFile'").select(F.col("node_id").alias("src"), "path")
-    return symbols.where("node_type <> 'CodeFile'").select(F.col("node_id").alias("dst"), "path").join(files, "path").select("src", "dst", F.lit("Contains").alias("edge_type"))
+    in_file = symbols.where("node_type NOT IN ('CodeFile', 'Module') OR line_start > 0").where("node_type <> 'CodeFile'").select(F.col("node_id").alias("dst"), "path").join(files, "path").select("src", "dst")
+    in_class = symbols.where("holder IS NOT NULL").select(F.xxhash64("path", "holder.node_type", "holder.name", "holder.line_start").alias("src"), F.col("node_id").alias("dst"))
+    return in_file.unionByName(in_class).distinct().withColumn("edge_type", F.lit("Contains"))
+
+
+#: Files that stand for their folder.
+_FOLDER_FILES = ["index", "__init__", "mod"]
+#: Languages whose modules are paths with dots.
+_DOTTED = ["python", "java", "kotlin", "ruby"]
+
+
+def import_edges(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node_id, name) of the imported modules, and (src, dst, edge_type) from files to them and to the files they mean.
+
+    A relative import means the file at its path, of any extension; a dotted one a file whose path ends with it, the first by path.
+    """
+    files = symbols.where("node_type = 'CodeFile'")
+    asked = files.select(F.col("node_id").alias("src"), "language", F.explode("imports").alias("i")).select("src", "language", "i.module", "i.target").where("module <> ''").distinct()
+    module_id = F.xxhash64(F.lit("Module"), "module")
+    modules = asked.select(module_id.alias("node_id"), F.col("module").alias("name")).distinct()
+    to_modules = asked.select("src", module_id.alias("dst"))
+    stem = F.regexp_replace("path", r"\.[^./]*$", "")
+    base = F.regexp_extract("stem", r"([^/]*)$", 1)
+    folder = F.regexp_replace("stem", r"/?[^/]*$", "")
+    named = files.select(F.col("node_id").alias("dst"), F.col("language").alias("of"), "path", stem.alias("stem"))
+    named = named.unionByName(named.where(base.isin(_FOLDER_FILES)).withColumn("stem", folder))
+    relative = asked.where("target IS NOT NULL").join(named, F.col("target") == F.col("stem")).select("src", "module", "dst", "path")
+    dotted = asked.where(F.col("target").isNull() & F.col("language").isin(_DOTTED)).withColumn("place", F.regexp_replace("module", r"[.]", "/")).withColumn("tail", F.regexp_extract("place", r"([^/]*)$", 1))
+    ends = (F.col("stem") == F.col("place")) | F.col("stem").endswith(F.concat(F.lit("/"), F.col("place")))
+    far = dotted.join(named.withColumn("tail", base), "tail").where(ends & (F.col("language") == F.col("of"))).select("src", "module", "dst", "path")
+    to_files = relative.unionByName(far).groupBy("src", "module").agg(F.min_by("dst", "path").alias("dst")).select("src", "dst").where("src <> dst")
+    return modules, to_modules.unionByName(to_files).distinct().withColumn("edge_type", F.lit("Imports"))
+
+
+def graph_of(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges, in normal form, of parsed files: what they contain and import, and what names in one file mean in another: imported
+    symbols, calls, type references and ancestors."""
+    from codeloom.operators.search import resolve
+    from codeloom.schema import edges_of, nodes_of
+
+    modules, imported = import_edges(symbols)
+    outside = modules.withColumns({"node_type": F.lit("Module"), "line_start": F.lit(0)})
+    nodes = nodes_of(symbols.unionByName(outside, allowMissingColumns=True))
+
+    def numbered(edges: DataFrame) -> DataFrame:
+        return edges_of(edges.withColumn("edge_id", F.xxhash64("src", "dst", "edge_type")))
+
+    edges = numbered(contains_edges(symbols).unionByName(imported))
+    return nodes, edges.unionByName(numbered(resolve(nodes, edges, wanted_names(symbols))))
+
+
+def wanted_names(symbols: DataFrame) -> DataFrame:
+    """(node_id, name, edge_type): what files and symbols name without saying where it is."""
+    at = F.col("node_id")
+    parts = [
+        symbols.where("node_type = 'CodeFile'").select(at, F.explode(F.flatten("imports.names")).alias("name"), F.lit("Imports").alias("edge_type")),
+        symbols.where("node_type = 'Function'").select(at, F.explode("unresolved_calls").alias("name"), F.lit("Calls").alias("edge_type")),
+        symbols.select(at, F.explode("unresolved_type_refs").alias("name"), F.lit("References").alias("edge_type")),
+        symbols.select(at, F.explode("extends").alias("name"), F.lit("Extends").alias("edge_type")),
+        symbols.select(at, F.explode("implements").alias("name"), F.lit("Implements").alias("edge_type")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
 
 
 def parse_results(symbols: DataFrame) -> DataFrame:
     """(language, ok, entities, relations, ms) by file, for ``parser_metrics``."""
     own = F.col("node_type") == "CodeFile"
-    return symbols.groupBy("path", "language").agg(F.bool_and("ok").alias("ok"), F.count_if(~own).alias("entities"), F.sum(F.size("unresolved_calls")).alias("relations"), F.sum("ms").alias("ms")).drop("path")
+    return symbols.groupBy("path", "language").agg(F.bool_and("ok").alias("ok"), F.count_if(~own).alias("entities"), F.sum(F.coalesce(F.size("unresolved_calls"), F.lit(0)) + F.coalesce(F.size("imports"), F.lit(0))).alias("relations"), F.sum("ms").alias("ms")).drop("path")
 
 
 # Store --------------------------------------------------------------------------------------------------------------
