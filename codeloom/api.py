@@ -14,6 +14,7 @@ from codeloom.operators import context, graph, history, metrics, notes, search,
 from codeloom.operators.vectors import hashed_embedding
 from codeloom.session import Scratch
 from codeloom.sources import files as sources
+from codeloom.streaming import watch
 
 
 @dataclass
@@ -28,7 +29,8 @@ class Workspace:
     log: DataFrame | None = None  # notes with version and deleted
     vectors: DataFrame | None = None  # node_id, embedding
     embedder: object = hashed_embedding
-    _index: tuple | None = field(default=None, repr=False)
+    symbols: DataFrame | None = None  # parsed files, which changes replace
+    _index: str | None = field(default=None, repr=False)
 
     # Building ----------------------------------------------------------------------------------------------------
 
@@ -42,16 +44,50 @@ class Workspace:
         scratch = Scratch(spark, "index")
         parsed = scratch.cut(sources.parse_files(tree).withColumn("project", F.lit(project)))
         nodes, edges = (scratch.cut(df) for df in sources.graph_of(parsed))
-        return cls(spark, nodes, edges, project, tree.withColumn("project", F.lit(project)), vectors=vectors.symbol_vectors(nodes))
+        return cls(spark, nodes, edges, project, tree.withColumn("project", F.lit(project)), vectors=scratch.cut(vectors.symbol_vectors(nodes)), symbols=parsed)
 
     def reindex_workspace(self, folders: list[str], **options) -> Workspace:
         return self.index_directory(self.spark, folders, self.project, **options)
 
     def index(self) -> tuple[DataFrame, DataFrame]:
+        """The inverted index, written to the shared folder once."""
         if self._index is None:
             f = search.index_fields(self.nodes)
-            self._index = search.postings(f).cache(), search.doc_stats(f).cache()
-        return self._index
+            self._index = Scratch(self.spark, "words").root
+            search.save_index(search.postings(f), search.doc_stats(f), self._index)
+        return self.spark.read.parquet(f"{self._index}/postings").select("term", "node_id", "tf", "weight"), self.spark.read.parquet(f"{self._index}/documents")
+
+    def text_search(self, query: str, limit: int = 20) -> DataFrame:
+        """BM25 alone, from the buckets of the query's words."""
+        self.index()
+        return search.search_index(self.spark, self._index, query, limit)
+
+    # Changes -----------------------------------------------------------------------------------------------------
+
+    def _state(self) -> watch.Indexed:
+        return watch.Indexed(self.symbols, self.nodes, self.edges, self.vectors, self.log)
+
+    def _with(self, state: watch.Indexed) -> Workspace:
+        self.symbols, self.nodes, self.edges, self.vectors, self.log, self._index = state.symbols, state.nodes, state.edges, state.vectors, state.log, None
+        return self
+
+    def update_files(self, contents: DataFrame, removed: DataFrame | None = None) -> Workspace:
+        return self._with(watch.refresh(self._state(), contents, removed, self.embedder))
+
+    def switch_branch(self, changes: DataFrame, contents: DataFrame) -> Workspace:
+        return self._with(watch.switch_branch(self._state(), changes, contents, self.embedder))
+
+    def on_open(self, path: str, text: str, **options) -> Workspace:
+        return self._with(watch.on_open(self._state(), path, text, **options))
+
+    def on_change(self, path: str, text: str) -> Workspace:
+        return self._with(watch.on_change(self._state(), path, text))
+
+    def on_save(self, path: str, text: str) -> Workspace:
+        return self._with(watch.on_save(self._state(), path, text, self.embedder))
+
+    def on_close(self, path: str) -> Workspace:
+        return self
 
     def at(self, node: int | None = None, path: str | None = None, line: int | None = None) -> int | None:
         """The node meant."""
@@ -101,6 +137,18 @@ class Workspace:
         found = self.get_symbol_info(self.at(node, path, line)).join(graph.symbol_records(self.nodes), "node_id")
         return found.join(self._code(), "node_id", "left") if self.files is not None else found
 
+    def get_symbol_neighbours(self, node=None, path=None, line=None) -> DataFrame:
+        return graph.symbol_neighbours(self.nodes, self.edges).where(F.col("node_id") == self.at(node, path, line))
+
+    def hover(self, node=None, path=None, line=None) -> DataFrame:
+        return graph.hover(self.nodes).where(F.col("node_id") == self.at(node, path, line))
+
+    def document_symbols(self, path: str) -> DataFrame:
+        return graph.document_symbols(self.nodes, self.edges, path)
+
+    def call_hierarchy(self, node=None, path=None, line=None, direction: str = "incoming") -> DataFrame:
+        return graph.call_hierarchy(self.nodes, self.edges, self.at(node, path, line), direction)
+
     # Search -------------------------------------------------------------------------------------------------------------
 
     def symbol_search(self, query: str, limit: int = 20, types=None, include_private: bool = True) -> DataFrame:
@@ -132,7 +180,7 @@ class Workspace:
         return metrics.unused(self.nodes, self.edges, path, include_tests, confidence, limit)
 
     def analyze_coupling(self, path: str | None = None, depth: int = 2) -> DataFrame:
-        """Of one file's dependency graph, or of every file."""
+        """Of one file's dependency graph, or of every file; ``metrics.coupling_advice`` says what to do about it."""
         if path is None:
             return metrics.file_coupling(self.nodes, self.edges)
         return metrics.graph_coupling(graph.dependency_edges(self.edges, self.get_dependency_graph(path, depth)))
@@ -165,6 +213,47 @@ class Workspace:
     def get_edit_context(self, node=None, path=None, line=None, budget: int = 8000) -> DataFrame:
         return context.edit_context(self.nodes, self.edges, self._code(), budget).where(F.col("node_id") == self.at(node, path, line))
 
+    def get_ai_context_sections(self, node=None, path=None, line=None, intent: str = "explain", budget: int = 4000) -> dict[str, DataFrame]:
+        """All sections of the context of one symbol."""
+        asked = self.at(node, path, line)
+        own = self.nodes.where(F.col("node_id") == asked)
+        place = own.select("path")
+        pick = lambda df: df.where(F.col("node_id") == asked)
+        return {
+            "related": self.get_ai_context(asked, intent=intent, budget=budget), "dependencies": pick(context.dependencies(self.nodes, self.edges)), "imports": context.file_imports(self.nodes, self.edges).join(place, "path", "left_semi"),
+            "siblings": pick(context.siblings(self.nodes)), "usages": pick(context.usages(self.nodes, self.edges, self._code())), "architecture": context.architecture(self.nodes, self.edges).join(place, "path", "left_semi"),
+            "neighbours": pick(context.neighbour_modules(self.nodes, self.edges)), "debug_hints": pick(context.debug_hints(self.nodes, self.edges)),
+        }
+
+    def _note_hits(self, query: str, limit: int) -> DataFrame | None:
+        if self.log is None:
+            return None
+        return self.memory_search(query, limit).select("id", "score").join(self._notes().select("id", "title", "content", "kind"), "id")
+
+    def get_edit_context_sections(self, node=None, path=None, line=None, budget: int = 8000) -> dict[str, DataFrame]:
+        """All sections of what to know before an edit: the source, callers and tests, notes on the file, its latest commits."""
+        asked = self.at(node, path, line)
+        row = self.nodes.where(F.col("node_id") == asked).select("name", "path").first()
+        out = {"source": self._code().where(F.col("node_id") == asked), "callers_and_tests": self.get_edit_context(asked, budget=budget)}
+        hits = self._note_hits(row["path"] or row["name"], 5)
+        if hits is not None:
+            out["memories"] = context.notes_within(hits, budget)
+        if self.commits is not None and self.commit_files is not None and row["path"]:
+            out["recent_changes"] = context.recent_changes(self.commits, self.commit_files, row["path"])
+        return out
+
+    def get_curated_memories(self, query: str, budget: int = 8000, most: int = 5) -> DataFrame | None:
+        """Notes on the first three files of the best symbols, three of each."""
+        if self.log is None:
+            return None
+        best = self.symbol_search(query, most).select("node_id", "score").join(self.nodes.select("node_id", "path"), "node_id").where("path <> ''")
+        files = [r["path"] for r in best.groupBy("path").agg(F.max("score").alias("s")).orderBy(F.desc("s"), "path").limit(3).collect()]
+        hits = None
+        for path in files:
+            part = self._note_hits(path, 3)
+            hits = part if hits is None else hits.unionByName(part)
+        return None if hits is None else context.notes_within(hits.groupBy("id", "title", "content", "kind").agg(F.max("score").alias("score")), budget)
+
     def get_curated_context(self, query: str, anchor=None, budget: int = 8000, most: int = 5, expand: str = "dependencies") -> DataFrame:
         ranked = self.symbol_search(query, 3 * most).select("node_id", "score")
         return context.curated_context(ranked, self.nodes, self.edges, self._code(), budget, most, anchor, expand)
@@ -197,6 +286,11 @@ class Workspace:
     def memory_search(self, query: str, limit: int = 10, kinds=None, tags=None, code=None, current_only: bool = True) -> DataFrame:
         return notes.search(self._notes(), query, self._vector(query), code, kinds, tags, limit, current_only)
 
+    def memory_nearest(self, query: str, k: int = 10) -> DataFrame:
+        """The notes whose vectors are most similar to a text's; notes without a vector of the embedder get one first."""
+        asked = self._vector(query)
+        return notes.nearest(notes.embedded(self._notes().where(notes.is_current()), self.embedder, len(asked)), asked, k)
+
     def memory_context(self, path: str, limit: int = 5, with_links: bool = False) -> DataFrame:
         return notes.context_of_file(self._notes(), self.nodes, path, limit, with_links)
 

@@ -174,15 +174,28 @@ def return_type_of(signature: Column) -> Column:
 def params_of(signature: Column) -> Column:
     """Parameters in the first balanced parentheses of a signature, without a leading self; null without parentheses.
 
-    Nested brackets are peeled off from the inside, which keeps this in generated code for nesting up to six deep.
+    The characters behind the first parenthesis are folded, with the depth of brackets of all kinds, so nesting may go as deep as it likes; an angle
+    bracket closes nothing behind - or =. A part of blanks only is none.
     """
-    text = F.regexp_replace(signature, r"^[^(]*\(", "(")
-    for _ in range(6):
-        text = F.regexp_replace(text, r"(?<=.)[(\[{<][^()\[\]{}<>]*[)\]}>]", "_")
-    body = F.regexp_extract(text, r"^\(([^()]*)\)", 1)
-    count = F.size(F.filter(F.split(body, ","), lambda x: F.trim(x) != ""))
-    own = F.trim(F.element_at(F.split(body, ","), 1)).rlike(r"^(?:&\s*(?:'\w+\s+)?(?:mut\s+)?|mut\s+)?self\s*(?::.*)?$")
-    return F.when(text.rlike(r"^\([^()]*\)"), F.when(F.trim(body) == "", 0).otherwise(count - F.when(own, 1).otherwise(0)))
+    start = F.locate("(", signature)
+    chars = F.split(F.substr(signature, start + 1), "")
+    zero, no = F.lit(0), F.lit(False)
+    state = F.struct(F.lit(1).alias("depth"), zero.alias("parts"), no.alias("filled"), F.lit("").alias("first"), F.lit("").alias("before"))
+
+    def step(s: Column, c: Column) -> Column:
+        opens = c.isin("(", "[", "{", "<")
+        closes = c.isin(")", "]", "}") | ((c == ">") & ~s["before"].isin("-", "="))
+        comma = (c == ",") & (s["depth"] == 1)
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        ends = comma | (depth == 0)
+        filled = F.when(ends, no).otherwise(s["filled"] | ~c.rlike(r"^\s*$"))
+        parts = s["parts"] + F.when(ends & s["filled"], 1).otherwise(0)
+        first = F.when((s["parts"] == 0) & ~ends & (F.length(s["first"]) < 64), F.concat(s["first"], c)).otherwise(s["first"])
+        return F.when(s["depth"] == 0, s).otherwise(F.struct(depth.alias("depth"), parts.alias("parts"), filled.alias("filled"), first.alias("first"), c.alias("before")))
+
+    end = F.aggregate(chars, state, step)
+    own = F.trim(end["first"]).rlike(r"^(?:&\s*(?:'\w+\s+)?(?:mut\s+)?|mut\s+)?self\s*(?::.*)?$")
+    return F.when((start > 0) & (end["depth"] == 0), end["parts"] - F.when(own, 1).otherwise(0))
 
 
 def modifiers_hold(names: list[str], node: dict[str, Column]) -> Column:
@@ -361,9 +374,9 @@ def canonical_language(name: Column) -> Column:
 
 
 def project_slug(folder: Column) -> Column:
-    """Name of the folder in lower case with dashes, and four hexadecimal digits of its path's hash."""
+    """Name of the folder in lower case with dashes, and four hexadecimal digits of its path's MD5."""
     base = F.regexp_replace(F.lower(F.regexp_extract(folder, r"([^/]*)/?$", 1)), "[^a-z0-9]", "-")
-    return F.concat_ws("-", base, F.lower(F.right(F.hex(F.xxhash64(folder)), F.lit(4))))
+    return F.concat_ws("-", base, F.right(F.md5(folder.cast("binary")), F.lit(4)))
 
 
 def symbol_kind(name: str) -> str | None:
@@ -393,5 +406,20 @@ def was_current_at(created: Column, superseded: Column, moment: Column) -> Colum
     return (created <= moment) & (superseded.isNull() | (moment < superseded))
 
 
+def is_at_commit(commit: Column, wanted: str) -> Column:
+    """Whether a note is of a commit, of which either name may be cut short to seven characters or more."""
+    short = F.lit(wanted)
+    return F.coalesce((F.length(commit) >= 7) & (F.length(short) >= 7) & (commit.startswith(short) | short.startswith(commit)), F.lit(False)) | F.coalesce(commit == short, F.lit(False))
+
+
+def change_action(change: Column) -> Column:
+    """(action, confidence): what a change of code asks of the notes that speak of it; null for an unknown change."""
+    out = None
+    for name, (action, sure) in CHANGE_ACTIONS.items():
+        value = F.struct(F.lit(action).alias("action"), F.lit(sure).alias("confidence"))
+        out = F.when(change == name, value) if out is None else out.when(change == name, value)
+    return out
+
+
 # What a change of code asks of memories that speak of it, and how surely.
 CHANGE_ACTIONS = {"Deleted": ("Invalidate", 1.0), "SignatureChanged": ("Review", 0.9), "MajorRefactor": ("Review", 0.8), "MinorEdit": ("None", 0.0), "Renamed": ("Update", 0.7), "Moved": ("Update", 0.7)}

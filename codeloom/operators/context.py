@@ -17,7 +17,8 @@ def within(ranked: DataFrame, group: str, budget: int, *order: str) -> DataFrame
 def fitting(ranked: DataFrame, group: str, budget: int, order: list[str]) -> DataFrame:
     """Rows (tokens) of each group that fit into what those taken before left; one that doesn't is skipped, and smaller ones behind it may still fit.
 
-    Each step depends on the one before, so a group is folded in order, inside the JVM; callers cut groups to a bounded number of candidates first.
+    Each step depends on the one before, so a group is folded in order, inside the JVM. What is kept is bounded by the budget, but for items without tokens;
+    candidates of a group are those of one symbol.
     """
     columns = [c for c in ranked.columns if c not in order]
     row = F.struct(*order, *columns)
@@ -51,9 +52,10 @@ def related(nodes: DataFrame, edges: DataFrame, code: DataFrame, intent: str = "
     calls = edges.where("edge_type = 'Calls'").select("src", "dst").distinct()
     test = nodes.where(F.col("name").startswith("test_") | F.col("name").endswith("_test") | F.col("path").contains("/test")).select(F.col("node_id").alias("other"), F.lit(True).alias("is_test"))
 
-    def first(pairs: DataFrame, n: int) -> DataFrame:
+    def first(pairs: DataFrame, n: int | None) -> DataFrame:
         w = Window.partitionBy("node_id").orderBy("other")
-        return pairs.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
+        placed = pairs.withColumn("position", F.row_number().over(w))
+        return placed if n is None else placed.where(F.col("position") <= n)
 
     out_ = calls.select(F.col("src").alias("node_id"), F.col("dst").alias("other"))
     in_ = calls.select(F.col("dst").alias("node_id"), F.col("src").alias("other"))
@@ -63,7 +65,7 @@ def related(nodes: DataFrame, edges: DataFrame, code: DataFrame, intent: str = "
 
     if intent == "explain":
         extends = edges.where("edge_type = 'Extends'").select(F.col("dst").alias("node_id"), F.col("src").alias("other")).distinct()
-        parts = [as_(first(out_, 5), "uses", 1.0), as_(first(in_, 3), "called_by", 0.8), as_(first(extends, 1000), "extended_by", 0.9)]
+        parts = [as_(first(out_, 5), "uses", 1.0), as_(first(in_, 3), "called_by", 0.8), as_(first(extends, None), "extended_by", 0.9)]
     elif intent == "modify":
         five = first(in_, 5).join(test, "other", "left")
         parts = [as_(five.where("is_test"), "test", 1.0)]
@@ -95,21 +97,102 @@ def ai_context(nodes: DataFrame, edges: DataFrame, code: DataFrame, intent: str
 
 
 def edit_context(nodes: DataFrame, edges: DataFrame, code: DataFrame, budget: int = 8000) -> DataFrame:
-    """(node_id, other, section, position, tokens): for every function up to ten callers within a quarter of the budget and five tests that call it within a
-    fifth; each section stops once it is over."""
-    calls = edges.where("edge_type = 'Calls'").select(F.col("dst").alias("node_id"), F.col("src").alias("other")).distinct()
-    sized = calls.join(code.select(F.col("node_id").alias("other"), tokens_estimate(F.col("code")).cast("bigint").alias("tokens")), "other")
-    test = F.col("name").startswith("test_") | F.col("name").endswith("_test") | F.col("path").contains("/test")
-    flagged = sized.join(nodes.select(F.col("node_id").alias("other"), F.coalesce(test, F.lit(False)).alias("is_test")), "other")
+    """(node_id, other, section, relation, position, tokens): for every function up to ten callers within a quarter of the budget, and up to five tests within a
+    fifth: of the first twenty test entries those that lead to it within three calls, then tests of its file, whose code is left out. Each section stops once it is over."""
+    from codeloom.functions.rules import entry_type, is_test_node
+    from codeloom.operators.graph import callers, links, reach
+
+    functions = nodes.where("node_type = 'Function' AND name IS NOT NULL")
+    sizes = code.select(F.col("node_id").alias("other"), tokens_estimate(F.col("code")).cast("bigint").alias("size"))
+    asked = functions.select(F.col("node_id").alias("start"))
+    calling = callers(nodes, edges, asked).select(F.col("start").alias("node_id"), F.col("node").alias("other")).distinct().select("node_id", "other", F.lit("callers").alias("section"), F.lit("caller").alias("relation"))
+    kind = entry_type(*[F.col(c) for c in ("name", "path", "route", "http_method", "is_test", "is_cli", "is_public")])
+    entries = functions.where(kind == "test_entry").select(F.col("node_id").alias("start")).orderBy("start").limit(20)
+    leading = reach(links(edges, ["Calls"]), entries, 3).select(F.col("node").alias("node_id"), F.col("start").alias("other")).where("node_id <> other").join(asked.withColumnRenamed("start", "node_id"), "node_id", "left_semi")
+    leading = leading.select("node_id", "other", F.lit("tests").alias("section"), F.lit("calls_target").alias("relation"))
+    # Five of them are shown at most, and five more and the function itself may be passed over: the first eleven of a file are enough.
+    of_file = Window.partitionBy("path").orderBy("other")
+    tests = functions.where(is_test_node(F.col("name"), F.col("path"), F.col("is_test"))).select("path", F.col("node_id").alias("other")).withColumn("_n", F.row_number().over(of_file)).where("_n <= 11").drop("_n")
+    beside = functions.select("node_id", "path").join(tests, "path").where("node_id <> other").select("node_id", "other", F.lit("tests").alias("section"), F.lit("same_file").alias("relation"))
+    beside = beside.join(leading, ["node_id", "other"], "left_anti")
     out = None
-    for section, keep, most, share in (("callers", ~F.col("is_test"), 10, 0.25), ("tests", F.col("is_test"), 5, 0.2)):
-        w = Window.partitionBy("node_id").orderBy("other")
-        part = flagged.where(keep).withColumn("position", F.row_number().over(w)).where(F.col("position") <= most)
-        part = within(part, "node_id", int(budget * share), "position").select("node_id", "other", F.lit(section).alias("section"), "position", "tokens")
-        out = part if out is None else out.unionByName(part)
+    for part, most, share in ((calling, 10, 0.25), (leading.unionByName(beside), 5, 0.2)):
+        w = Window.partitionBy("node_id").orderBy("relation", "other")
+        placed = part.withColumn("position", F.row_number().over(w)).where(F.col("position") <= most).join(sizes, "other", "left")
+        sized = placed.select("node_id", "other", "section", "relation", "position", F.when(F.col("relation") == "same_file", 0).otherwise(F.coalesce("size", F.lit(0))).cast("bigint").alias("tokens"))
+        kept = within(sized, "node_id", int(budget * share), "position")
+        out = kept if out is None else out.unionByName(kept)
     return out
 
 
+def notes_within(hits: DataFrame, budget: int, share: float = 0.15) -> DataFrame:
+    """(id, title, content, kind, score, position, tokens): of search hits (id, title, content, kind, score), a bounded number, the first of each title, until a share
+    of the budget is exceeded."""
+    by_title = Window.partitionBy("title").orderBy(F.desc("score"), "id")
+    first = hits.withColumn("_n", F.row_number().over(by_title)).where("_n = 1 OR title IS NULL").withColumn("_g", F.lit(1))
+    placed = first.withColumn("position", F.row_number().over(Window.partitionBy("_g").orderBy(F.desc("score"), "id")))
+    sized = placed.withColumn("tokens", F.coalesce(tokens_estimate(F.col("content")), F.lit(0)).cast("bigint"))
+    return within(sized, "_g", int(budget * share), "position").select("id", "title", "content", "kind", "score", "position", "tokens")
+
+
+def recent_changes(commits: DataFrame, commit_files: DataFrame, path: str, most: int = 5) -> DataFrame:
+    """(hash, subject, author_name, author_date): the latest commits of a file."""
+    mine = commit_files.where(F.col("path") == path).select("hash").distinct()
+    return commits.join(mine, "hash", "left_semi").orderBy(F.desc("author_date"), "hash").limit(most).select(F.substring("hash", 1, 8).alias("hash"), "subject", "author_name", "author_date")
+
+
+def dependencies(nodes: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
+    """(node_id, other, name): the first ``most`` imports of each node; of these, those with a name."""
+    w = Window.partitionBy("src").orderBy("edge_id")
+    some = edges.where("edge_type = 'Imports'").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    return some.select(F.col("src").alias("node_id"), F.col("dst").alias("other")).join(nodes.select(F.col("node_id").alias("other"), "name"), "other").where("name <> ''").select("node_id", "other", "name")
+
+
+def file_imports(nodes: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
+    """(path, name, position): the names that any symbol of a file imports, in the order of edges, each target once."""
+    at = nodes.where("path IS NOT NULL").select(F.col("node_id").alias("src"), "path")
+    targets = edges.where("edge_type = 'Imports'").join(at, "src").groupBy("path", "dst").agg(F.min("edge_id").alias("edge_id"))
+    named = targets.join(nodes.select(F.col("node_id").alias("dst"), "name"), "dst").where("name <> ''")
+    return named.withColumn("position", F.row_number().over(Window.partitionBy("path").orderBy("edge_id", "dst"))).where(F.col("position") <= most).select("path", "name", "position")
+
+
+def siblings(nodes: DataFrame, most: int = 10) -> DataFrame:
+    """(node_id, other, name, signature, visibility, line_start): for each function the first others of its file, by line. The first ``most`` + 1 of a file are enough."""
+    functions = nodes.where("node_type = 'Function' AND name <> '' AND path IS NOT NULL")
+    first = functions.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("line_start", "node_id"))).where(F.col("_n") <= most + 1)
+    shown = first.select("path", "_n", F.col("node_id").alias("other"), "name", F.coalesce("signature", "name").alias("signature"), F.coalesce("visibility", F.when(F.col("is_public"), "public").otherwise("private")).alias("visibility"), "line_start")
+    pairs = functions.select("node_id", "path").join(shown, "path").where("node_id <> other")
+    place = F.row_number().over(Window.partitionBy("node_id").orderBy("_n"))
+    return pairs.withColumn("_k", place).where(F.col("_k") <= most).select("node_id", "other", "name", "signature", "visibility", "line_start")
+
+
+#: Parts of names that speak of failure.
+_FAILURES = "error|err|panic|throw|fail|exception"
+
+
+def debug_hints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, complexity, branches, exception_handlers, early_returns, nesting_depth, error_paths): for each function what to look at: how tangled it is,
+    and the names it calls that speak of failure."""
+    from codeloom.operators.metrics import function_complexity
+
+    failing = nodes.where(F.lower("name").rlike(_FAILURES)).select(F.col("node_id").alias("dst"), "name")
+    paths = edges.where("edge_type = 'Calls'").join(failing, "dst").groupBy(F.col("src").alias("node_id")).agg(F.array_sort(F.collect_set("name")).alias("error_paths"))
+    shape = function_complexity(nodes).select("node_id", "complexity", "branches", F.col("exceptions").alias("exception_handlers"), "early_returns", F.col("nesting").alias("nesting_depth"))
+    return shape.join(paths, "node_id", "left").withColumn("error_paths", F.coalesce("error_paths", F.array().cast("array<string>")))
+
+
+def neighbour_modules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, module, relationship): the other modules (file stems) a symbol has edges with, and of which kinds."""
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    at = nodes.where("path <> ''").select("node_id", stem.alias("module"))
+    kind = F.lower("edge_type")
+    out_ = F.when(kind == "calls", "calls").when(kind == "imports", "imports").otherwise("depends_on")
+    in_ = F.when(kind == "calls", "called_by").when(kind == "imports", "imported_by").otherwise("depended_on_by")
+    both = edges.select(F.col("src").alias("node_id"), F.col("dst").alias("other"), out_.alias("r")).unionByName(edges.select(F.col("dst").alias("node_id"), F.col("src").alias("other"), in_.alias("r"))).distinct()
+    ends = both.join(at.withColumnRenamed("module", "own"), "node_id").join(at.withColumnRenamed("node_id", "other"), "other").where("module <> own")
+    return ends.groupBy("node_id", "module").agg(F.array_join(F.array_sort(F.collect_set("r")), ", ").alias("relationship"))
+
+
 def curated_context(ranked: DataFrame, nodes: DataFrame, edges: DataFrame, code: DataFrame, budget: int = 8000, most: int = 5, anchor: str | None = None, expand: str = "dependencies") -> DataFrame:
     """(section, node_id, of, tokens): for search results (node_id, score): symbols within 40 % of the budget, those of the anchor's file first, then at most one
     new dependency, or three callers, of each within 25 %."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators.skew import join_counted
+from codeloom.operators.skew import join_counted, join_spread, spread
 from codeloom.session import Scratch
 
 
@@ -23,12 +23,20 @@ def reach(steps: DataFrame, starts: DataFrame, depth: int, scratch: Scratch | No
     """(start, node, depth): every node within ``depth`` steps of each start, at its least depth.
 
     A start appears itself only through a cycle. ``starts`` is (start). All starts advance together: a hop joins the frontier with
-    the steps and drops pairs found before. Beyond three hops, or with a ``scratch``, each hop is written, which ends the lineage.
+    the steps and drops pairs found before. Beyond two hops, or with a ``scratch``, the steps and each hop are written: lineage ends there, so the plan
+    stays that of one hop whatever the depth, and the steps of hubs are cut into parts that several tasks join.
     """
+    hot = None
+    if depth > 2 and scratch is None:
+        scratch = Scratch(steps.sparkSession, "reach")
+    if scratch is not None:
+        steps, hot = spread(steps, "at")
+        steps, hot = scratch.cut(steps), scratch.cut(hot)
     frontier = starts.select("start", F.col("start").alias("at")).distinct()
     found = None
     for hop in range(1, depth + 1):
-        new = frontier.join(steps, "at").select("start", F.col("to").alias("node")).distinct()
+        met = join_spread(frontier, steps, hot, "at") if hot is not None else frontier.join(steps, "at")
+        new = met.select("start", F.col("to").alias("node")).distinct()
         if found is not None:
             new = new.join(found.select("start", "node"), ["start", "node"], "left_anti")
         new = new.withColumn("depth", F.lit(hop))
@@ -39,6 +47,12 @@ def reach(steps: DataFrame, starts: DataFrame, depth: int, scratch: Scratch | No
     return found
 
 
+def call_chain(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int = 3, direction: str = "outgoing") -> DataFrame:
+    """(start, node, depth): what each start calls (``direction`` incoming: what calls it), directly or not. Nodes without a name are passed through but not given."""
+    named = nodes.where("name IS NOT NULL").select(F.col("node_id").alias("node"))
+    return reach(links(edges, ["Calls"], direction), starts, depth).join(named, "node", "left_semi").select("start", "node", "depth")
+
+
 def call_adjacency(edges: DataFrame) -> DataFrame:
     """(node_id, callers, callees): how many distinct functions call each node and are called by it, for all with calls."""
     calls = edges.where("edge_type = 'Calls'").select("src", "dst").distinct()
@@ -74,9 +88,10 @@ def callers(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int =
 def traverse(nodes: DataFrame, edges: DataFrame, start: int, depth: int = 3, direction: str = "outgoing", edge_types: list[str] | None = None, node_types: list[str] | None = None, limit: int = 100) -> DataFrame:
     """(node_id, name, node_type, depth, edge_type, path): nodes within ``depth`` hops, each once with the path and edge of its discovery.
 
-    Discovery follows the order (order of the parent, edge_id). Node types filter what is given, not what is expanded.
+    Discovery follows the order (order of the parent, edge_id). Node types filter what is given, not what is expanded. Each hop is written.
     """
     spark = nodes.sparkSession
+    scratch = Scratch(spark, "traverse")
     if edge_types:
         edges = edges.where(F.lower("edge_type").isin([t.lower() for t in edge_types]))
     ahead = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), "edge_type", "edge_id")
@@ -89,6 +104,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, start: int, depth: int = 3, dir
         new = frontier.join(steps, "at").join(seen, "to", "left_anti")
         first = Window.partitionBy("to").orderBy("rank", "edge_id")
         new = new.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("to", "edge_type", F.concat("path", F.array("to")).alias("path"), F.concat("rank", F.array("edge_id")).alias("rank"), F.lit(hop).alias("depth"))
+        new = scratch.cut(new)
         found = new if found is None else found.unionByName(new)
         seen = seen.unionByName(new.select("to"))
         frontier = new.select(F.col("to").alias("at"), "path", "rank")
@@ -110,15 +126,17 @@ def call_graph(nodes: DataFrame, edges: DataFrame, root: int, depth: int = 3) ->
     return best.join(nodes.select(F.col("node_id").alias("node"), "name"), "node").where("name IS NOT NULL").select(F.col("node").alias("node_id"), "name", "b.relation", "b.depth")
 
 
-def dependency_nodes(nodes: DataFrame, edges: DataFrame, path: str, depth: int = 3, direction: str = "both") -> DataFrame:
-    """(node_id, name, path): the file at ``path`` and everything within ``depth`` import steps of it."""
+def dependency_nodes(nodes: DataFrame, edges: DataFrame, path: str, depth: int = 3, direction: str = "both", external: bool = True) -> DataFrame:
+    """(node_id, name, path): the file at ``path`` and everything within ``depth`` import steps of it; without ``external`` only what has a path, which modules
+    outside of the indexed trees have not."""
     starts = nodes.where((F.col("node_type") == "CodeFile") & (F.col("path") == path)).select(F.col("node_id").alias("start"))
     found = None
     for way in ("outgoing", "incoming") if direction == "both" else (direction,):
         part = reach(links(edges, ["Imports"], way), starts, depth).select("node")
         found = part if found is None else found.unionByName(part)
     ids = found.unionByName(starts.select(F.col("start").alias("node"))).distinct()
-    return ids.join(nodes.select(F.col("node_id").alias("node"), "name", "path"), "node").select(F.col("node").alias("node_id"), "name", "path")
+    out = ids.join(nodes.select(F.col("node_id").alias("node"), "name", "path"), "node").select(F.col("node").alias("node_id"), "name", "path")
+    return out if external else out.where("path <> ''")
 
 
 def dependency_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -172,21 +190,27 @@ def consumers(nodes: DataFrame) -> DataFrame:
 
 
 def symbol_info(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, callers, callees, referrers, imports, loc, has_tests): what is known of each function at one step."""
+    """What is known of each function at one step: (node_id, callers, callees, referrers, imports, loc, has_tests, is_public, deprecated, complexity); callers,
+    callees and imports are numbers of distinct nodes and names, see ``symbol_neighbours`` for which."""
     calls = call_adjacency(edges)
     refs = edges.select("src", "dst").distinct().groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("referrers"))
-    flag = F.col("name").startswith("test_") | F.col("name").endswith("_test") | F.col("path").contains("/test")
+    flag = F.col("name").startswith("test_") | F.col("name").endswith("_test") | F.col("name").contains("test ") | F.col("path").contains("/test")
     testers = nodes.where(flag).select(F.col("node_id").alias("src"))
     tested = edges.where("edge_type = 'Calls'").join(testers, "src", "left_semi").select(F.col("dst").alias("node_id"), F.lit(True).alias("_t")).distinct()
-    names = nodes.select(F.col("node_id").alias("other"), "name")
-    ends = edges.where("edge_type IN ('Imports', 'ImportsFrom')")
-    both = ends.select(F.col("src").alias("node_id"), F.col("dst").alias("other")).unionByName(ends.select(F.col("dst").alias("node_id"), F.col("src").alias("other")))
-    imports = both.join(names, "other").groupBy("node_id").agg(F.count_distinct("name").alias("imports"))
-    out = nodes.where("node_type = 'Function' AND name IS NOT NULL").select("node_id", F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(1)).alias("loc"))
+    imports = symbol_neighbours(nodes, edges).where("relation IN ('dependency', 'dependent')").groupBy("node_id").agg(F.count_distinct("name").alias("imports"))
+    out = nodes.where("node_type = 'Function' AND name IS NOT NULL").select("node_id", F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(1)).alias("loc"), "is_public", F.coalesce("deprecated", F.lit(False)).alias("deprecated"), "complexity")
     for part in (calls, refs, imports, tested):
         out = out.join(part, "node_id", "left")
     zero = F.lit(0).cast("bigint")
-    return out.select("node_id", *[F.coalesce(c, zero).alias(c) for c in ("callers", "callees", "referrers", "imports")], "loc", F.coalesce("_t", F.lit(False)).alias("has_tests"))
+    return out.select("node_id", *[F.coalesce(c, zero).alias(c) for c in ("callers", "callees", "referrers", "imports")], "loc", F.coalesce("_t", F.lit(False)).alias("has_tests"), "is_public", "deprecated", "complexity")
+
+
+def symbol_neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, relation, other, name): the callers and callees of every node, what it imports (dependency) and what imports it (dependent); with a name, each once."""
+    kind = F.when(F.col("edge_type") == "Calls", F.array(F.lit("callee"), F.lit("caller"))).when(F.col("edge_type").isin("Imports", "ImportsFrom"), F.array(F.lit("dependency"), F.lit("dependent")))
+    ends = edges.select("src", "dst", kind.alias("k")).where("k IS NOT NULL")
+    both = ends.select(F.col("src").alias("node_id"), F.col("k")[0].alias("relation"), F.col("dst").alias("other")).unionByName(ends.select(F.col("dst").alias("node_id"), F.col("k")[1].alias("relation"), F.col("src").alias("other")))
+    return both.distinct().join(nodes.select(F.col("node_id").alias("other"), "name"), "other").where("name <> ''").select("node_id", "relation", "other", "name")
 
 
 def edges_around(edges: DataFrame, node: int, direction: str = "both") -> DataFrame:
@@ -205,6 +229,27 @@ def references(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("node_id"), F.col("src").alias("referrer")).distinct()
 
 
+def hover(nodes: DataFrame) -> DataFrame:
+    """(node_id, text): what is shown of a symbol under the pointer: its kind and name, or signature, then its documentation."""
+    head = F.coalesce("signature", F.concat_ws(" ", F.lower("node_type"), "name"))
+    return nodes.where("name IS NOT NULL").select("node_id", F.concat_ws("\n\n", head, F.when(F.trim("doc") != "", F.col("doc"))).alias("text"))
+
+
+def document_symbols(nodes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
+    """(node_id, parent, name, node_type, line_start, line_end): the outline of a file: each symbol below the class that contains it, null at the top."""
+    own = nodes.where((F.col("path") == path) & (F.col("node_type") != "CodeFile") & F.col("name").isNotNull())
+    holders = nodes.where((F.col("path") == path) & F.col("node_type").isin("Class", "Interface", "Module")).select(F.col("node_id").alias("src"))
+    held = edges.where("edge_type = 'Contains'").join(holders, "src", "left_semi").groupBy(F.col("dst").alias("node_id")).agg(F.max("src").alias("parent"))
+    return own.join(held, "node_id", "left").select("node_id", "parent", "name", "node_type", "line_start", "line_end").orderBy("line_start", "node_id")
+
+
+def call_hierarchy(nodes: DataFrame, edges: DataFrame, node: int, direction: str = "incoming") -> DataFrame:
+    """(node_id, name, path, line_start, calls): who calls a node, or whom it calls, with how many call edges."""
+    mine, theirs = ("dst", "src") if direction == "incoming" else ("src", "dst")
+    ends = edges.where((F.col("edge_type") == "Calls") & (F.col(mine) == node)).groupBy(F.col(theirs).alias("node_id")).agg(F.count("*").alias("calls"))
+    return ends.join(nodes.where("name IS NOT NULL").select("node_id", "name", "path", "line_start"), "node_id").select("node_id", "name", "path", "line_start", "calls")
+
+
 def locations(nodes: DataFrame) -> DataFrame:
     """(node_id, path, line, end_line, column, end_column), counted from 0; a missing end is the start's."""
     return nodes.where("path IS NOT NULL").select(

@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from codeloom.functions import rules
 
 
+#: What makes up a complexity.
+DETAILS = ["branches", "loops", "logical_ops", "nesting", "exceptions", "early_returns"]
+
+
 def function_complexity(nodes: DataFrame, path: str | None = None, line: int | None = None) -> DataFrame:
-    """(node_id, path, name, complexity, grade, loc): functions, of one file or line if asked; without a stored complexity 1 and A."""
+    """(node_id, path, name, complexity, grade, loc, branches, loops, logical_ops, nesting, exceptions, early_returns): functions, of one file or line if
+    asked; without a stored complexity 1, A and zeros."""
     f = nodes.where("node_type = 'Function'")
     if path is not None:
         f = f.where(F.col("path") == path)
@@ -17,7 +22,8 @@ def function_complexity(nodes: DataFrame, path: str | None = None, line: int | N
         f = f.where(F.lit(line).between(F.col("line_start"), F.col("line_end")))
     grade = F.when(F.col("complexity").isNull(), "A").otherwise(rules.complexity_grade(F.col("complexity")))
     loc = F.greatest(F.col("line_end") - F.col("line_start"), F.lit(0)) + 1
-    return f.select("node_id", "path", "name", F.coalesce("complexity", F.lit(1)).alias("complexity"), grade.alias("grade"), loc.alias("loc"))
+    details = [F.when(F.col("complexity").isNull(), 0).otherwise(F.coalesce(f"complexity_{c}", F.lit(0))).alias(c) for c in DETAILS]
+    return f.select("node_id", "path", "name", F.coalesce("complexity", F.lit(1)).alias("complexity"), grade.alias("grade"), loc.alias("loc"), *details)
 
 
 def file_complexity(functions: DataFrame, threshold: int = 10) -> DataFrame:
@@ -28,10 +34,12 @@ def file_complexity(functions: DataFrame, threshold: int = 10) -> DataFrame:
 
 
 def complexity_advice(functions: DataFrame, threshold: int = 10) -> DataFrame:
-    """(path, advice): functions over the threshold, and files whose average exceeds 15."""
+    """(path, advice): functions over the threshold, files whose average exceeds 15, and files with functions nested deeper than 4."""
     each = functions.where(F.col("complexity") > threshold).select("path", F.concat(F.lit("Function '"), "name", F.lit("' has complexity "), F.col("complexity").cast("string"), F.lit(", consider splitting it")).alias("advice"))
     files = file_complexity(functions, threshold).where("average > 15").select("path", F.lit("The average complexity is high, consider splitting the file").alias("advice"))
-    return each.unionByName(files)
+    nested = functions.where("nesting > 4").groupBy("path").agg(F.count("*").alias("n"))
+    deep = nested.select("path", F.concat(F.col("n").cast("string"), F.lit(" functions are nested deeper than 4 levels, consider returning early or extracting some")).alias("advice"))
+    return each.unionByName(files).unionByName(deep)
 
 
 #: Edges that mean use, beside calls.
@@ -41,7 +49,7 @@ _USES = ["References", "Uses", "Invokes", "Instantiates", "Extends", "Implements
 def unused(nodes: DataFrame, edges: DataFrame, path: str | None = None, include_tests: bool = False, least: float = 0.7, limit: int | None = None) -> DataFrame:
     """(node_id, name, node_type, path, confidence): symbols nothing uses.
 
-    A call or use by a test does not count. A class or type is used if a function it contains, or any function of its file, is called. Files,
+    A symbol that anything calls is used, tests included: what only tests call is exercised, and not reported either. Other uses count unless they are a test's. A class or type is used if a function it contains, or any function of its file, is called. Files,
     modules, synthetic, framework and trait names, and build outputs are never reported. All steps are semi- and anti-joins on node_id or path.
     """
     name, where = F.col("name"), F.col("path")
@@ -99,6 +107,19 @@ def file_coupling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("path", ca, ce, "instability", "internal_ratio", kind.alias("cohesion"), ((F.col("instability") < 0.2) & (ce > 5)).alias("violation"))
 
 
+def coupling_advice(coupling: DataFrame) -> DataFrame:
+    """(path, advice): of ``file_coupling``: files that depend on too many, hang together too little, or that many depend on, and stable ones that depend on many."""
+    afferent = F.col("afferent").cast("string")
+    notes = [
+        (F.col("instability") > 0.8, F.lit("It depends on many others and few on it, consider fewer dependencies")),
+        (F.col("internal_ratio") < 0.3, F.lit("Its functions hardly refer to each other, consider splitting it")),
+        (F.col("afferent") > 10, F.concat(afferent, F.lit(" files depend on it, changes have a wide impact"))),
+        (F.col("violation"), F.lit("It is stable and yet depends on many, consider moving dependencies out")),
+    ]
+    listed = F.array(*[F.when(when, text) for when, text in notes])
+    return coupling.select("path", F.explode(F.filter(listed, lambda x: x.isNotNull())).alias("advice"))
+
+
 def success_rate(results: DataFrame) -> DataFrame:
     """(succeeded, total, rate) of (ok); 1 when there are none."""
     total = F.count("*")
@@ -117,15 +138,23 @@ def hotspots(commits: DataFrame, commit_files: DataFrame, least: int = 10, limit
     return out.limit(limit) if limit else out
 
 
+#: Files of a commit that meet those of another block in one task.
+COMMIT_FILES = 1000
+
+
 def cochange(commit_files: DataFrame, least: float = 0.7, limit: int | None = None) -> DataFrame:
     """(path_a, path_b, together, strength, changes): pairs of files that change together in ``least`` or more of the rarer one's commits.
 
-    Only files of the same commit meet. The strength lies within [0, 1], so a pair needs that many common commits.
+    Only files of the same commit meet, those of a large commit in blocks of COMMIT_FILES, so that no task has all pairs of one. The strength lies within [0, 1], so a pair needs that many common commits.
     """
     files = commit_files.select("hash", "path").distinct()
     counts = files.groupBy("path").agg(F.count("*").alias("n"))
-    a, b = files.withColumnRenamed("path", "path_a"), files.withColumnRenamed("path", "path_b")
-    pairs = a.join(b, "hash").where("path_a < path_b").groupBy("path_a", "path_b").agg(F.count("*").alias("together"))
+    sizes = files.groupBy("hash").agg(F.ceil(F.count("*") / COMMIT_FILES).cast("int").alias("blocks"))
+    placed = files.join(sizes, "hash").withColumn("block", F.pmod(F.xxhash64("path"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = placed.select("hash", F.col("block").alias("i"), every.alias("j"), F.col("path").alias("path_a"))
+    b = placed.select("hash", every.alias("i"), F.col("block").alias("j"), F.col("path").alias("path_b"))
+    pairs = a.join(b, ["hash", "i", "j"]).where("path_a < path_b").groupBy("path_a", "path_b").agg(F.count("*").alias("together"))
     for side in "ab":
         pairs = pairs.join(counts.select(F.col("path").alias(f"path_{side}"), F.col("n").alias(f"n_{side}")), f"path_{side}")
     out = pairs.withColumn("strength", F.col("together") / F.least("n_a", "n_b")).where(F.col("strength") >= least)
@@ -135,10 +164,10 @@ def cochange(commit_files: DataFrame, least: float = 0.7, limit: int | None = No
 
 def parser_metrics(results: DataFrame) -> DataFrame:
     """(language, attempted, succeeded, failed, entities, relations, total_ms, average_ms, rate) of (language, ok, entities, relations, ms), and a row
-    with a null language for all together."""
-    good = F.count_if("ok")
-    out = results.rollup("language").agg(
-        F.count("*").alias("attempted"), good.alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.sum("entities").alias("entities"), F.sum("relations").alias("relations"),
-        F.sum("ms").alias("total_ms"), F.avg("ms").alias("average_ms"), (good / F.count("*")).alias("rate"),
-    )
-    return out
+    with a null language for all together, which is there for no results too. The rate is 0 where nothing was attempted."""
+    good, total = F.count_if("ok"), F.count("*")
+    figures = [
+        total.alias("attempted"), good.alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.sum("entities"), F.lit(0)).alias("entities"), F.coalesce(F.sum("relations"), F.lit(0)).alias("relations"),
+        F.coalesce(F.sum("ms"), F.lit(0.0)).alias("total_ms"), F.avg("ms").alias("average_ms"), F.coalesce(F.try_divide(good, total), F.lit(0.0)).alias("rate"),
+    ]
+    return results.groupBy("language").agg(*figures).unionByName(results.agg(*figures).withColumn("language", F.lit(None).cast("string")))

@@ -131,10 +131,20 @@ def text_index(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return words, fields.select("node_id", F.size("tokens").cast("bigint").alias("doc_len"))
 
 
-def search(notes: DataFrame, words: str, vector: list[float] | None = None, code: list[int] | None = None, kinds: list[str] | None = None, tags: list[str] | None = None, limit: int = 10, current_only: bool = True, unique: bool = True) -> DataFrame:
+def nearest(notes: DataFrame, vector: list[float], k: int = 10, least: float | None = None) -> DataFrame:
+    """(id, cosine): the ``k`` notes whose vectors are most similar to one, exactly: each partition keeps its best k. Notes without a vector of its length take no
+    part; ties go to the smaller id."""
+    fit = notes.where(F.size("embedding") == len(vector)).select(F.col("id").alias("node_id"), "embedding")
+    found = cosine_to(fit, vector).select(F.col("node_id").alias("id"), "cosine")
+    if least is not None:
+        found = found.where(F.col("cosine") >= least)
+    return found.orderBy(F.desc("cosine"), "id").limit(k)
+
+
+def search(notes: DataFrame, words: str, vector: list[float] | None = None, code: list[int] | DataFrame | None = None, kinds: list[str] | None = None, tags: list[str] | None = None, limit: int = 10, current_only: bool = True, unique: bool = True) -> DataFrame:
     """(id, title, score): notes by words, vectors and links to the code at hand.
 
-    Candidates are the best three times ``limit`` by words and by vector; kind and tag filters apply after, so fewer may come out. The words'
+    ``code`` is node ids, or a table (node_id) of any size. Candidates are the best three times ``limit`` by words and by vector; kind and tag filters apply after, so fewer may come out. The words'
     score is taken as it is. With ``unique`` a commit and a title come once.
     """
     base = notes.where(is_current()) if current_only else notes
@@ -142,14 +152,18 @@ def search(notes: DataFrame, words: str, vector: list[float] | None = None, code
     by_words = bm25(*text_index(base), words, many, memory_tokens, 0.0).select(F.col("node_id").alias("id"), F.col("score").alias("w"))
     candidates = by_words.select("id")
     if vector is not None:
-        near = cosine_to(base.where(F.size("embedding") == len(vector)).select(F.col("id").alias("node_id"), "embedding"), vector).select(F.col("node_id").alias("id"), F.col("cosine").alias("v"))
-        near = near.orderBy(F.desc("v"), "id").limit(many)
+        near = nearest(base, vector, many).withColumnRenamed("cosine", "v")
         candidates = candidates.unionByName(near.select("id")).distinct()
     out = candidates.join(by_words, "id", "left")
     out = out.join(near, "id", "left") if vector is not None else out.withColumn("v", F.lit(0.0))
     out = out.join(base, "id")
-    linked = F.filter("code_links", lambda x: x["node_id"].isin(code or [])) if code else None
-    g = F.coalesce(F.array_max(F.transform(linked, lambda x: x["relevance"])), F.lit(0.0)) if code else F.lit(0.0)
+    if isinstance(code, DataFrame):
+        links = out.select("id", F.explode("code_links").alias("l")).select("id", "l.node_id", "l.relevance").join(code.select("node_id").distinct(), "node_id", "left_semi")
+        out = out.join(links.groupBy("id").agg(F.max("relevance").alias("_g")), "id", "left")
+        g = F.coalesce("_g", F.lit(0.0))
+    else:
+        linked = F.filter("code_links", lambda x: x["node_id"].isin(code or [])) if code else None
+        g = F.coalesce(F.array_max(F.transform(linked, lambda x: x["relevance"])), F.lit(0.0)) if code else F.lit(0.0)
     out = out.withColumn("score", WORDS * F.coalesce("w", F.lit(0.0)) + VECTORS * F.coalesce("v", F.lit(0.0)) + LINKS * g)
     if kinds:
         out = out.where(F.col("kind").isin(kinds))
@@ -165,8 +179,19 @@ def context_of_file(notes: DataFrame, nodes: DataFrame, path: str, limit: int =
     """Notes on a file: asked by its path, or by its name and with the nodes it holds."""
     if not with_links:
         return search(notes, path, limit=limit)
-    held = [r[0] for r in nodes.where(F.col("path") == path).select("node_id").collect()]
-    return search(notes, path.rsplit("/", 1)[-1], code=held, limit=limit)
+    return search(notes, path.rsplit("/", 1)[-1], code=nodes.where(F.col("path") == path).select("node_id"), limit=limit)
+
+
+def embedded(notes: DataFrame, embedder, size: int) -> DataFrame:
+    """Notes with a vector for each: those without one of ``size`` numbers, as after an update or from another model, are embedded anew from title,
+    content and tags. Rows without id, kind or content can't be read and are left out."""
+    from codeloom.operators.vectors import embed
+
+    fine = notes.where("id IS NOT NULL AND kind IS NOT NULL AND content IS NOT NULL")
+    has = F.coalesce(F.size("embedding") == size, F.lit(False))
+    text = F.concat_ws(" ", "title", "content", F.array_join("tags", " "))
+    fresh = embed(fine.where(~has).drop("embedding").withColumn("_text_", text), "_text_", embedder).drop("_text_")
+    return fine.where(has).unionByName(fresh.select(*fine.columns))
 
 
 def touched_by(notes: DataFrame, removed: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,35 @@ def bm25(posted: DataFrame, stats: DataFrame, query: str, limit: int | None = 20
     return found.orderBy(F.desc("score"), "node_id").limit(limit) if limit else found
 
 
+def save_index(posted: DataFrame, stats: DataFrame, folder: str, buckets: int = 256) -> None:
+    """Writes an inverted index: postings by bucket of their term, with the document's length and the term's document frequency in the row, so a query reads the
+    buckets of its words only and joins nothing; and the statistics of documents and corpus. A term's frequency is joined by term, of which each is one row."""
+    sized = posted.join(stats.select("node_id", "doc_len"), "node_id").join(posted.groupBy("term").agg(F.count("*").alias("df")), "term")
+    sized.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    stats.write.mode("overwrite").parquet(f"{folder}/documents")
+    stats.agg(F.count("*").alias("n"), (F.sum("doc_len") / F.count("*")).alias("average")).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{folder}/corpus")
+
+
+def search_index(spark, folder: str, query: str, limit: int | None = 20, words=tokens) -> DataFrame:
+    """(node_id, score): ``bm25`` over an index that ``save_index`` wrote."""
+    corpus = spark.read.parquet(f"{folder}/corpus").first()
+    asked = Counter(spark.range(1).select(words(F.lit(query)).alias("w")).first()[0])
+    posted = spark.read.parquet(f"{folder}/postings")
+    if not asked or not corpus["n"]:
+        return posted.limit(0).select("node_id", F.lit(0.0).alias("score"))
+    hashed = spark.createDataFrame([(t,) for t in asked], "term string").select(F.pmod(F.xxhash64("term"), F.lit(corpus["buckets"])).cast("int")).collect()
+    hits = posted.where(F.col("bucket").isin(sorted({r[0] for r in hashed})) & F.col("term").isin(list(asked)))
+    times = F.create_map(*[x for t, k in asked.items() for x in (F.lit(t), F.lit(k))])[F.col("term")]
+    tf = F.col("tf")
+    part = _idf(F.lit(corpus["n"]), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.lit(corpus["average"]))) * F.col("weight") * times
+    found = hits.groupBy("node_id").agg(F.sum(part).alias("score"))
+    return found.orderBy(F.desc("score"), "node_id").limit(limit) if limit else found
+
+
+def has_term(posted: DataFrame, term: str) -> bool:
+    return not posted.where(F.col("term") == term).isEmpty()
+
+
 def index_stats(posted: DataFrame, stats: DataFrame) -> DataFrame:
     return stats.agg(F.count("*").alias("documents")).crossJoin(posted.agg(F.count_distinct("term").alias("terms")))
 
@@ -82,7 +113,7 @@ def by_name(nodes: DataFrame, part: str) -> DataFrame:
 
 
 def symbol_search(nodes: DataFrame, posted: DataFrame, stats: DataFrame, query: str, similar: DataFrame | None = None, limit: int = 20, types: list[str] | None = None, include_private: bool = True) -> DataFrame:
-    """(node_id, name, score, reason): words and vectors together.
+    """(node_id, name, score, reason, total_matches): words and vectors together; total_matches counts what there is before ``limit``.
 
     Candidates are the best ``limit`` times 2 (10 with a type filter) of either ranking; ``similar`` is (node_id, cosine), cosine over 0.1.
     Filters apply to candidates, so fewer than ``limit`` may come out.
@@ -106,7 +137,9 @@ def symbol_search(nodes: DataFrame, posted: DataFrame, stats: DataFrame, query:
     score = norm * BM25_SHARE + cosine * VECTOR_SHARE if similar is not None else norm
     reason = F.when(F.col("bm25").isNull() | ((cosine > 0.3) & (norm < 0.01)), "Semantic").otherwise(F.col("reason"))
     joined = both.crossJoin(F.broadcast(top)).join(stats.select("node_id", "reason"), "node_id").join(kept.select("node_id", "name"), "node_id")
-    return joined.select("node_id", "name", score.alias("score"), reason.alias("reason")).orderBy(F.desc("score"), "node_id").limit(limit)
+    found = joined.select("node_id", "name", score.alias("score"), reason.alias("reason"))
+    # A bounded number of candidates, so one window holds them all.
+    return found.withColumn("total_matches", F.count("*").over(Window.partitionBy())).orderBy(F.desc("score"), "node_id").limit(limit)
 
 
 def cross_project(nodes: DataFrame, part: str, current: str, kind: str | None = None, limit: int = 20) -> DataFrame:
@@ -189,13 +222,24 @@ def routes(nodes: DataFrame) -> DataFrame:
     return nodes.where("node_type = 'Function'").select("node_id", "name", first.alias("r")).where("r IS NOT NULL").select("node_id", "name", "r.route", "r.http_method")
 
 
+def http_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, callee, position): what each function calls: unresolved names in their order, then the targets of its calls by edge_id."""
+    functions = nodes.where("node_type = 'Function'")
+    open_ = functions.select("node_id", F.posexplode("unresolved_calls").alias("position", "callee")).select("node_id", "callee", F.struct(F.lit(0).alias("late"), F.col("position").cast("bigint").alias("at")).alias("position"))
+    names = nodes.select(F.col("node_id").alias("dst"), F.col("name").alias("callee")).where("callee IS NOT NULL")
+    made = edges.where("edge_type = 'Calls'").join(names, "dst").select(F.col("src").alias("node_id"), "callee", F.struct(F.lit(1).alias("late"), F.col("edge_id").alias("at")).alias("position"))
+    return open_.unionByName(made.join(functions.select("node_id"), "node_id", "left_semi"))
+
+
 def http_clients(calls: DataFrame) -> DataFrame:
-    """(node_id, method): of (node_id, callee) the nodes that call over HTTP; of several methods the last by name."""
+    """(node_id, method): of (node_id, callee, position) the nodes that call over HTTP: whose callee is, or ends with, a client function's name, whatever
+    stands before. Of several methods that of the last ``position``; without such a column, and at equal ones, the greatest name."""
     hit = None
     for name in rules.HTTP_CLIENTS:
-        one = (F.col("callee") == name) | F.col("callee").endswith("." + name)
+        one = F.col("callee").endswith(name)
         hit = one if hit is None else hit | one
-    return calls.where(hit).groupBy("node_id").agg(F.max(rules.method_of_client(F.col("callee"))).alias("method"))
+    order = F.struct("position", "callee") if "position" in calls.columns else F.struct("callee")
+    return calls.where(hit).groupBy("node_id").agg(F.max_by(rules.method_of_client(F.col("callee")), order).alias("method"))
 
 
 def runtime_calls(clients: DataFrame, served: DataFrame) -> DataFrame:

@@ -23,3 +23,22 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, rows:
     often = left.join(hot, key, "left_semi" if how == "left_semi" else "inner")
     seldom = left.join(hot.select(key), key, "left_anti").join(rest, key, how)
     return often.unionByName(seldom)
+
+
+#: Rows of one key that one task joins.
+KEY_ROWS = 1_000_000
+
+
+def spread(right: DataFrame, key: str, rows: int = KEY_ROWS) -> tuple[DataFrame, DataFrame]:
+    """``right`` with a column _part, and (key, _parts) of its hot keys, for ``join_spread``: keys with more than ``rows`` rows are cut into parts of about
+    that many. There is at most one hot key for every ``rows`` rows, so that table is broadcast."""
+    hot = right.groupBy(key).agg(F.ceil(F.count("*") / rows).cast("int").alias("_parts")).where("_parts > 1")
+    cut = right.join(F.broadcast(hot), key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*right.columns), "_parts"), F.lit(0)).cast("int"))
+    return cut.drop("_parts"), hot
+
+
+def join_spread(left: DataFrame, cut: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """``left`` joined on ``key`` with what ``spread`` made; a row of a hot key goes to every part of it."""
+    parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    many = left.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(parts)).drop("_parts")
+    return many.join(cut, [key, "_part"]).drop("_part")

@@ -56,10 +56,10 @@ def g1_import_index(spark, folder):
         UNION
         SELECT w.start, c.dst, w.depth + 1 FROM walk w JOIN calls c ON c.src = w.node WHERE w.depth < 3
     )
-    SELECT start, node, min(depth) AS depth FROM walk GROUP BY start, node"""
+    SELECT start, node, min(depth) AS depth FROM walk WHERE node IN (SELECT node_id FROM n WHERE name IS NOT NULL) GROUP BY start, node"""
 )
 def g2_call_chain_depth3(spark, folder):
-    return graph.reach(graph.links(edges(spark, folder), ["Calls"]), _functions(spark, folder), 3)
+    return graph.call_chain(nodes(spark, folder), edges(spark, folder), _functions(spark, folder), 3)
 
 
 @query(
@@ -95,7 +95,16 @@ def g3_callees_with_twins(spark, folder):
     return graph.callers(nodes(spark, folder), edges(spark, folder), _functions(spark, folder), direction="outgoing")
 
 
-@query()
+@query(
+    f"""WITH {_TOP},
+    l1 AS (SELECT * FROM (SELECT e.src AS node, [id, e.src] AS path, [0, e.edge_id] AS rank, e.edge_type, row_number() OVER (PARTITION BY e.src ORDER BY e.edge_id) AS k FROM e JOIN top ON e.dst = id WHERE e.src <> id) WHERE k = 1),
+    l2 AS (SELECT * FROM (SELECT e.src AS node, list_append(l1.path, e.src) AS path, list_append(l1.rank, e.edge_id) AS rank, e.edge_type, row_number() OVER (PARTITION BY e.src ORDER BY l1.rank, e.edge_id) AS k FROM e JOIN l1 ON e.dst = l1.node
+        WHERE e.src NOT IN (SELECT id FROM top) AND e.src NOT IN (SELECT node FROM l1)) WHERE k = 1),
+    l3 AS (SELECT * FROM (SELECT e.src AS node, list_append(l2.path, e.src) AS path, list_append(l2.rank, e.edge_id) AS rank, e.edge_type, row_number() OVER (PARTITION BY e.src ORDER BY l2.rank, e.edge_id) AS k FROM e JOIN l2 ON e.dst = l2.node
+        WHERE e.src NOT IN (SELECT id FROM top) AND e.src NOT IN (SELECT node FROM l1) AND e.src NOT IN (SELECT node FROM l2)) WHERE k = 1),
+    every AS (SELECT *, 1 AS depth FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3)
+    SELECT v.node AS node_id, n.name, n.node_type, v.depth, v.edge_type, v.path FROM every v JOIN n ON n.node_id = v.node ORDER BY v.depth, v.rank LIMIT 100"""
+)
 def g4_traverse(spark, folder):
     n, e = nodes(spark, folder), edges(spark, folder)
     return graph.traverse(n, e, most_called(n, e), depth=3, direction="incoming")
@@ -192,17 +201,50 @@ def g8_consumers(spark, folder):
 
 @query(
     """WITH calls AS (SELECT DISTINCT src, dst FROM e WHERE edge_type = 'Calls'), pairs AS (SELECT DISTINCT src, dst FROM e),
-    testers AS (SELECT node_id FROM n WHERE starts_with(name, 'test_') OR ends_with(name, '_test') OR contains(path, '/test')),
+    testers AS (SELECT node_id FROM n WHERE starts_with(name, 'test_') OR ends_with(name, '_test') OR contains(name, 'test ') OR contains(path, '/test')),
     imp AS (SELECT src AS node_id, dst AS other FROM e WHERE edge_type IN ('Imports', 'ImportsFrom') UNION ALL SELECT dst, src FROM e WHERE edge_type IN ('Imports', 'ImportsFrom'))
     SELECT n.node_id, (SELECT count(*) FROM calls c WHERE c.dst = n.node_id) AS callers, (SELECT count(*) FROM calls c WHERE c.src = n.node_id) AS callees, (SELECT count(*) FROM pairs p WHERE p.dst = n.node_id) AS referrers,
-    (SELECT count(DISTINCT m.name) FROM imp i JOIN n m ON m.node_id = i.other WHERE i.node_id = n.node_id) AS imports, greatest(line_end - line_start + 1, 1) AS loc,
-    EXISTS (SELECT 1 FROM calls c WHERE c.dst = n.node_id AND c.src IN (SELECT node_id FROM testers)) AS has_tests
+    (SELECT count(DISTINCT m.name) FROM imp i JOIN n m ON m.node_id = i.other WHERE i.node_id = n.node_id AND m.name <> '') AS imports, greatest(line_end - line_start + 1, 1) AS loc,
+    EXISTS (SELECT 1 FROM calls c WHERE c.dst = n.node_id AND c.src IN (SELECT node_id FROM testers)) AS has_tests, is_public, false AS deprecated, CAST(NULL AS INT) AS complexity
     FROM n WHERE node_type = 'Function' AND name IS NOT NULL"""
 )
 def g9_symbol_info(spark, folder):
     return graph.symbol_info(nodes(spark, folder), edges(spark, folder))
 
 
+@query(
+    """WITH ends AS (SELECT src AS node_id, CASE WHEN edge_type = 'Calls' THEN 'callee' ELSE 'dependency' END AS relation, dst AS other FROM e WHERE edge_type IN ('Calls', 'Imports', 'ImportsFrom')
+        UNION SELECT dst, CASE WHEN edge_type = 'Calls' THEN 'caller' ELSE 'dependent' END, src FROM e WHERE edge_type IN ('Calls', 'Imports', 'ImportsFrom'))
+    SELECT ends.node_id, relation, other, n.name FROM ends JOIN n ON n.node_id = other WHERE n.name <> ''"""
+)
+def g9_symbol_neighbours(spark, folder):
+    return graph.symbol_neighbours(nodes(spark, folder), edges(spark, folder))
+
+
+@query(
+    """SELECT node_id, concat_ws(chr(10) || chr(10), coalesce(signature, concat_ws(' ', lower(node_type), name)), CASE WHEN trim(docstring, ' ') <> '' THEN docstring END) AS text FROM n WHERE name IS NOT NULL"""
+)
+def g11_hover(spark, folder):
+    return graph.hover(nodes(spark, folder))
+
+
+@query(
+    """WITH home AS (SELECT path FROM n WHERE node_type = 'Class' AND path IS NOT NULL GROUP BY path ORDER BY count(*) DESC, path LIMIT 1), held AS (SELECT e.dst, max(e.src) AS parent FROM e JOIN n h ON h.node_id = e.src WHERE e.edge_type = 'Contains' AND h.node_type IN ('Class', 'Interface', 'Module')
+        AND h.path = (SELECT path FROM home) GROUP BY e.dst)
+    SELECT n.node_id, held.parent, n.name, n.node_type, n.line_start, n.line_end FROM n LEFT JOIN held ON held.dst = n.node_id WHERE n.path = (SELECT path FROM home) AND n.node_type <> 'CodeFile' AND n.name IS NOT NULL"""
+)
+def g11_document_symbols(spark, folder):
+    n = nodes(spark, folder)
+    home = n.where("node_type = 'Class' AND path IS NOT NULL").groupBy("path").count().orderBy(F.desc("count"), "path").first()
+    return graph.document_symbols(n, edges(spark, folder), home["path"] if home else "")
+
+
+@query(f"WITH {_TOP} SELECT n.node_id, n.name, n.path, n.line_start, count(*) AS calls FROM e JOIN top ON e.dst = id JOIN n ON n.node_id = e.src WHERE e.edge_type = 'Calls' AND n.name IS NOT NULL GROUP BY ALL")
+def g11_call_hierarchy(spark, folder):
+    n, e = nodes(spark, folder), edges(spark, folder)
+    return graph.call_hierarchy(n, e, most_called(n, e))
+
+
 @query(f"WITH {_TOP} SELECT e.edge_id, e.project, e.src, e.dst, e.edge_type, e.resolved_by FROM e, top WHERE e.src = top.id OR e.dst = top.id")
 def g10_edges_around(spark, folder):
     n, e = nodes(spark, folder), edges(spark, folder)

@@ -10,15 +10,15 @@ from codeloom.plans.registry import edges, nodes, query
 from codeloom.plans.search_queries import _TESTNODE
 from codeloom.session import table
 
-_COMPLEX = "f AS (SELECT node_id, path, name, CAST(1 + node_id % 55 AS INT) AS complexity, greatest(line_end - line_start, 0) + 1 AS loc FROM n WHERE node_type = 'Function')"
+_COMPLEX = "f AS (SELECT node_id, path, name, CAST(1 + node_id % 55 AS INT) AS complexity, greatest(line_end - line_start, 0) + 1 AS loc, CAST(node_id % 7 AS INT) AS nesting FROM n WHERE node_type = 'Function')"
 
 
 def _functions(spark, folder):
-    n = nodes(spark, folder).withColumn("complexity", (F.lit(1) + F.pmod("node_id", F.lit(55))).cast("int"))
+    n = nodes(spark, folder).withColumns({"complexity": (F.lit(1) + F.pmod("node_id", F.lit(55))).cast("int"), "complexity_nesting": F.pmod("node_id", F.lit(7)).cast("int")})
     return metrics.function_complexity(n)
 
 
-@query(f"WITH {_COMPLEX} SELECT *, CASE WHEN complexity <= 5 THEN 'A' WHEN complexity <= 10 THEN 'B' WHEN complexity <= 20 THEN 'C' WHEN complexity <= 50 THEN 'D' ELSE 'F' END AS grade FROM f")
+@query(f"WITH {_COMPLEX} SELECT *, 0 AS branches, 0 AS loops, 0 AS logical_ops, 0 AS exceptions, 0 AS early_returns, CASE WHEN complexity <= 5 THEN 'A' WHEN complexity <= 10 THEN 'B' WHEN complexity <= 20 THEN 'C' WHEN complexity <= 50 THEN 'D' ELSE 'F' END AS grade FROM f")
 def m1_function_complexity(spark, folder):
     return _functions(spark, folder)
 
@@ -33,7 +33,8 @@ def m1_file_complexity(spark, folder):
 
 @query(
     f"""WITH {_COMPLEX} SELECT path, 'Function ''' || name || ''' has complexity ' || complexity || ', consider splitting it' AS advice FROM f WHERE complexity > 10
-    UNION ALL SELECT path, 'The average complexity is high, consider splitting the file' FROM f GROUP BY path HAVING avg(complexity) > 15"""
+    UNION ALL SELECT path, 'The average complexity is high, consider splitting the file' FROM f GROUP BY path HAVING avg(complexity) > 15
+    UNION ALL SELECT path, count(*) || ' functions are nested deeper than 4 levels, consider returning early or extracting some' FROM f WHERE nesting > 4 GROUP BY path"""
 )
 def m1_advice(spark, folder):
     return metrics.complexity_advice(_functions(spark, folder))
@@ -85,6 +86,11 @@ def m5_file_coupling(spark, folder):
     return metrics.file_coupling(nodes(spark, folder), edges(spark, folder))
 
 
+@query()
+def m5_coupling_advice(spark, folder):
+    return metrics.coupling_advice(metrics.file_coupling(nodes(spark, folder), edges(spark, folder)))
+
+
 @query("SELECT count(*) FILTER (code IS NOT NULL AND code <> '') AS succeeded, count(*) AS total, count(*) FILTER (code IS NOT NULL AND code <> '') / count(*) AS rate FROM source_files", graph=False)
 def m9_success_rate(spark, folder):
     return metrics.success_rate(table(spark, folder, "source_files").select((F.coalesce("code", F.lit("")) != "").alias("ok")))
@@ -100,12 +106,12 @@ def history(spark, folder):
 
 @query(
     """WITH r AS (SELECT l_partkey AS path, o_orderkey AS hash, 'change for ' || o_orderpriority AS subject, o_orderdate AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-    t AS (SELECT path, count(*) AS changes, count(DISTINCT hash) AS commits FROM r GROUP BY path HAVING count(*) >= 30), s AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY d DESC, hash, subject) AS k FROM r)
+    t AS (SELECT path, count(*) AS changes, count(DISTINCT hash) AS commits FROM r GROUP BY path HAVING count(*) >= 10), s AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY d DESC, hash, subject) AS k FROM r)
     SELECT t.path, changes, commits, list(subject ORDER BY k) FILTER (k <= 5) AS subjects FROM t JOIN s USING (path) GROUP BY ALL""",
     graph=False,
 )
 def m10_hotspots(spark, folder):
-    return metrics.hotspots(*history(spark, folder), least=30)
+    return metrics.hotspots(*history(spark, folder))
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import context, history, notes
 from codeloom.plans.registry import edges, nodes, query
-from codeloom.plans.search_queries import LAYERS
+from codeloom.plans.search_queries import _ENTRY, _TESTNODE, LAYERS
 from codeloom.session import table
 
 _COMMITS = "commits AS (SELECT CAST(doc_id AS VARCHAR) AS hash, string_split(text, chr(10))[1] AS subject, CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS body, created_at AS author_date FROM documents WHERE lower(trim(source)) = 'commits' AND text IS NOT NULL)"
@@ -171,21 +171,100 @@ def s21_source_text(spark, folder):
     return bodies(spark, folder).select("node_id", tokens_estimate(F.col("code")).cast("double").alias("tokens"))
 
 
+_SIZES = "sizes AS (SELECT node_id, CAST(floor(octet_length(encode(code)) / 4) AS BIGINT) AS size FROM code)"
+_NAMED = "named AS (SELECT node_id FROM n WHERE name IS NOT NULL), fns AS (SELECT node_id, name, path FROM n WHERE node_type = 'Function' AND name IS NOT NULL)"
+
+
 @query(
-    f"""WITH {_CODE}, f AS (SELECT c.dst AS node_id, c.src AS other, CAST(floor(octet_length(encode(code)) / 4) AS BIGINT) AS tokens, {_ISTEST} AS t FROM calls c JOIN code ON code.node_id = c.src JOIN n ON n.node_id = c.src),
-    r AS (SELECT *, row_number() OVER (PARTITION BY node_id, t ORDER BY other) AS position FROM f), s AS (SELECT * FROM r WHERE position <= CASE WHEN t THEN 5 ELSE 10 END),
-    b AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY node_id, t ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
-    SELECT node_id, other, CASE WHEN t THEN 'tests' ELSE 'callers' END AS section, position, tokens FROM b WHERE before < CASE WHEN t THEN 160 ELSE 200 END"""
+    f"""WITH {_CODE}, {_SIZES}, {_NAMED},
+    own AS (SELECT c.dst AS node_id, c.src AS other FROM calls c JOIN fns f ON f.node_id = c.dst JOIN named m ON m.node_id = c.src),
+    twins AS (SELECT a.node_id, c.src AS other FROM fns a JOIN fns b ON a.name = b.name AND a.node_id <> b.node_id JOIN calls c ON c.dst = b.node_id JOIN named m ON m.node_id = c.src WHERE a.node_id NOT IN (SELECT node_id FROM own)),
+    calling AS (SELECT DISTINCT node_id, other, 'callers' AS section, 'caller' AS relation FROM (SELECT * FROM own UNION ALL SELECT * FROM twins)),
+    entries AS (SELECT node_id FROM (SELECT node_id, {_ENTRY} AS entry FROM n WHERE node_type = 'Function' AND name IS NOT NULL) WHERE entry = 'test_entry' ORDER BY node_id LIMIT 20),
+    walk(start, node, depth) AS (SELECT c.src, c.dst, 1 FROM calls c JOIN entries t ON t.node_id = c.src UNION SELECT w.start, c.dst, w.depth + 1 FROM walk w JOIN calls c ON c.src = w.node WHERE w.depth < 3),
+    led AS (SELECT DISTINCT node AS node_id, start AS other, 'tests' AS section, 'calls_target' AS relation FROM walk WHERE node <> start AND node IN (SELECT node_id FROM fns)),
+    beside AS (SELECT f.node_id, t.node_id AS other, 'tests' AS section, 'same_file' AS relation FROM fns f JOIN (SELECT * FROM n WHERE node_type = 'Function' AND name IS NOT NULL AND coalesce({_TESTNODE}, false)) t ON t.path = f.path AND t.node_id <> f.node_id),
+    every AS (SELECT * FROM calling UNION ALL SELECT * FROM led UNION ALL SELECT * FROM beside WHERE (node_id, other) NOT IN (SELECT node_id, other FROM led)),
+    placed AS (SELECT v.*, row_number() OVER (PARTITION BY v.node_id, section ORDER BY relation, other) AS position, CASE WHEN relation = 'same_file' THEN 0 ELSE coalesce(size, 0) END AS tokens FROM every v LEFT JOIN sizes ON sizes.node_id = other),
+    shown AS (SELECT * FROM placed WHERE position <= CASE WHEN section = 'tests' THEN 5 ELSE 10 END),
+    b AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY node_id, section ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM shown)
+    SELECT node_id, other, section, relation, position, CAST(tokens AS BIGINT) AS tokens FROM b WHERE before < CASE WHEN section = 'tests' THEN 160 ELSE 200 END"""
 )
 def c2_edit_context(spark, folder):
     return context.edit_context(nodes(spark, folder), edges(spark, folder), bodies(spark, folder), 800)
 
 
-@query()
+@query(
+    f"""WITH {_CODE}, {_SIZES}, fn AS (SELECT DISTINCT src AS node_id, dst AS other FROM calls), rn AS (SELECT DISTINCT dst AS node_id, src AS other FROM calls),
+    uses AS (SELECT node_id, other, 'uses' AS relation, 1.0 AS relevance, row_number() OVER (PARTITION BY node_id ORDER BY other) AS position FROM fn), by_ AS (SELECT node_id, other, 'called_by' AS relation, 0.8 AS relevance, row_number() OVER (PARTITION BY node_id ORDER BY other) AS position FROM rn),
+    every AS (SELECT * FROM uses WHERE position <= 5 UNION ALL SELECT * FROM by_ WHERE position <= 3), sized AS (SELECT v.*, coalesce(size, 0) AS tokens FROM every v LEFT JOIN sizes ON sizes.node_id = other),
+    lists AS (SELECT node_id, list({{'o': other, 'r': relation, 'v': relevance, 'p': position, 't': tokens}} ORDER BY -relevance, relation, position, other) AS l FROM sized GROUP BY node_id),
+    taken AS (SELECT node_id, list_reduce(l, lambda a, x: {{'left': CASE WHEN x.t <= a.left THEN a.left - x.t ELSE a.left END, 'kept': CASE WHEN x.t <= a.left THEN list_append(a.kept, x) ELSE a.kept END}}, {{'left': CAST(300 AS BIGINT), 'kept': l[1:0]}}) AS s FROM lists),
+    rows_ AS (SELECT node_id, unnest(s.kept) AS x FROM taken)
+    SELECT node_id, x.o AS other, x.r AS relation, CAST(x.v AS DOUBLE) AS relevance, x.p AS position, x.t AS tokens FROM rows_"""
+)
 def c1_ai_context(spark, folder):
+    return context.ai_context(nodes(spark, folder), edges(spark, folder), bodies(spark, folder), "explain", 300)
+
+
+@query()
+def c1_ai_context_debug(spark, folder):
     return context.ai_context(nodes(spark, folder), edges(spark, folder), bodies(spark, folder), "debug", 300)
 
 
+@query("WITH d AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY edge_id) AS k FROM e WHERE edge_type = 'Imports') SELECT d.src AS node_id, d.dst AS other, n.name FROM d JOIN n ON n.node_id = d.dst WHERE k <= 10 AND n.name <> ''")
+def c1_dependencies(spark, folder):
+    return context.dependencies(nodes(spark, folder), edges(spark, folder))
+
+
+@query(
+    """WITH t AS (SELECT n.path, e.dst, min(e.edge_id) AS edge_id FROM e JOIN n ON n.node_id = e.src WHERE e.edge_type = 'Imports' AND n.path IS NOT NULL GROUP BY n.path, e.dst),
+    r AS (SELECT t.path, m.name, row_number() OVER (PARTITION BY t.path ORDER BY t.edge_id, t.dst) AS position FROM t JOIN n m ON m.node_id = t.dst WHERE m.name <> '') SELECT * FROM r WHERE position <= 20"""
+)
+def c1_file_imports(spark, folder):
+    return context.file_imports(nodes(spark, folder), edges(spark, folder))
+
+
+@query(
+    """WITH f AS (SELECT * FROM n WHERE node_type = 'Function' AND name <> '' AND path IS NOT NULL),
+    p AS (SELECT a.node_id, b.node_id AS other, b.name, coalesce(b.signature, b.name) AS signature, coalesce(b.visibility, CASE WHEN b.is_public THEN 'public' ELSE 'private' END) AS visibility, b.line_start,
+        row_number() OVER (PARTITION BY a.node_id ORDER BY b.line_start, b.node_id) AS k FROM f a JOIN f b ON a.path = b.path AND a.node_id <> b.node_id) SELECT * EXCLUDE k FROM p WHERE k <= 10"""
+)
+def c1_siblings(spark, folder):
+    return context.siblings(nodes(spark, folder))
+
+
+@query(
+    """WITH f AS (SELECT e.src, list(DISTINCT n.name ORDER BY n.name) AS paths FROM e JOIN n ON n.node_id = e.dst WHERE e.edge_type = 'Calls' AND regexp_matches(lower(n.name), 'error|err|panic|throw|fail|exception') GROUP BY e.src)
+    SELECT n.node_id, 1 AS complexity, 0 AS branches, 0 AS exception_handlers, 0 AS early_returns, 0 AS nesting_depth, coalesce(f.paths, []) AS error_paths FROM n LEFT JOIN f ON f.src = n.node_id WHERE node_type = 'Function'"""
+)
+def c1_debug_hints(spark, folder):
+    return context.debug_hints(nodes(spark, folder), edges(spark, folder))
+
+
+@query(
+    r"""WITH m AS (SELECT node_id, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(.)\.[^.]*$', '\1') AS module FROM n WHERE path <> ''),
+    b AS (SELECT src AS node_id, dst AS other, CASE lower(edge_type) WHEN 'calls' THEN 'calls' WHEN 'imports' THEN 'imports' ELSE 'depends_on' END AS r FROM e
+        UNION SELECT dst, src, CASE lower(edge_type) WHEN 'calls' THEN 'called_by' WHEN 'imports' THEN 'imported_by' ELSE 'depended_on_by' END FROM e)
+    SELECT b.node_id, o.module, string_agg(DISTINCT r, ', ' ORDER BY r) AS relationship FROM b JOIN m s ON s.node_id = b.node_id JOIN m o ON o.node_id = b.other WHERE o.module <> s.module GROUP BY b.node_id, o.module"""
+)
+def c1_neighbour_modules(spark, folder):
+    return context.neighbour_modules(nodes(spark, folder), edges(spark, folder))
+
+
+@query(
+    """WITH u AS (SELECT CAST(vec_id AS VARCHAR) AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL), q AS (SELECT v AS w FROM u ORDER BY CAST(id AS BIGINT) LIMIT 1),
+    s AS (SELECT id, list_sum(list_transform(list_zip(v, w), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(w, lambda x: x * x)))) AS c FROM u, q)
+    SELECT id, round(c, 6) AS cosine FROM s ORDER BY c DESC, id LIMIT 10""",
+    graph=False,
+)
+def v8_nearest_notes(spark, folder):
+    """Embeddings as the vectors of notes, the first of them asked for."""
+    v = table(spark, folder, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    asked = v.orderBy(F.col("id").cast("bigint")).select("embedding").first()
+    return notes.nearest(v, [float(x) for x in asked[0]] if asked else [1.0]).withColumn("cosine", F.round("cosine", 6))
+
+
 @query()
 def c3_curated_context(spark, folder):
     from codeloom.operators import search

@@ -51,6 +51,16 @@ def t4_bm25(spark, folder):
     return search.bm25(*_index(nodes(spark, folder)), "returns cachedLedger").withColumn("score", F.round("score", 6))
 
 
+@query(f"WITH {_POSTINGS}, {_scores('returns cached ledger')} SELECT node_id, round(score, 6) AS score FROM ranked ORDER BY ranked.score DESC, node_id LIMIT 20")
+def t4_stored_index(spark, folder):
+    """The same from an index that is written and read by the buckets of the query's words."""
+    from codeloom.session import Scratch
+
+    place = Scratch(spark, "words").root
+    search.save_index(*_index(nodes(spark, folder)), place, 16)
+    return search.search_index(spark, place, "returns cachedLedger").withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {_POSTINGS} SELECT (SELECT count(*) FROM stats) AS documents, (SELECT count(DISTINCT term) FROM posted) AS terms")
 def t5_index_stats(spark, folder):
     return search.index_stats(*_index(nodes(spark, folder)))
@@ -81,7 +91,7 @@ def _similar(spark: SparkSession, folder: str) -> DataFrame:
     words_top AS (SELECT node_id, score FROM ranked ORDER BY score DESC, node_id LIMIT 40), near AS (SELECT node_id, cosine FROM cosines WHERE cosine > 0.1 ORDER BY cosine DESC, node_id LIMIT 40),
     both_ AS (SELECT coalesce(w.node_id, v.node_id) AS node_id, score, cosine, (SELECT max(score) FROM words_top) AS top FROM words_top w FULL JOIN near v ON w.node_id = v.node_id),
     scored AS (SELECT b.node_id, n.name, coalesce(b.score, 0) / greatest(coalesce(top, 0), 0.001) AS norm, coalesce(cosine, 0) AS c, s.reason, b.score AS raw FROM both_ b JOIN stats s USING (node_id) JOIN n USING (node_id) WHERE n.name IS NOT NULL)
-    SELECT node_id, name, round(0.4 * norm + 0.6 * c, 6) AS score, CASE WHEN raw IS NULL OR (c > 0.3 AND norm < 0.01) THEN 'Semantic' ELSE reason END AS reason FROM scored ORDER BY 0.4 * norm + 0.6 * c DESC, node_id LIMIT 20"""
+    SELECT node_id, name, round(0.4 * norm + 0.6 * c, 6) AS score, CASE WHEN raw IS NULL OR (c > 0.3 AND norm < 0.01) THEN 'Semantic' ELSE reason END AS reason, count(*) OVER () AS total_matches FROM scored ORDER BY 0.4 * norm + 0.6 * c DESC, node_id LIMIT 20"""
 )
 def t8_symbol_search(spark, folder):
     n = nodes(spark, folder)
@@ -133,20 +143,30 @@ def a1_imports_fuzzy(spark, folder):
     return _imports(spark, folder, "fuzzy")
 
 
+def _peeled(times: int = 12) -> str:
+    """Brackets taken off from the inside, which counts the same parameters as long as none is nested deeper and no arrow stands among them."""
+    text = "regexp_replace(signature, '^[^(]*\\(', '(')"
+    for _ in range(times):
+        text = f"regexp_replace({text}, '([\\s\\S])[(\\[{{<][^()\\[\\]{{}}<>]*[)\\]}}>]', '\\1_', 'g')"
+    return text
+
+
+_PARAMS = f"""parts AS (SELECT node_id, CASE WHEN regexp_matches(t, '^\\([^()]*\\)') THEN list_filter(string_split(regexp_extract(t, '^\\(([^()]*)\\)', 1), ','), lambda x: trim(x, ' ') <> '') END AS p FROM (SELECT node_id, {_peeled()} AS t FROM n WHERE signature IS NOT NULL)),
+    counted AS (SELECT node_id, len(p) - CASE WHEN len(p) > 0 AND regexp_full_match(trim(p[1], ' '), '(&\\s*(''\\w+\\s+)?(mut\\s+)?|mut\\s+)?self\\s*(:.*)?') THEN 1 ELSE 0 END AS k FROM parts WHERE p IS NOT NULL)"""
+
+
 @query(
-    """SELECT node_id, name, 'name matches ''merge*''; 1-3 params; modifiers: public' AS reason FROM n WHERE node_type = 'Function' AND name IS NOT NULL AND regexp_full_match(name, 'merge.*') AND param_count BETWEEN 1 AND 3
-    AND is_public AND param_count IS NOT NULL"""
+    f"""WITH {_PARAMS} SELECT n.node_id, name, 'name matches ''merge*''; 1-3 params; modifiers: public' AS reason FROM n LEFT JOIN counted USING (node_id) WHERE node_type = 'Function' AND name IS NOT NULL AND regexp_full_match(name, 'merge.*')
+    AND coalesce(param_count, k) BETWEEN 1 AND 3 AND is_public"""
 )
 def a2_by_signature(spark, folder):
-    n = nodes(spark, folder).where("param_count IS NOT NULL")
-    return search.by_signature(n, "merge*", params=(1, 3), modifiers=["public"])
+    return search.by_signature(nodes(spark, folder), "merge*", params=(1, 3), modifiers=["public"])
 
 
-@query()
+@query(f"WITH {_PARAMS} SELECT n.node_id, k AS params FROM n LEFT JOIN counted USING (node_id) WHERE node_type = 'Function' AND signature IS NOT NULL")
 def a2_params_from_signature(spark, folder):
-    """How often the parameters counted in the signature are those stored."""
-    n = nodes(spark, folder).where("node_type = 'Function' AND signature IS NOT NULL AND param_count IS NOT NULL")
-    return n.groupBy((rules.params_of(F.col("signature")) == F.col("param_count")).alias("same")).agg(F.count("*").alias("functions"))
+    n = nodes(spark, folder).where("node_type = 'Function' AND signature IS NOT NULL")
+    return n.select("node_id", rules.params_of(F.col("signature")).cast("bigint").alias("params"))
 
 
 _ENTRY = """CASE WHEN route IS NOT NULL OR http_method IS NOT NULL THEN 'http_handler' WHEN name IN ('main', '__main__') THEN 'main'
@@ -160,17 +180,37 @@ def a3_entry_points(spark, folder):
     return search.entry_points(nodes(spark, folder))
 
 
+#: The indexed functions have no names of tests: those in files of tests get one. Asked for is the function that most tests call.
+_NAMED_TESTS = "t AS (SELECT * REPLACE (CASE WHEN node_type = 'Function' AND contains(path, '/test_') THEN 'test_' || name ELSE name END AS name) FROM n)"
+_TESTED = f"{_NAMED_TESTS}, tests AS (SELECT node_id, path FROM (SELECT node_id, path, {_ENTRY} AS entry FROM t WHERE node_type = 'Function' AND name IS NOT NULL) WHERE entry = 'test_entry'), top AS (SELECT e.dst AS id FROM e JOIN tests ON tests.node_id = e.src JOIN n f ON f.node_id = e.dst WHERE e.edge_type = 'Calls' AND f.node_type = 'Function' GROUP BY e.dst ORDER BY count(DISTINCT e.src) DESC, e.dst LIMIT 1)"
+
+
+def named_tests(n: DataFrame) -> DataFrame:
+    return n.withColumn("name", F.when((F.col("node_type") == "Function") & F.col("path").contains("/test_"), F.concat(F.lit("test_"), "name")).otherwise(F.col("name")))
+
+
+def most_tested(n: DataFrame, e: DataFrame) -> int:
+    tests = search.entry_points(n, ["test_entry"]).select(F.col("node_id").alias("src"))
+    functions = n.where("node_type = 'Function'").select(F.col("node_id").alias("dst"))
+    called = e.where("edge_type = 'Calls'").join(tests, "src", "left_semi").join(functions, "dst", "left_semi")
+    first = called.groupBy("dst").agg(F.count_distinct("src").alias("k")).orderBy(F.desc("k"), "dst").first()
+    return first["dst"] if first else -1
+
+
 @query(
-    f"""WITH {_CALLS}, {_TOP}, tests AS (SELECT node_id, path FROM (SELECT node_id, path, {_ENTRY} AS entry FROM n WHERE node_type = 'Function' AND name IS NOT NULL) WHERE entry = 'test_entry'),
+    f"""WITH {_CALLS}, {_TESTED},
     up(node, depth) AS (SELECT c.src, 1 FROM calls c JOIN top ON c.dst = top.id UNION SELECT c.src, u.depth + 1 FROM up u JOIN calls c ON c.dst = u.node WHERE u.depth < 3),
     calling AS (SELECT DISTINCT node AS node_id, 0 AS k FROM up WHERE node IN (SELECT node_id FROM tests) ORDER BY node LIMIT 20),
     same AS (SELECT node_id, 1 AS k FROM tests WHERE path = (SELECT path FROM n, top WHERE node_id = id)),
-    ranked AS (SELECT node_id, min(k) AS k FROM (SELECT * FROM calling UNION ALL SELECT * FROM same) WHERE node_id <> (SELECT id FROM top) GROUP BY node_id)
-    SELECT node_id, CASE k WHEN 0 THEN 'calls_target' ELSE 'same_file' END AS relation FROM ranked ORDER BY k, node_id LIMIT 10"""
+    home AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS d, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') AS s, regexp_extract(path, '[^/]\\.([^./]*)$', 1) AS x FROM n, top WHERE node_id = id),
+    places AS (SELECT unnest([d || '/' || s || '.test.' || x, d || '/' || s || '.spec.' || x, d || '/' || s || '_test.' || x, d || '/tests/' || s || '.' || x, d || '/__tests__/' || s || '.' || x, d || '/test/' || s || '.' || x, d || '/tests/' || s || '_test.' || x]) AS path FROM home WHERE x <> ''),
+    beside AS (SELECT node_id, 2 AS k FROM tests WHERE path IN (SELECT path FROM places)),
+    ranked AS (SELECT node_id, min(k) AS k FROM (SELECT * FROM calling UNION ALL SELECT * FROM same UNION ALL SELECT * FROM beside) WHERE node_id <> (SELECT id FROM top) GROUP BY node_id)
+    SELECT node_id, CASE k WHEN 0 THEN 'calls_target' WHEN 1 THEN 'same_file' ELSE 'adjacent_file' END AS relation FROM ranked ORDER BY k, node_id LIMIT 10"""
 )
 def a4_related_tests(spark, folder):
-    n, e = nodes(spark, folder), edges(spark, folder)
-    return search.related_tests(n, e, most_called(n, e))
+    n, e = named_tests(nodes(spark, folder)), edges(spark, folder)
+    return search.related_tests(n, e, most_tested(n, e))
 
 
 @query(
@@ -186,15 +226,17 @@ def a6_routes(spark, folder):
 
 
 @query(
-    """WITH calls AS (SELECT e.src AS node_id, x.name AS callee FROM e JOIN external_symbols x ON x.node_id = e.dst WHERE e.edge_type = 'Calls'),
+    r"""WITH raw AS (SELECT file_id AS node_id, unnest(regexp_extract_all(code, '([A-Za-z_][\w.]*)\(', 1)) AS c FROM source_files WHERE code IS NOT NULL),
+    calls AS (SELECT node_id, regexp_replace(regexp_replace(c, '^app\.', 'std.http.'), '^state\.', 'my_requests.') AS callee FROM raw),
     listed AS (SELECT unnest(string_split('fetch requests.get requests.post requests.put requests.patch requests.delete httpx.get httpx.post httpx.put httpx.patch httpx.delete http.Get http.Post http.NewRequest reqwest::get axios.get axios.post axios.put axios.patch axios.delete http.get http.post http.put http.patch http.delete', ' ')) AS f)
-    SELECT node_id, max(CASE WHEN lower(regexp_extract(callee, '([^.:]*)$', 1)) IN ('get', 'post', 'put', 'patch', 'delete') THEN upper(regexp_extract(callee, '([^.:]*)$', 1)) ELSE 'ANY' END) AS method
-    FROM calls JOIN listed ON callee = f OR ends_with(callee, '.' || f) GROUP BY node_id"""
+    SELECT node_id, arg_max(CASE WHEN lower(regexp_extract(callee, '([^.:]*)$', 1)) IN ('get', 'post', 'put', 'patch', 'delete') THEN upper(regexp_extract(callee, '([^.:]*)$', 1)) ELSE 'ANY' END, callee) AS method
+    FROM calls JOIN listed ON ends_with(callee, f) GROUP BY node_id""",
+    graph=False,
 )
 def a7_http_clients(spark, folder):
-    outside = table(spark, folder, "external_symbols").select(F.col("node_id").alias("dst"), F.col("name").alias("callee"))
-    calls = edges(spark, folder).where("edge_type = 'Calls'").join(outside, "dst").select(F.col("src").alias("node_id"), "callee")
-    return search.http_clients(calls)
+    """What files call, with two receivers renamed to clients, one of them behind other letters."""
+    raw = table(spark, folder, "source_files").where("code IS NOT NULL").select(F.col("file_id").alias("node_id"), F.explode(F.regexp_extract_all("code", F.lit(r"([A-Za-z_][\w.]*)\("), 1)).alias("c"))
+    return search.http_clients(raw.select("node_id", F.regexp_replace(F.regexp_replace("c", r"^app\.", "std.http."), r"^state\.", "my_requests.").alias("callee")))
 
 
 _SERVED = "served AS (SELECT node_id AS dst, CASE WHEN r = '' THEN '/' ELSE r END AS route FROM (SELECT node_id, regexp_replace(regexp_replace(route, '[?#].*$', ''), '/+$', '') AS r FROM n WHERE route IS NOT NULL))"

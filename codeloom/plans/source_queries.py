@@ -33,6 +33,28 @@ def s6_parser_metrics(spark, folder):
     return metrics.parser_metrics(files.parse_results(parsed))
 
 
+@query(
+    """WITH r AS (SELECT coalesce(language, 'none') AS language, code IS NOT NULL AS ok, size_bytes AS entities, len(path) AS relations, size_bytes / 1000.0 AS ms FROM source_files WHERE size_bytes IS NOT NULL)
+    SELECT language, count(*) AS attempted, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, CAST(sum(entities) AS BIGINT) AS entities, CAST(sum(relations) AS BIGINT) AS relations, round(sum(ms), 3) AS total_ms, round(avg(ms), 6) AS average_ms,
+    count(*) FILTER (ok) / count(*) AS rate FROM r GROUP BY ROLLUP (language)""",
+    graph=False,
+)
+def s6_metrics_of_results(spark, folder):
+    """Results made of the files' sizes, as those of a parser depend on the clock."""
+    f = table(spark, folder, "source_files").where("size_bytes IS NOT NULL")
+    results = f.select(F.coalesce("language", F.lit("none")).alias("language"), F.col("code").isNotNull().alias("ok"), F.col("size_bytes").alias("entities"), F.length("path").alias("relations"), (F.col("size_bytes") / 1000.0).alias("ms"))
+    return metrics.parser_metrics(results).withColumns({"total_ms": F.round("total_ms", 3), "average_ms": F.round("average_ms", 6)})
+
+
+@query()
+def a9_all_phases(spark, folder):
+    """The graph of all files: imported symbols, calls, type references and ancestors that names lead to, by type."""
+    from codeloom.session import Scratch
+
+    parsed = Scratch(spark, "index").cut(files.parse_files(table(spark, folder, "source_files").where("code IS NOT NULL").select(F.concat_ws("/", "project", "path").alias("path"), "code").distinct()))
+    return files.graph_of(parsed)[1].groupBy("edge_type").agg(F.count("*").alias("edges"))
+
+
 _CHANGED = "changed AS (SELECT DISTINCT path FROM n WHERE node_type = 'Class')"
 
 
@@ -63,12 +85,23 @@ def s17_changes(spark, folder):
     return files.changes(old, new)
 
 
-@query("SELECT slug, main_language FROM projects", graph=False)
+@query(
+    "SELECT slug, 'ws' AS workspace, count(n.node_id) AS node_count, CAST(0 AS BIGINT) AS edge_count FROM projects p JOIN n ON n.project = p.slug GROUP BY slug"
+)
 def s12_projects(spark, folder):
-    return table(spark, folder, "projects").select("slug", "main_language")
+    """The registry of a store into which every project was written twice, first as an empty one."""
+    from codeloom.session import Scratch
 
+    place = Scratch(spark, "store").root
+    n = nodes(spark, folder)
+    counts = table(spark, folder, "projects").join(n.groupBy(F.col("project").alias("slug")).agg(F.count("*").alias("node_count")), "slug")
+    rows = counts.select("slug", F.lit("ws").alias("workspace"), "node_count", F.lit(0).cast("bigint").alias("edge_count"), F.lit("2025-01-02 00:00:00").cast("timestamp").alias("last_indexed"))
+    before = rows.withColumns({"node_count": F.lit(0).cast("bigint"), "last_indexed": F.lit("2025-01-01 00:00:00").cast("timestamp")})
+    rows.unionByName(before).write.mode("overwrite").parquet(f"{place}/projects")
+    return files.list_projects(spark, place).drop("last_indexed")
 
-@query()
+
+@query("SELECT workspace, regexp_replace(lower(regexp_extract(workspace, '([^/]*)/?$', 1)), '[^a-z0-9]', '-', 'g') || '-' || right(md5(workspace), 4) AS slug FROM projects", graph=False)
 def s13_slugs(spark, folder):
     return files.slugs(table(spark, folder, "projects"))
 

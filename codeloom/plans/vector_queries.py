@@ -30,11 +30,11 @@ def v4_similar_pairs(spark, folder):
     u AS (SELECT l.node_id, lower(n.name) AS name, n.path, n.line_start, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS norm FROM latest l JOIN n USING (node_id) WHERE n.node_type = 'Function'),
     p AS (SELECT a.node_id AS node_id_a, b.node_id AS node_id_b, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) / (a.norm * b.norm) AS s,
         coalesce(a.path = b.path AND abs(a.line_start - b.line_start) < 5, false) AS near FROM u a JOIN u b ON a.node_id < b.node_id WHERE a.norm > 0 AND b.norm > 0)
-    SELECT node_id_a, node_id_b, round(s, 6) AS similarity FROM p WHERE s >= 0.9 AND NOT near"""
+    SELECT node_id_a, node_id_b, round(s, 6) AS similarity FROM p WHERE s >= 0.7 AND NOT near"""
 )
 def v4_duplicates(spark, folder):
     v = vectors.latest(table(spark, folder, "symbol_vectors"), 128)
-    return vectors.duplicates(nodes(spark, folder), v, 0.9, None).withColumn("similarity", F.round("similarity", 6))
+    return vectors.duplicates(nodes(spark, folder), v, 0.7, None).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(

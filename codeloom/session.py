@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -55,9 +57,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{fallback}"
 
 
+_OPEN: list[Scratch] = []
+
+
+def _close_all() -> None:
+    """Frees what is still there when the program ends; the session may be gone by then."""
+    for scratch in _OPEN:
+        try:
+            if scratch.spark.sparkContext._jsc is not None:  # noqa: SLF001
+                scratch.close()
+        except Exception:  # noqa: BLE001 - a lost gateway leaves nothing to free with
+            return
+
+
 class Scratch:
     """Intermediate tables in the shared folder.
 
+    They go when they are dropped, when ``close`` is called, or when the program ends. What an operator returns may read them, so only those that the result
+    doesn't need are dropped before.
+
     ``cut(df)`` writes ``df`` as Parquet and reads it back: lineage ends there, the files outlive executors, and the
     next plan has exact sizes. ``drop(df)`` frees one that is no longer needed.
     """
@@ -67,6 +85,9 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/codeloom-{label}-{uuid.uuid4().hex[:12]}"
         self.count = 0
         self._paths: dict[int, str] = {}
+        if not _OPEN:
+            atexit.register(_close_all)
+        _OPEN.append(self)
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.count:04d}"
@@ -101,7 +122,10 @@ def ship(spark: SparkSession) -> None:
     import codeloom
 
     source = os.path.dirname(os.path.abspath(codeloom.__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="codeloom-ship-"), "codeloom_pkg.zip")
+    # On the driver only: Spark serves the archive to the executors from a copy of its own.
+    folder_ = tempfile.mkdtemp(prefix="codeloom-ship-")
+    atexit.register(shutil.rmtree, folder_, ignore_errors=True)
+    archive = os.path.join(folder_, "codeloom_pkg.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(source):
             for name in names:
