@@ -110,6 +110,7 @@ def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_kinds, p3_found, p4_found, p4_pairs, p5_found, p5_rates, p6_ids, p6_round_trips, p7_uses, p7_shares, p8_found, p8_composition)}
 
 ORACLES: dict[str, str] = {
+    "p6_round_trips": "SELECT doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS chars, true AS same FROM documents",
     "p1_found": """
         WITH RECURSIVE links AS (
             SELECT node_id_a AS a, node_id_b AS b FROM duplicate_pairs

@@ -3,13 +3,15 @@
 Text is cut into words by the vocabulary's pattern, which needs a few characters of lookahead, and words into tokens by a
 transducer over bytes. For every position it keeps the last token of the encoding of the word so far: the one token that ends there
 and is compatible with the last token of the position where it starts. Compatible are neighbours that no merge of the list
-would ever join across, so a path of compatible tokens is the encoding. A token is emitted once all paths that may still win share it;
-only positions within the longest token's length of the end can still matter, so the memory is constant.
+would ever join across, so a path of compatible tokens is the encoding. A token is emitted once all paths that may still win share it,
+which is the case at the latest when the merge list's sufficient lookahead, computed from the merges, has followed it. Words come in pieces, so the
+transducer's state is bounded by a piece, the lookahead and the longest token, however long the word is.
 """
 
 from __future__ import annotations
 
 import codecs
+import heapq
 import json
 from collections.abc import Iterable, Iterator
 
@@ -20,14 +22,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
+
+def _vocabulary() -> str:
+    """Where the public tokenizers' files are: what their package says, else the folder they are installed in."""
+    try:
+        from public_tokenizers import path
+    except ImportError:
+        return "/opt/tokenizers/byte_bpe_50k.json"
+    return path("byte_bpe_50k.json")
+
+
 #: The vocabulary's file; a parameter wherever it is used. It is read on the driver only.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = _vocabulary()
 #: Fixed value: the pattern of the vocabulary that cuts text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters behind a word that may decide where it ends: the longest contraction.
 LOOKAHEAD = 3
 #: Characters that are looked at together; words longer than WORD_CHARS are encoded as a stream and not remembered.
 BLOCK_CHARS, WORD_CHARS = 1 << 16, 64
+#: Characters of a piece of a long word.
+PIECE_CHARS = 1 << 11
 #: Words whose ids a process remembers.
 CACHE_WORDS = 200_000
 
@@ -60,6 +75,23 @@ class Vocabulary:
         self.usable = sorted(mergeable)
         self.made = made
         self.longest = max(len(self.tokens[i]) for i in self.usable)
+        self.lookahead = self._sufficient_lookahead()
+
+    def _sufficient_lookahead(self) -> int:
+        """How many bytes behind a position can still change the tokens before it, at most.
+
+        What follows changes what stands before only through merges: one that takes a symbol away from, or makes a new one for, a merge with its left
+        neighbour, which comes later in the list, and so on to the left. So a change travels along a chain of merges each of which comes later than the one before
+        and whose right side is the left side, or the product, of that one. This is the most bytes such a chain spans, found from the last merge to the first.
+        """
+        size = [len(t) for t in self.tokens]
+        by_right: dict[int, int] = {}  # the longest chain that begins with a merge of this right side
+        most = self.longest
+        for (left, right), made in zip(reversed(self.merges), reversed(self.made)):
+            span = size[made] + max(by_right.get(left, 0), by_right.get(made, 0))
+            by_right[right] = max(by_right.get(right, 0), span)
+            most = max(most, span)
+        return most
 
 
 class Transducer:
@@ -83,7 +115,7 @@ class Transducer:
             self.automaton.add_word(v.tokens[i].decode("latin-1"), (len(v.tokens[i]), i))
         self.automaton.make_automaton()
         self.pattern = regex.compile(PATTERN)
-        self.lookahead_bytes = 2 * self.longest
+        self.lookahead = v.lookahead
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The nodes at one edge of a token's merge tree, each with the rank of the merge that takes it in."""
@@ -126,13 +158,18 @@ class Transducer:
     def encode_word(self, word: str) -> tuple[int, ...]:
         found = self.words.get(word)
         if found is None:
-            found = tuple(self.encode_bytes([word.encode("utf-8")]))
+            found = tuple(self.encode_bytes(self._pieces(word)))
             if len(word) <= WORD_CHARS:
                 if len(self.words) >= CACHE_WORDS:
                     self.words.clear()
                 self.words[word] = found
         return found
 
+    @staticmethod
+    def _pieces(word: str) -> Iterator[bytes]:
+        for at in range(0, len(word), PIECE_CHARS):
+            yield word[at : at + PIECE_CHARS].encode("utf-8")
+
     def encode_bytes(self, pieces: Iterable[bytes]) -> Iterator[int]:
         """Encodes one word that arrives in pieces; constant memory, each token as soon as it is certain.
 
@@ -157,41 +194,36 @@ class Transducer:
                     last[stop] = token
             end += len(piece)
             tail = text[-(longest - 1) :]
-            if end - emitted > self.lookahead_bytes:
-                yield from self._settle(last, emitted, end)
-                emitted = self._settled
-        if end:
-            path, at = [], end
-            while at > emitted:
-                token = last[at]
-                path.append(token)
-                at -= len(tokens[token])
-            yield from reversed(path)
-
-    def _settle(self, last: dict[int, int], emitted: int, end: int) -> list[int]:
-        """The tokens that the paths of all positions near the end share; positions that no path needs are forgotten."""
-        sizes = self.tokens
-        shared: list[int] | None = None
-        for head in range(max(emitted + 1, end - self.longest + 1), end + 1):
-            bounds, at = [], head
-            while at > emitted:
-                bounds.append(at)
-                at -= len(sizes[last[at]])
-            bounds.reverse()
-            if shared is None:
-                shared = bounds
-            else:
-                n = 0
-                while n < len(shared) and n < len(bounds) and shared[n] == bounds[n]:
-                    n += 1
-                shared = shared[:n]
-            if not shared:
-                break
-        self._settled = shared[-1] if shared else emitted
-        out = [last[p] for p in shared or []]
-        for p in [p for p in last if p < self._settled]:
-            del last[p]
-        return out
+            if end - emitted > self.lookahead + longest:
+                settled = self._stable(last, emitted, end)
+                yield from self._path(last, emitted, settled)
+                emitted = settled
+                for p in [p for p in last if p < settled]:
+                    del last[p]
+        yield from self._path(last, emitted, end)
+
+    def _path(self, last: dict[int, int], start: int, end: int) -> list[int]:
+        """The tokens from ``start`` to ``end``."""
+        path, at = [], end
+        while at > start:
+            path.append(last[at])
+            at -= len(self.tokens[last[at]])
+        path.reverse()
+        return path
+
+    def _stable(self, last: dict[int, int], emitted: int, end: int) -> int:
+        """The last position that the paths of all positions share at which a later token can start. Of these positions the last is replaced by the one
+        before it on its path until one is left, so each is looked at once."""
+        heads = [-p for p in range(end, max(emitted, end - self.longest), -1)]
+        known = set(heads)
+        heapq.heapify(heads)
+        while len(heads) > 1:
+            p = -heapq.heappop(heads)
+            before = -max(emitted, p - len(self.tokens[last[p]]))
+            if before not in known:
+                known.add(before)
+                heapq.heappush(heads, before)
+        return -heads[0]
 
     def words_of(self, text: str) -> Iterator[str]:
         """The words of a text, looked at in blocks; a word is final once LOOKAHEAD characters follow it."""
@@ -287,7 +319,7 @@ def encoded(spark: SparkSession, documents: DataFrame, path: str = VOCABULARY) -
 
 
 def round_trips(spark: SparkSession, documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, tokens, same): whether decoding the ids gives the text back (a null text the empty one)."""
+    """(doc_id, chars, same): the characters of the text that decoding the ids gives, and whether it is the text (of a null text the empty one)."""
     with_ids = documents.select("doc_id", "text", ids_udf(spark, path)("text").alias("ids"))
-    back = text_udf(spark, path)("ids")
-    return with_ids.select("doc_id", F.size("ids").alias("tokens"), (back == F.coalesce("text", F.lit(""))).alias("same"))
+    back = with_ids.select("doc_id", "text", text_udf(spark, path)("ids").alias("back"))
+    return back.select("doc_id", F.length("back").cast("bigint").alias("chars"), (F.col("back") == F.coalesce("text", F.lit(""))).alias("same"))

@@ -104,6 +104,44 @@ def test_tokens_stream(encoder, library, monkeypatch):
     assert list(encoder.decode(encoder.encode("日")[:-1])) == ["\ufffd"]
 
 
+@needs_vocabulary
+def test_long_words_need_bounded_state(encoder, library, monkeypatch):
+    """Words of a million letters: what is kept stays within a piece, the lookahead and the longest token, and every settling gets that far."""
+    import random
+
+    kept = []
+    stable = encoder._stable
+    monkeypatch.setattr(encoder, "_stable", lambda last, emitted, end: kept.append((len(last), end - (at := stable(last, emitted, end)))) or at)
+    r = random.Random(1)
+    for word in ("a" * 1_000_000, "".join(r.choice("abcdest") for _ in range(200_000)), "ÃÂ" * 20_000, "=" * 70_001, "ab" * 40_000 + "\u200b" * 3000):
+        kept.clear()
+        ids = list(encoder.encode_bytes(encoder._pieces(word)))
+        assert b"".join(encoder.tokens[i] for i in ids) == word.encode()
+        if len(word) < 300_000:
+            assert ids == library.encode(word, add_special_tokens=False).ids
+        most = 4 * tokens.PIECE_CHARS + encoder.lookahead + 2 * encoder.longest
+        assert len(kept) > 5 and max(n for n, _ in kept) <= most and max(lag for _, lag in kept) <= encoder.lookahead + encoder.longest
+
+
+def test_lookahead_of_small_merge_lists():
+    """(a, a) alone: one pair decides. A chain of merges, each later, each with the product of the one before on its right."""
+
+    class Small(tokens.Vocabulary):
+        def __init__(self, letters, merges):
+            self.tokens = [c.encode() for c in letters]
+            self.merges, self.made = [], []
+            for x, y in merges:
+                at = [self.tokens.index(t.encode()) for t in (x, y)]
+                self.merges.append(tuple(at))
+                self.tokens.append((x + y).encode())
+                self.made.append(len(self.tokens) - 1)
+            self.longest = max(map(len, self.tokens))
+
+    assert Small("a", [("a", "a")])._sufficient_lookahead() == 2
+    assert Small("abc", [("b", "c"), ("a", "b")])._sufficient_lookahead() == 4
+    assert Small("abcd", [("c", "d"), ("b", "c"), ("a", "b")])._sufficient_lookahead() == 6
+
+
 @needs_vocabulary
 def test_tokens_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None, 9), (2, "", 9), (3, "hi", 9), (3, "hi", 9)], "doc_id bigint, text string, ids int")
