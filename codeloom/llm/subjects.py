@@ -7,6 +7,7 @@ tell which subjects its sentences may have; EM finds out which sentence has whic
 
 from __future__ import annotations
 
+import copy
 import re
 from collections.abc import Iterator
 
@@ -24,8 +25,8 @@ FEATURES = 1 << 17
 CALIBRATION_DOCS = 20_000
 #: EM rounds over labelled documents, then over all; weight of a document without labels in the latter.
 LABELLED_ROUNDS, ALL_ROUNDS, UNLABELLED_WEIGHT = 4, 3, 0.3
-#: Additive smoothing, and how far a label set may be wrong.
-SMOOTHING, LABEL_DOUBT = 0.1, 0.02
+#: Additive smoothing, and how far a label set may lack subjects, all that it doesn't name together.
+SMOOTHING, LABEL_DOUBT = 0.1, 0.22
 #: How far a document with subjects admits sentences without one. At 1 a subject's words may drift to none altogether.
 NONE_ADMITTED = 0.5
 #: A feature says nothing if its commonest class has at most the first share of it, and counts in full from the second on.
@@ -39,7 +40,6 @@ _LEAD = re.compile(r"^\s*(?:[>*+\-•#|]+\s*|\d+[.)]\s+|\w{1,20}\d*:\s+(?=\S))+"
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+(?=[^\W\d_a-zß-öø-ÿ]|[`\"'“«(¿¡\d])|\n+(?=\s*(?:[^\W\d_a-zß-öø-ÿ]|[`\"'“«(¿¡]|\d))|\n{2,}(?=\s*$)")
 _WORD = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
-_MAX_WORD = 40
 
 
 def sentences(text: str) -> list[str]:
@@ -70,7 +70,7 @@ _words = _Words()
 def features(sentence: str) -> np.ndarray:
     """Hashed words and pairs of neighbouring words, in lower case; identifiers are cut into their words."""
     parts = _WORD.findall(_CAMEL.sub(" ", sentence))
-    ids = np.array([_words[w.lower()] for w in parts if len(w) <= _MAX_WORD], dtype=np.uint64)
+    ids = np.array([_words[w.lower()] for w in parts], dtype=np.uint64)
     if not len(ids):
         return np.zeros(0, dtype=np.int32)
     pairs = (ids[:-1] * np.uint64(0x9E3779B1) + ids[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)
@@ -81,24 +81,48 @@ class Model:
     """Log odds of each feature between a class and its complement; the last class is no subject at all."""
 
     def __init__(self, counts: np.ndarray, sizes: np.ndarray):
+        self.counts, self.sizes, self.totals = counts, sizes, counts.sum(0)
+        self.weights = self.weights_of(counts, self.totals)
+        self.prior = np.log((sizes + 1) / (sizes.sum() + len(sizes))).astype(np.float32)
+
+    @staticmethod
+    def weights_of(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """Weights of some features (rows) with these expected counts, of which all features together have ``totals``."""
         inside = counts + SMOOTHING
         outside = counts.sum(1, keepdims=True) - counts + SMOOTHING
-        p = np.log(inside / inside.sum(0))
-        q = np.log(outside / outside.sum(0))
+        p = np.log(inside / (totals + FEATURES * SMOOTHING))
+        q = np.log(outside / (totals.sum() - totals + FEATURES * SMOOTHING))
         # Words of all subjects, as those of set phrases, only add noise: what they say is faded out.
         purity = ((counts + SMOOTHING / 10) / (counts.sum(1, keepdims=True) + SMOOTHING)).max(1, keepdims=True)
-        self.weights = ((p - q) * np.clip((purity - FADE[0]) / (FADE[1] - FADE[0]), 0, 1)).astype(np.float32)
-        self.prior = np.log((sizes + 1) / (sizes.sum() + len(sizes))).astype(np.float32)
+        return ((p - q) * np.clip((purity - FADE[0]) / (FADE[1] - FADE[0]), 0, 1)).astype(np.float32)
+
+    def lean(self) -> Model:
+        """The same without its counts, which only training and calibration need."""
+        out = copy.copy(self)
+        out.counts = out.sizes = out.totals = None
+        return out
+
+    def without(self, feats: np.ndarray, lens: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        """Sentence by class scores of a document by the model that would be left without it; ``shares`` are its sentences' posteriors in training."""
+        used, at = np.unique(feats, return_inverse=True)
+        per_feature = np.repeat(shares, lens, axis=0)
+        own = np.stack([np.bincount(at, weights=per_feature[:, c], minlength=len(used)) for c in range(shares.shape[1])], axis=1)
+        weights = self.weights_of(np.maximum(self.counts[used] - own, 0), np.maximum(self.totals - own.sum(0), 0))
+        return _sums(weights[at], lens)
 
     def scores(self, feats: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Sentence by class; ``feats`` holds the features of sentences of ``lens`` features, one after another."""
-        if not len(lens):
-            return np.zeros((0, len(self.prior)), dtype=np.float32)
-        rows = self.weights[feats]
-        at = np.r_[0, np.cumsum(lens)[:-1]]
-        total = np.add.reduceat(np.vstack([rows, np.zeros((1, rows.shape[1]), rows.dtype)]), np.minimum(at, len(rows)), axis=0)
-        total[lens == 0] = 0
-        return total
+        return _sums(self.weights[feats], lens)
+
+
+def _sums(rows: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The sums of ``lens`` consecutive rows each."""
+    if not len(lens):
+        return np.zeros((0, rows.shape[1]), dtype=np.float32)
+    at = np.r_[0, np.cumsum(lens)[:-1]]
+    total = np.add.reduceat(np.vstack([rows, np.zeros((1, rows.shape[1]), rows.dtype)]), np.minimum(at, len(rows)), axis=0)
+    total[lens == 0] = 0
+    return total
 
 
 def posteriors(scores: np.ndarray, prior: np.ndarray, docs: np.ndarray, allowed: np.ndarray, count: int, doubt: float) -> np.ndarray:
@@ -137,7 +161,10 @@ LABELLED_DOCS = 50_000
 #: How many more log odds a subject needs than none in the final posteriors, and the share of wrong labels that calibration expects.
 FINAL_DOUBT, LABEL_NOISE = 3.0, 0.04
 
-_FEATURES_SCHEMA = "doc_id bigint, labels int, feats array<int>, lens array<int>"
+#: How strongly a subject's curve is held to that of all subjects, in documents.
+CURVE_PRIOR = 20.0
+
+_FEATURES_SCHEMA = "doc_id bigint, labels array<int>, feats array<int>, lens array<int>"
 
 
 def _featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,7 +174,7 @@ def _featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = [x for x in map(features, sentences(text or "")) if len(x)]
             feats.append(np.concatenate(found) if found else np.zeros(0, dtype=np.int32))
             lens.append(np.array([len(x) for x in found], dtype=np.int32))
-        yield pd.DataFrame({"doc_id": f["doc_id"], "labels": f["labels"].astype("Int32"), "feats": feats, "lens": lens})
+        yield pd.DataFrame({"doc_id": f["doc_id"], "labels": f["labels"], "feats": feats, "lens": lens})
 
 
 def _flat(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,12 +186,13 @@ def _flat(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _allowed(labels: pd.Series, classes: int) -> np.ndarray:
-    """Document by class: 1 where the labels admit a class, LABEL_DOUBT where not; all 1 without labels. None is always admitted, by NONE_ADMITTED beside subjects."""
+    """Document by class: 1 where the labels admit a class, its part of LABEL_DOUBT where not; all 1 without labels. None is always admitted, by NONE_ADMITTED beside subjects."""
     out = np.ones((len(labels), classes))
-    for k, bits in enumerate(labels):
-        if not pd.isna(bits):
-            out[k, :-1] = [1.0 if int(bits) >> c & 1 else LABEL_DOUBT for c in range(classes - 1)]
-            out[k, -1] = NONE_ADMITTED if int(bits) else 1.0
+    for k, given in enumerate(labels):
+        if given is not None:
+            out[k, :-1] = LABEL_DOUBT / (classes - 1)
+            out[k, np.asarray(given, dtype=np.int64)] = 1.0
+            out[k, -1] = NONE_ADMITTED if len(given) else 1.0
     return out
 
 
@@ -198,7 +226,7 @@ def _expected(model_of, classes: int):
 
 def _fit(spark: SparkSession, featured: DataFrame, model: Model | None, classes: int) -> Model:
     """One EM round: posteriors by ``model``, expected counts per partition, their sum on the driver: FEATURES rows at most."""
-    shared = spark.sparkContext.broadcast(model) if model else None
+    shared = spark.sparkContext.broadcast(model.lean()) if model else None
     names = [f"c{k}" for k in range(classes)]
     schema = "feature int, " + ", ".join(f"{n} double" for n in names)
     sums = featured.select("labels", "feats", "lens").mapInPandas(_expected(shared, classes), schema).groupBy("feature").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
@@ -219,27 +247,57 @@ def _evidence(model_of, classes: int):
             feats, lens, docs = _flat(f)
             r = posteriors(model.scores(feats, lens), model.prior, docs, np.ones((len(f), classes)), len(f), FINAL_DOUBT)
             z = at_least_two(r[:, :-1], docs, len(f))
-            yield pd.DataFrame({"doc_id": f["doc_id"], "labels": f["labels"].astype("Int32"), "odds": list(z)})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "odds": list(z)})
 
     return run
 
 
-def _calibration(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve from evidence to labels of which LABEL_NOISE are wrong: the likeliest of a grid."""
-    best, found = -np.inf, (1.0, 0.0)
+def _held_out(model_of, classes: int):
+    """Evidence on labelled documents by the model that is left without each: what it adds to the expected counts is taken out of them before it is scored."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = model_of.value
+        for f in frames:
+            allowed = _allowed(f["labels"], classes)
+            every = np.ones((1, classes))
+            out = []
+            for k, (feats, lens) in enumerate(zip(f["feats"], f["lens"])):
+                feats, lens = np.asarray(feats, dtype=np.int64), np.asarray(lens, dtype=np.int64)
+                one = np.zeros(len(lens), dtype=np.int64)
+                if not len(lens):
+                    out.append(at_least_two(np.zeros((0, classes - 1)), one, 1)[0])
+                    continue
+                shares = posteriors(model.scores(feats, lens), model.prior, one, allowed[k : k + 1], 1, 0.0)
+                r = posteriors(model.without(feats, lens, shares), model.prior, one, every, 1, FINAL_DOUBT)
+                out.append(at_least_two(r[:, :-1], one, 1)[0])
+            yield pd.DataFrame({"labels": f["labels"], "odds": out})
+
+    return run
+
+
+_SLOPES, _OFFSETS = np.array([0.25, 0.5, 0.75, 1.0, 1.5, 2.0]), np.arange(-3, 3.01, 0.25)
+
+
+def _calibration(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each subject the slope and offset of a logistic curve from evidence to labels of which LABEL_NOISE are wrong: the likeliest of a grid. First for all
+    subjects together; then for each by itself, held to that by as much as CURVE_PRIOR documents, so that a subject with few labels has the common curve."""
     z = np.clip(z, -8, 8)
-    for slope in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0):
-        for offset in np.arange(-3, 3.01, 0.25):
+    fit = np.zeros((len(_SLOPES), len(_OFFSETS), z.shape[1]))
+    for i, slope in enumerate(_SLOPES):
+        for j, offset in enumerate(_OFFSETS):
             p = LABEL_NOISE + (1 - 2 * LABEL_NOISE) / (1 + np.exp(-(slope * z + offset)))
-            fit = np.log(np.where(y, p, 1 - p)).sum()
-            if fit > best + 1e-9:
-                best, found = fit, (slope, float(offset))
-    return found
+            fit[i, j] = np.log(np.where(y, p, 1 - p)).sum(0)
+    together = fit.sum(2)
+    i, j = np.unravel_index(np.argmax(together), together.shape)
+    away = np.log(_SLOPES / _SLOPES[i])[:, None] ** 2 + (_OFFSETS - _OFFSETS[j])[None, :] ** 2
+    own = fit - CURVE_PRIOR / 2 * away[:, :, None]
+    best = own.reshape(-1, z.shape[1]).argmax(0)
+    return np.stack([_SLOPES[best // len(_OFFSETS)], _OFFSETS[best % len(_OFFSETS)]], axis=1)
 
 
 def subject_posteriors(spark: SparkSession, documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
     """(doc_id, subject, posterior): for every document with text and every subject, the calibrated probability that two or
-    more of its sentences deal with the subject. Depends on the text alone, so equal texts have equal posteriors.
+    more of its sentences deal with the subject. Each subject has a curve of its own, fitted to labelled documents each of which is scored without its own part in the model. Depends on the text alone, so equal texts have equal posteriors.
 
     ``subjects`` is the closed list (subject); ``labels`` (doc_id, subject) may be wrong in part, be several for a document, and
     name no subject by null. Labels of unknown subjects and documents are ignored. Null, empty and blank texts and null
@@ -253,10 +311,9 @@ def subject_posteriors(spark: SparkSession, documents: DataFrame, labels: DataFr
     if not names:
         return empty
     scratch = Scratch(spark, "subjects")
-    bit = F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(1 << k))])
-    bits = F.when(F.col("subject").isNull(), F.lit(0)).otherwise(F.try_element_at(bit, F.col("subject")))
-    known = labels.where("doc_id IS NOT NULL").select("doc_id", bits.alias("bit")).where("bit IS NOT NULL")
-    sets = known.groupBy("doc_id").agg(F.bit_or("bit").cast("int").alias("labels")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_DOCS)
+    place = F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k))])
+    known = labels.where("doc_id IS NOT NULL").select("doc_id", "subject", F.try_element_at(place, F.col("subject")).alias("k")).where("k IS NOT NULL OR subject IS NULL")
+    sets = known.groupBy("doc_id").agg(F.array_sort(F.collect_set("k")).alias("labels")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_DOCS)
     texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").where(F.length(F.trim("text")) > 0)
     featured = scratch.cut(texts.join(F.broadcast(sets), "doc_id", "left").select("doc_id", "labels", "text").mapInPandas(_featured, _FEATURES_SCHEMA))
     labelled = featured.where("labels IS NOT NULL")
@@ -268,13 +325,17 @@ def subject_posteriors(spark: SparkSession, documents: DataFrame, labels: DataFr
     for _ in range(ALL_ROUNDS):
         model = _fit(spark, featured, model, classes)
     shared = spark.sparkContext.broadcast(model)
-    evidence = featured.mapInPandas(_evidence(shared, classes), "doc_id bigint, labels int, odds array<double>")
-    seen = evidence.where("labels IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_DOCS).select("labels", "odds").toPandas()
+    bounded = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_DOCS)
+    seen = bounded.mapInPandas(_held_out(shared, classes), "labels array<int>, odds array<double>").toPandas()
     z = np.array([np.asarray(o) for o in seen["odds"]])
-    y = np.array([[bool(int(b) >> c & 1) for c in range(classes - 1)] for b in seen["labels"]])
-    slope, offset = _calibration(z, y)
-    curve = 1 / (1 + F.exp(-(F.lit(slope) * F.col("o.odds") + F.lit(offset))))
-    pairs = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("subject"), F.col("odds"))
+    y = np.zeros(z.shape, dtype=bool)
+    for k, given in enumerate(seen["labels"]):
+        y[k, np.asarray(given, dtype=np.int64)] = True
+    curves = F.array(*[F.struct(F.lit(float(a)).alias("slope"), F.lit(float(b)).alias("offset")) for a, b in _calibration(z, y)])
+    lean = spark.sparkContext.broadcast(model.lean())
+    evidence = featured.mapInPandas(_evidence(lean, classes), "doc_id bigint, odds array<double>")
+    curve = 1 / (1 + F.exp(-(F.col("o.curve.slope") * F.col("o.odds") + F.col("o.curve.offset"))))
+    pairs = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("subject"), F.col("odds"), curves.alias("curve"))
     return evidence.select("doc_id", F.explode(pairs).alias("o")).select("doc_id", F.col("o.subject").alias("subject"), curve.alias("posterior"))
 
 
