@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The most keys that are ever joined by broadcast.
-HOT_KEYS = 4096
+#: The most keys that are ever joined by broadcast, and rows of a key that one task may join.
+HOT_KEYS, HOT_ROWS = 4096, 1_000_000
+
+
+def hot_limit(rows: int, hot_keys: int = HOT_KEYS) -> int:
+    """How many of ``rows`` rows a key may have that is joined by shuffle."""
+    return max(HOT_ROWS, rows // hot_keys)
 
 
 def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, rows: int, how: str = "inner", hot_keys: int = HOT_KEYS) -> DataFrame:
     """``left`` joined on ``key`` with ``right``, which has one row for each key and in ``count`` how many of ``left``'s ``rows``
     rows have that key.
 
-    Keys with more than rows / hot_keys rows, of which there are at most ``hot_keys``, are joined by broadcast, so none
+    Keys with more than ``hot_limit`` rows, of which there are at most ``hot_keys``, are joined by broadcast, so none
     of them has to fit into one task; all others are joined by shuffle. ``how`` is inner, left or left_semi; null keys
-    match nothing. ``right``'s count column is dropped.
+    match nothing. ``right``'s count column is dropped. Where all rows fit into one task, so does every key, and there is one plain join.
     """
-    limit = max(10_000, rows // hot_keys)
+    limit = hot_limit(rows, hot_keys)
+    if rows <= limit:
+        return left.join(right.drop(count), key, how)
     hot = F.broadcast(right.where(F.col(count) > limit).drop(count))
     rest = right.where(F.col(count) <= limit).drop(count)
     often = left.join(hot, key, "left_semi" if how == "left_semi" else "inner")

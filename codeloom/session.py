@@ -9,7 +9,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Configuration a stand-alone run starts with; an existing session keeps its own.
@@ -99,6 +99,11 @@ class Scratch:
         back._codeloom_keep = self  # noqa: SLF001 - ties the folder's handle to the frame
         return back
 
+    def cut_counted(self, df: DataFrame, *figures: Column) -> tuple[DataFrame, dict]:
+        """``cut``, and aggregates (with names) of the rows, taken while they are written."""
+        seen = Observation()
+        return self.cut(df.observe(seen, *figures)), seen.get
+
     def drop(self, df: DataFrame) -> None:
         path = self._paths.pop(id(df), None)
         if path:

@@ -169,3 +169,27 @@ def test_metrics_advise(spark):
     c = spark.createDataFrame([("a", 12, 9, 0.9, 0.1, True)], "path string, afferent long, efferent long, instability double, internal_ratio double, violation boolean")
     assert metrics.coupling_advice(c).count() == 4
     assert metrics.parser_metrics(spark.createDataFrame([], "language string, ok boolean, entities long, relations long, ms double")).first().rate == 0.0
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_hot_keys_are_joined_apart(spark, monkeypatch, how):
+    from codeloom.operators import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 100)
+    left = spark.range(1000).selectExpr("CASE WHEN id < 600 THEN 7 WHEN id < 610 THEN NULL ELSE id END AS k", "id AS v")
+    right = left.where("k IS NOT NULL AND k % 3 < 2").groupBy("k").count().selectExpr("k", "k * 2 AS w", "count AS n")
+    got = skew.join_counted(left, right, "k", "n", 1000, how)
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+    want = left.join(right.drop("n"), "k", how)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+
+
+def test_figures_of_what_is_written(spark):
+    from codeloom.session import Scratch
+
+    scratch = Scratch(spark, "test")
+    df, seen = scratch.cut_counted(spark.range(100).repartition(7), F.count("*").alias("n"), F.bit_xor("id").alias("x"))
+    assert df.count() == seen["n"] == 100 and seen["x"] == 0
+    empty, seen = scratch.cut_counted(spark.range(0), F.count("*").alias("n"))
+    assert empty.count() == seen["n"] == 0
+    scratch.close()
