@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators.skew import join_counted
+from codeloom.operators.skew import hot_limit, join_counted
 from codeloom.session import Scratch
 
 #: Rewrites of this many rounds settle any graph that fits in memory of a cluster; more mean an error.
@@ -24,7 +24,7 @@ def _neighbours(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     """Every node above x that is linked to x is linked to x's least neighbour instead."""
     # Minima without a lower neighbour matter only where they are hubs: their rows must not meet in one shuffle partition.
-    near = _neighbours(edges).where("least IS NOT NULL OR degree > 10000").withColumnRenamed("node", "lo")
+    near = _neighbours(edges).where(F.col("least").isNotNull() | (F.col("degree") > hot_limit(rows))).withColumnRenamed("node", "lo")
     moved = join_counted(edges, near, "lo", "degree", rows, "left")
     return moved.select("hi", F.coalesce("least", "lo").alias("lo")).distinct()
 
@@ -37,10 +37,10 @@ def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     return heads.unionByName(moved).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Row count and order-free checksums, by which two rounds are compared."""
+def _state() -> tuple:
+    """Row count and order-free checksums, by which two rounds are compared; they are taken while edges are written."""
     h = F.xxhash64("hi", "lo")
-    return tuple(edges.select(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first())
+    return F.count("*").alias("rows"), F.bit_xor(h).alias("mixed"), F.sum(h.cast("decimal(38,0)")).alias("total")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -52,14 +52,12 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """
     scratch = Scratch(spark, "components")
     clean = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    current = scratch.cut(clean.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    before = _state(current)
+    current, before = scratch.cut_counted(clean.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), *_state())
     for _ in range(MAX_ROUNDS):
-        large = scratch.cut(_large_star(current, before[0]))
+        large = scratch.cut(_large_star(current, before["rows"]))
         scratch.drop(current)
-        current = scratch.cut(_small_star(large, before[0]))
+        current, after = scratch.cut_counted(_small_star(large, before["rows"]), *_state())
         scratch.drop(large)
-        after = _state(current)
         if after == before:
             roots = current.select(F.col("lo").alias("node"), F.col("lo").alias("group_id")).distinct()
             return current.select(F.col("hi").alias("node"), F.col("lo").alias("group_id")).unionByName(roots)

@@ -93,3 +93,15 @@ def test_documented_functions_of_long_files(spark, lang):
 def test_statements_in_many_pieces_beside_another_role(lang, code):
     """The content is also a list of members or macro text, which must not take its role as a block."""
     assert syntax.parses(lang, code)
+
+
+def test_groups_of_hot_records(spark, monkeypatch):
+    """A record in most pairs, at the end of long chains: its rows are joined apart from the others'."""
+    from codeloom.llm.components import match_groups
+    from codeloom.operators import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
+    pairs = [(500, k) for k in range(501, 800)] + [(k, k + 1) for k in range(0, 40)] + [(40, 500), (900, 901)]
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "node_id_a bigint, node_id_b bigint, similarity double")
+    got = {r.node_id: r.group_id for r in match_groups(spark, df).collect()}
+    assert got == {n: 0 for n in [*range(41), *range(500, 800)]} | {900: 900, 901: 900}
