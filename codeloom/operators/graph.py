@@ -258,27 +258,54 @@ def locations(nodes: DataFrame) -> DataFrame:
     )
 
 
+#: Levels of line buckets: a range of up to 2 ** k lines lies in two buckets of level k at most.
+LEVELS = 31
+
+
+def _covering(ranges: DataFrame, positions: DataFrame) -> DataFrame:
+    """Positions (path, line, ...) with the ranges (path, line_start, line_end, ...) that hold their line.
+
+    An equi-join on buckets: a range is in the one or two buckets as long as itself that it touches, a position in its bucket of every level, so only ranges near
+    a position, of each length, meet it, also in files with very many symbols.
+    """
+    length = F.col("line_end") - F.col("line_start") + 1
+    level = F.ceil(F.log2(length.cast("double"))).cast("int")
+    bucket = lambda line, k: F.floor(line / F.pow(F.lit(2.0), k)).cast("int")
+    touched = F.array_distinct(F.array(bucket(F.col("line_start"), F.col("level")), bucket(F.col("line_end"), F.col("level"))))
+    in_buckets = ranges.where("line_end >= line_start").withColumn("level", level).withColumn("bucket", F.explode(touched))
+    asked = positions.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumn("bucket", bucket(F.col("line"), F.col("level")))
+    # Most levels are empty: those in use, LEVELS at most, are known before positions meet ranges.
+    used = F.broadcast(in_buckets.select("level").distinct())
+    return asked.join(used, "level", "left_semi").join(in_buckets, ["path", "level", "bucket"]).where(F.col("line").between(F.col("line_start"), F.col("line_end"))).drop("level", "bucket")
+
+
 def nearest_symbols(nodes: DataFrame, positions: DataFrame) -> DataFrame:
     """(position_id, node_id, used_fallback): for each (position_id, path, line) the tightest range of the path that holds the line, else
-    the nearest symbol: its start behind the line counts its distance, one that ended before counts 1000 more. Paths match exactly."""
+    the nearest symbol: its start behind the line counts its distance, one that began before counts 1000 and the lines since its end. Ties go to the smaller id; paths match
+    exactly. A file's symbols and positions are sorted together, so no pair of them is looked at twice."""
     symbols = nodes.where("node_type <> 'CodeFile'").select("path", "node_id", "line_start", "line_end")
-    pairs = positions.select("position_id", "path", "line").join(symbols, "path")
-    outside = ~F.col("line").between(F.col("line_start"), F.col("line_end"))
-    distance = F.when(~outside, 0).when(F.col("line_start") > F.col("line"), F.col("line_start") - F.col("line")).otherwise(F.col("line") - F.col("line_end") + 1000)
-    key = F.struct(outside.alias("o"), F.when(outside, distance).otherwise(F.col("line_end") - F.col("line_start")).alias("d"), F.col("node_id"))
-    return pairs.groupBy("position_id").agg(F.min(key).alias("k")).select("position_id", "k.node_id", F.col("k.o").alias("used_fallback"))
+    asked = positions.select("position_id", "path", "line")
+    held = _covering(symbols, asked).groupBy("position_id").agg(F.min(F.struct((F.col("line_end") - F.col("line_start")).alias("d"), F.col("node_id"))).alias("k"))
+    inside = held.select("position_id", "k.node_id", F.lit(False).alias("used_fallback"))
+    lost = asked.join(inside.select("position_id"), "position_id", "left_anti").where("line IS NOT NULL")
+    none = [F.lit(None).cast(k).alias(c) for c, k in (("node_id", "bigint"), ("line_end", "int"))]
+    begun = symbols.join(lost.select("path").distinct(), "path", "left_semi").select("path", F.col("line_start").alias("at"), F.lit(0).alias("kind"), "node_id", "line_end", F.lit(None).cast("bigint").alias("position_id"))
+    events = begun.unionByName(lost.select("path", F.col("line").alias("at"), F.lit(1).alias("kind"), *none, F.col("position_id").cast("bigint").alias("position_id")))
+    order = Window.partitionBy("path").orderBy("at", "kind", "node_id")
+    before = F.max(F.when(F.col("kind") == 0, F.struct("line_end", (-F.col("node_id")).alias("n")))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(F.when(F.col("kind") == 0, F.struct("at", "node_id")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    seen = events.select("position_id", "at", "kind", before.alias("b"), after.alias("a")).where("kind = 1 AND (a IS NOT NULL OR b IS NOT NULL)")
+    # least ignores nulls, and structs are compared field by field.
+    best = F.least(F.when(F.col("b").isNotNull(), F.struct((F.col("at") - F.col("b.line_end") + 1000).alias("d"), (-F.col("b.n")).alias("node_id"))), F.when(F.col("a").isNotNull(), F.struct((F.col("a.at") - F.col("at")).alias("d"), F.col("a.node_id").alias("node_id"))))
+    return inside.unionByName(seen.select("position_id", best["node_id"].alias("node_id"), F.lit(True).alias("used_fallback")))
 
 
 def at_position(ranges: DataFrame, positions: DataFrame) -> DataFrame:
     """(position_id, node_id): the smallest range that holds a (line, column); columns count on the first and last line only."""
-    hit = (
-        F.col("line").between(F.col("line_start"), F.col("line_end"))
-        & ((F.col("line") > F.col("line_start")) | (F.col("column") >= F.col("col_start")))
-        & ((F.col("line") < F.col("line_end")) | (F.col("column") <= F.col("col_end")))
-    )
+    fits = ((F.col("line") > F.col("line_start")) | (F.col("column") >= F.col("col_start"))) & ((F.col("line") < F.col("line_end")) | (F.col("column") <= F.col("col_end")))
     size = (F.col("line_end") - F.col("line_start")) * 10_000 + F.col("col_end") - F.col("col_start")
-    pairs = positions.join(ranges, "path").where(hit)
-    return pairs.groupBy("position_id").agg(F.min(F.struct(size.alias("s"), "node_id")).alias("k")).select("position_id", "k.node_id")
+    held = _covering(ranges, positions.select("position_id", "path", "line", "column")).where(fits)
+    return held.groupBy("position_id").agg(F.min(F.struct(size.alias("s"), "node_id")).alias("k")).select("position_id", "k.node_id")
 
 
 def expand(nodes: DataFrame, edges: DataFrame, shown: DataFrame, depth: int = 2) -> DataFrame:

@@ -193,3 +193,22 @@ def test_figures_of_what_is_written(spark):
     empty, seen = scratch.cut_counted(spark.range(0), F.count("*").alias("n"))
     assert empty.count() == seen["n"] == 0
     scratch.close()
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_nearest_symbols_against_all_pairs(spark, seed):
+    r = random.Random(seed)
+    ranges = [(k, "Function", f"f{k}", r.choice("pq"), a := r.randint(0, 80), r.choice([0, a, a + r.randint(0, 5), a + r.randint(0, 60)])) for k in range(40)]
+    asked = [(k, r.choice("pqz"), r.randint(0, 120)) for k in range(80)]
+
+    def best(path, line):
+        keys = []
+        for n, _, _, p, a, z in ranges:
+            if p == path:
+                inside = a <= line <= z
+                keys.append((not inside, z - a if inside else a - line if a > line else line - z + 1000, n))
+        return min(keys)[::-2] if keys else None  # id, whether outside
+
+    n = spark.createDataFrame(ranges, "node_id bigint, node_type string, name string, path string, line_start int, line_end int")
+    got = {r.position_id: (r.node_id, r.used_fallback) for r in graph.nearest_symbols(n, spark.createDataFrame(asked, "position_id bigint, path string, line int")).collect()}
+    assert got == {k: b for k, p, line in asked if (b := best(p, line))}
