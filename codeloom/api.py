@@ -190,8 +190,8 @@ class Workspace:
 
     # Vectors --------------------------------------------------------------------------------------------------------------
 
-    def find_duplicates(self, threshold: float = 0.7, limit: int = 20, path=None) -> DataFrame:
-        return vectors.duplicates(self.nodes, self.vectors, threshold, limit, path)
+    def find_duplicates(self, threshold: float = 0.7, limit: int = 20, path=None, exact: bool = True) -> DataFrame:
+        return vectors.duplicates(self.nodes, self.vectors, threshold, limit, path, exact)
 
     def find_similar(self, node: int, limit: int = 10) -> DataFrame:
         functions = self.vectors.join(self.nodes.where("node_type = 'Function'").select("node_id"), "node_id", "left_semi")
