@@ -22,7 +22,7 @@ from codeloom.session import Scratch
 #: Hashed features of the model; its size, and that of all statistics on the driver, is FEATURES times the subjects.
 FEATURES = 1 << 17
 #: Labelled documents that the calibration looks at, at most, chosen by hash.
-CALIBRATION_DOCS = 20_000
+CALIBRATION_DOCS = 8_192
 #: EM rounds over labelled documents, then over all; weight of a document without labels in the latter.
 LABELLED_ROUNDS, ALL_ROUNDS, UNLABELLED_WEIGHT = 4, 3, 0.3
 #: Additive smoothing, and how far a label set may lack subjects, all that it doesn't name together.
