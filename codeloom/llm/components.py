@@ -37,32 +37,55 @@ def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     return heads.unionByName(moved).distinct()
 
 
-def _state() -> tuple:
-    """Row count and order-free checksums, by which two rounds are compared; they are taken while edges are written."""
-    h = F.xxhash64("hi", "lo")
-    return F.count("*").alias("rows"), F.bit_xor(h).alias("mixed"), F.sum(h.cast("decimal(38,0)")).alias("total")
+def _leaves(edges: DataFrame) -> DataFrame:
+    """The edges (hi, lo) of nodes that have no other edge and are linked to a lower one: whatever group that is in, they are in it, and not its least."""
+    near = edges.select(F.col("hi").alias("node"), "lo").unionByName(edges.select(F.col("lo").alias("node"), F.lit(None).cast("bigint").alias("lo")))
+    return near.groupBy("node").agg(F.min("lo").alias("lo"), F.count("*").alias("n")).where("n = 1 AND lo IS NOT NULL").select(F.col("node").alias("hi"), "lo")
+
+
+def _followed(leaves: DataFrame, groups: DataFrame, rows: int) -> DataFrame:
+    """(node, group_id) of leaves: the group of the node each is linked to, which is that node itself if it has none in ``groups``."""
+    named = groups.select(F.col("node").alias("lo"), "group_id")
+    if rows <= hot_limit(rows):
+        met = leaves.join(named, "lo", "left")
+    else:
+        met = join_counted(leaves, named.join(leaves.groupBy("lo").agg(F.count("*").alias("n")), "lo"), "lo", "n", rows, "left")
+    return met.select(F.col("hi").alias("node"), F.coalesce("group_id", "lo").alias("group_id"))
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, group_id): every node of ``edges`` (a, b) with the least node of its component.
 
-    Rows with a null end and loops link nothing and are left out. Each half round is three shuffles of the edges with
-    map-side combining; it is written to the shared folder, which ends its lineage, and the one before is deleted.
-    Rounds go on until the edge set stays the same, when every node is linked to its component's minimum.
+    Rows with a null end and loops link nothing and are left out. Large-star and small-star alternate until every node is linked to its component's minimum
+    and to nothing else. A node that is already linked to one lower node only needs no more rewriting: it leaves the edges before each round and takes the group of
+    that node in the end, so rounds go on with what is still tangled, and end when nothing is. Each step is written to the shared folder, which ends its
+    lineage, and what is no longer needed is deleted.
     """
     scratch = Scratch(spark, "components")
+    rows = F.count("*").alias("rows")
     clean = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    current, before = scratch.cut_counted(clean.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), *_state())
+    current = scratch.cut(clean.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    left: list[tuple[DataFrame, int]] = []
     for _ in range(MAX_ROUNDS):
-        large = scratch.cut(_large_star(current, before["rows"]))
+        leaves, found = scratch.cut_counted(_leaves(current), rows)
+        left.append((leaves, found["rows"]))
+        rest, more = scratch.cut_counted(current.join(leaves.select("hi"), "hi", "left_anti"), rows)
         scratch.drop(current)
-        current, after = scratch.cut_counted(_small_star(large, before["rows"]), *_state())
+        if not more["rows"]:
+            break
+        large = scratch.cut(_large_star(rest, more["rows"]))
+        scratch.drop(rest)
+        current = scratch.cut(_small_star(large, more["rows"]))
         scratch.drop(large)
-        if after == before:
-            roots = current.select(F.col("lo").alias("node"), F.col("lo").alias("group_id")).distinct()
-            return current.select(F.col("hi").alias("node"), F.col("lo").alias("group_id")).unionByName(roots)
-        before = after
-    raise RuntimeError("the components did not settle")
+    else:
+        raise RuntimeError("the components did not settle")
+    groups = spark.createDataFrame([], "node bigint, group_id bigint")
+    for leaves, count in reversed(left):
+        if count:
+            more = groups.unionByName(scratch.cut(_followed(leaves, groups, count)))
+            scratch.drop(leaves)
+            groups = more
+    return groups.unionByName(groups.select(F.col("group_id").alias("node"), "group_id").distinct())
 
 
 def match_groups(spark: SparkSession, pairs: DataFrame, threshold: float = 0.7) -> DataFrame:
