@@ -79,7 +79,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         scratch.drop(large)
     else:
         raise RuntimeError("the components did not settle")
-    groups = spark.createDataFrame([], "node bigint, group_id bigint")
+    groups = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("group_id"))
     for leaves, count in reversed(left):
         if count:
             more = groups.unionByName(scratch.cut(_followed(leaves, groups, count)))
