@@ -67,14 +67,39 @@ class _Words(dict):
 _words = _Words()
 
 
+def features_of(texts: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(features, features of each sentence) of texts given as sentences: hashed words and pairs of neighbouring words, in lower case, each once a
+    sentence; identifiers are cut into their words. Sentences without words are left out."""
+    ids: list[int] = []
+    words_in: list[int] = []
+    in_text: list[int] = []
+    known, word = _words, _WORD.findall
+    for found in texts:
+        before = len(words_in)
+        for sentence in _CAMEL.sub(" ", "\0".join(found)).split("\0") if found else ():
+            parts = word(sentence.lower())
+            if parts:
+                ids += map(known.__getitem__, parts)
+                words_in.append(len(parts))
+        in_text.append(len(words_in) - before)
+    single = np.array(ids, dtype=np.uint64)
+    sentence = np.repeat(np.arange(len(words_in)), words_in)
+    joined = np.flatnonzero(sentence[1:] == sentence[:-1])
+    pairs = ((single[joined] * np.uint64(0x9E3779B1) + single[joined + 1] * np.uint64(0x85EBCA77)) >> np.uint64(7)) + np.uint64(1)
+    value, owner = np.r_[single, pairs], np.r_[sentence, sentence[joined]]
+    order = np.lexsort((value, owner))
+    value, owner = value[order], owner[order]
+    fresh = np.r_[True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])] if len(value) else np.zeros(0, dtype=bool)
+    feats = (value[fresh] % np.uint64(FEATURES)).astype(np.int32)
+    lens = np.bincount(owner[fresh], minlength=len(words_in)).astype(np.int32)
+    cuts = np.r_[0, np.cumsum(in_text)].astype(np.int64)
+    at = np.r_[0, np.cumsum(lens)]
+    return [feats[at[a] : at[z]] for a, z in zip(cuts, cuts[1:])], [lens[a:z] for a, z in zip(cuts, cuts[1:])]
+
+
 def features(sentence: str) -> np.ndarray:
-    """Hashed words and pairs of neighbouring words, in lower case; identifiers are cut into their words."""
-    parts = _WORD.findall(_CAMEL.sub(" ", sentence))
-    ids = np.array([_words[w.lower()] for w in parts], dtype=np.uint64)
-    if not len(ids):
-        return np.zeros(0, dtype=np.int32)
-    pairs = (ids[:-1] * np.uint64(0x9E3779B1) + ids[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)
-    return (np.unique(np.r_[ids, pairs + np.uint64(1)]) % np.uint64(FEATURES)).astype(np.int32)
+    """The features of one sentence."""
+    return features_of([[sentence]])[0][0]
 
 
 class Model:
@@ -169,11 +194,7 @@ _FEATURES_SCHEMA = "doc_id bigint, labels array<int>, feats array<int>, lens arr
 
 def _featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        feats, lens = [], []
-        for text in f["text"]:
-            found = [x for x in map(features, sentences(text or "")) if len(x)]
-            feats.append(np.concatenate(found) if found else np.zeros(0, dtype=np.int32))
-            lens.append(np.array([len(x) for x in found], dtype=np.int32))
+        feats, lens = features_of([sentences(text or "") for text in f["text"]])
         yield pd.DataFrame({"doc_id": f["doc_id"], "labels": f["labels"], "feats": feats, "lens": lens})
 
 
