@@ -57,24 +57,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{fallback}"
 
 
-_OPEN: list[Scratch] = []
-
-
-def _close_all() -> None:
-    """Frees what is still there when the program ends; the session may be gone by then."""
-    for scratch in _OPEN:
-        try:
-            if scratch.spark.sparkContext._jsc is not None:  # noqa: SLF001
-                scratch.close()
-        except Exception:  # noqa: BLE001 - a lost gateway leaves nothing to free with
-            return
-
-
 class Scratch:
     """Intermediate tables in the shared folder.
 
-    They go when they are dropped, when ``close`` is called, or when the program ends. What an operator returns may read them, so only those that the result
-    doesn't need are dropped before.
+    They go when they are dropped, when ``close`` is called or a ``with`` block ends, or when the driver's JVM ends, stopped session or not. What an operator returns may
+    read them, so only those that the result doesn't need are dropped before.
 
     ``cut(df)`` writes ``df`` as Parquet and reads it back: lineage ends there, the files outlive executors, and the
     next plan has exact sizes. ``drop(df)`` frees one that is no longer needed.
@@ -85,9 +72,15 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/codeloom-{label}-{uuid.uuid4().hex[:12]}"
         self.count = 0
         self._paths: dict[int, str] = {}
-        if not _OPEN:
-            atexit.register(_close_all)
-        _OPEN.append(self)
+        system, root = self._system(self.root)
+        system.mkdirs(root)
+        system.deleteOnExit(root)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.count:04d}"
@@ -113,10 +106,14 @@ class Scratch:
         self._paths.clear()
         self._delete(self.root)
 
+    def _system(self, path: str) -> tuple:
+        """The file system of a path, and the path in the JVM's terms."""
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target  # noqa: SLF001
+
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm  # noqa: SLF001
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)  # noqa: SLF001
+        system, target = self._system(path)
+        system.delete(target, True)
 
 
 def ship(spark: SparkSession) -> None:
