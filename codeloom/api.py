@@ -31,6 +31,7 @@ class Workspace:
     embedder: object = hashed_embedding
     symbols: DataFrame | None = None  # parsed files, which changes replace
     _index: str | None = field(default=None, repr=False)
+    _opened: tuple | None = field(default=None, repr=False)
 
     # Building ----------------------------------------------------------------------------------------------------
 
@@ -59,8 +60,10 @@ class Workspace:
 
     def text_search(self, query: str, limit: int = 20) -> DataFrame:
         """BM25 alone, from the buckets of the query's words."""
-        self.index()
-        return search.search_index(self.spark, self._index, query, limit)
+        if self._opened is None:
+            self.index()
+            self._opened = search.open_index(self.spark, self._index)
+        return search.search_index(self._opened, query, limit)
 
     # Changes -----------------------------------------------------------------------------------------------------
 
@@ -69,6 +72,7 @@ class Workspace:
 
     def _with(self, state: watch.Indexed) -> Workspace:
         self.symbols, self.nodes, self.edges, self.vectors, self.log, self._index = state.symbols, state.nodes, state.edges, state.vectors, state.log, None
+        self._opened = None
         return self
 
     def update_files(self, contents: DataFrame, removed: DataFrame | None = None) -> Workspace:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators.skew import join_counted, join_spread, spread
+from codeloom.operators.skew import KEY_ROWS, join_counted, join_spread, spread
 from codeloom.session import Scratch
 
 
@@ -30,8 +30,9 @@ def reach(steps: DataFrame, starts: DataFrame, depth: int, scratch: Scratch | No
     if depth > 2 and scratch is None:
         scratch = Scratch(steps.sparkSession, "reach")
     if scratch is not None:
-        steps, hot = spread(steps, "at")
-        steps, hot = scratch.cut(steps), scratch.cut(hot)
+        steps, seen = scratch.cut_counted(steps, F.count("*").alias("rows"))
+        if seen["rows"] > KEY_ROWS:  # else no node has more steps than a task may join
+            steps, hot = (scratch.cut(df) for df in spread(steps, "at"))
     frontier = starts.select("start", F.col("start").alias("at")).distinct()
     found = None
     for hop in range(1, depth + 1):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import rules
@@ -75,7 +75,7 @@ def bm25(posted: DataFrame, stats: DataFrame, query: str, limit: int | None = 20
     return found.orderBy(F.desc("score"), "node_id").limit(limit) if limit else found
 
 
-def save_index(posted: DataFrame, stats: DataFrame, folder: str, buckets: int = 256) -> None:
+def save_index(posted: DataFrame, stats: DataFrame, folder: str, buckets: int = 64) -> None:
     """Writes an inverted index: postings by bucket of their term, with the document's length and the term's document frequency in the row, so a query reads the
     buckets of its words only and joins nothing; and the statistics of documents and corpus. A term's frequency is joined by term, of which each is one row."""
     sized = posted.join(stats.select("node_id", "doc_len"), "node_id").join(posted.groupBy("term").agg(F.count("*").alias("df")), "term")
@@ -84,15 +84,20 @@ def save_index(posted: DataFrame, stats: DataFrame, folder: str, buckets: int =
     stats.agg(F.count("*").alias("n"), (F.sum("doc_len") / F.count("*")).alias("average")).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{folder}/corpus")
 
 
-def search_index(spark, folder: str, query: str, limit: int | None = 20, words=tokens) -> DataFrame:
-    """(node_id, score): ``bm25`` over an index that ``save_index`` wrote."""
-    corpus = spark.read.parquet(f"{folder}/corpus").first()
-    asked = Counter(spark.range(1).select(words(F.lit(query)).alias("w")).first()[0])
-    posted = spark.read.parquet(f"{folder}/postings")
+def open_index(spark: SparkSession, folder: str) -> tuple[DataFrame, Row]:
+    """An index that ``save_index`` wrote: its postings and the figures of its corpus, read once for many searches."""
+    return spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/corpus").first()
+
+
+def search_index(index: tuple[DataFrame, Row], query: str, limit: int | None = 20, words=tokens) -> DataFrame:
+    """(node_id, score): ``bm25`` over an opened index. Only the buckets of the query's words are read."""
+    posted, corpus = index
+    term = F.explode(words(F.lit(query))).alias("term")
+    found = posted.sparkSession.range(1).select(term).select("term", F.pmod(F.xxhash64("term"), F.lit(corpus["buckets"])).cast("int").alias("bucket")).collect()
+    asked = Counter(r["term"] for r in found)
     if not asked or not corpus["n"]:
         return posted.limit(0).select("node_id", F.lit(0.0).alias("score"))
-    hashed = spark.createDataFrame([(t,) for t in asked], "term string").select(F.pmod(F.xxhash64("term"), F.lit(corpus["buckets"])).cast("int")).collect()
-    hits = posted.where(F.col("bucket").isin(sorted({r[0] for r in hashed})) & F.col("term").isin(list(asked)))
+    hits = posted.where(F.col("bucket").isin(sorted({r["bucket"] for r in found})) & F.col("term").isin(list(asked)))
     times = F.create_map(*[x for t, k in asked.items() for x in (F.lit(t), F.lit(k))])[F.col("term")]
     tf = F.col("tf")
     part = _idf(F.lit(corpus["n"]), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.lit(corpus["average"]))) * F.col("weight") * times

@@ -58,7 +58,7 @@ def t4_stored_index(spark, folder):
 
     place = Scratch(spark, "words").root
     search.save_index(*_index(nodes(spark, folder)), place, 16)
-    return search.search_index(spark, place, "returns cachedLedger").withColumn("score", F.round("score", 6))
+    return search.search_index(search.open_index(spark, place), "returns cachedLedger").withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_POSTINGS} SELECT (SELECT count(*) FROM stats) AS documents, (SELECT count(DISTINCT term) FROM posted) AS terms")

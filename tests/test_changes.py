@@ -124,7 +124,7 @@ def test_stored_index_is_the_same_search(spark, tmp_path):
     posted, stats = (f(search.index_fields(n)) for f in (search.postings, search.doc_stats))
     search.save_index(posted, stats, f"file://{tmp_path}/i", 4)
     for q in ("validate email email", "nothing", "", "Phone"):
-        a, b = (sorted((r.node_id, round(r.score, 9)) for r in x.collect()) for x in (search.bm25(posted, stats, q), search.search_index(spark, f"file://{tmp_path}/i", q)))
+        a, b = (sorted((r.node_id, round(r.score, 9)) for r in x.collect()) for x in (search.bm25(posted, stats, q), search.search_index(search.open_index(spark, f"file://{tmp_path}/i"), q)))
         assert a == b, q
     assert search.has_term(posted, "email") and not search.has_term(posted, "mail")
 
