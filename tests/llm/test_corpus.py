@@ -66,6 +66,45 @@ def test_neighbours_match_brute_force(spark):
     assert neighbours.nearest_pairs(spark, one).count() == 0 == neighbours.nearest_pairs(spark, df.limit(0)).count()
 
 
+def test_packed_vectors_are_exact():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.zeros((9, 16), dtype=np.float32)
+    x[0] = rng.integers(-127, 128, 16) / 128
+    x[1] = x[0] * 2.0**-60
+    x[2] = rng.integers(-2000, 2000, 16)
+    x[3] = rng.normal(size=16)
+    x[4, 2], x[5, 2], x[6, :2], x[7, 1] = 3e38, 1e-45, (-0.0, 1), 1
+    x[8] = -1
+    packed = neighbours._pack(x)
+    assert (neighbours._unpack(packed, 16) == x).all()
+    assert [len(p) for p in packed] == [17, 17, 32, 64, 64, 64, 17, 17, 17] and packed[6] == packed[7]
+
+
+def test_neighbours_travel_in_waves_and_leave_no_shuffle_files(spark, monkeypatch):
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 16))
+    x = (centres[rng.integers(0, 20, 400)] + 0.3 * rng.normal(size=(400, 16))).round(3)
+    x[10:30] = x[10]
+    df = spark.createDataFrame([(k, [float(a) for a in v], 2, 2) for k, v in enumerate(x)], "node_id bigint, embedding array<float>, embedded_at int, ingested_at int").localCheckpoint()
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f for f in files.getAllFiles().mkString(" ").split() if f.endswith(".data")}
+    before = held()
+    once = {tuple(r) for r in neighbours.nearest_pairs(spark, df, 5, 16).toLocalIterator()}
+    time.sleep(1)
+    assert len(once) > 1000 and not [f for f in held() - before if os.path.getsize(f) > 10_000]
+    monkeypatch.setattr(neighbours, "WAVE_ROWS", 1200)
+    monkeypatch.setattr(neighbours, "WAVE_SHARE", 1)
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 100)
+    waves = {tuple(r) for r in neighbours.nearest_pairs(spark, df, 5, 16).toLocalIterator()}
+    assert waves == once
+
+
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), reason="no vocabulary")
 
 
